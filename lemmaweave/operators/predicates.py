@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,30 @@ def _follows_open(pre: Column, form: Column) -> Column:
     return H.initial(H.index(first)).isin(2, 5, 6, 11) | (first == "ㄴ")
 
 
+@cache
+def _level_columns() -> dict[str, Column]:
+    """The expressions of a level, built once."""
+    self_, past = F.col("boundary") == "Keep", F.col("boundary") == "Past"
+    n = H.index(H.last_char(F.col("stem")))
+    opens = _follows_open(F.col("pre"), F.col("form"))
+    fits = (F.col("stage") >= F.col("least")) & (~F.col("takes_polite") | ~F.col("polite")) & (~past | ((H.coda(n) == 20) & (F.col("pasts") < 2))) & ((F.col("follow") == "any") | ((F.col("follow") == "open") == opens))
+    base = F.when(past, H.replace_last(F.col("stem"), H.vowel(n), F.lit(0))).otherwise(F.left("stem", F.char_length("stem") - F.when(self_, 0).otherwise(F.char_length("suffix"))))
+    new = F.col("boundary") != "Self"
+    return {
+        "fits": self_ | fits,
+        "base": base,
+        "boundary": F.when(past, "Aeo").when(self_, "Self").otherwise(F.col("boundary")),
+        "new": new,
+        "rules": F.when(new, F.concat("rules", "found", F.array("rule"))).otherwise(F.col("rules")),
+        "copula_only": F.col("copula_only") | (new & F.array_contains("found", "copula.omitted_ending")),
+        "spellings": F.when(new & F.col("spelling").isNotNull(), F.concat("spellings", F.array("spelling"))).otherwise(F.col("spellings")),
+        "pre": F.when(new, F.concat(F.array("marker"), "pre")).otherwise(F.col("pre")),
+        "stage": F.when(new, F.col("next")).otherwise(F.col("stage")),
+        "pasts": F.col("pasts") + F.when(new & (F.col("marker") == "었"), 1).otherwise(0),
+        "polite": F.col("polite") | (new & F.col("takes_polite")),
+    }
+
+
 def peel_prefinals(states: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Each state itself, and each way to read its stem as another stem and markers (pre, left to right).
 
@@ -39,41 +65,22 @@ def peel_prefinals(states: DataFrame, levels: int = LEVELS) -> DataFrame:
     keep = "\u0000"
     rules = E.markers(spark).union(spark.createDataFrame([("었", "", "Past", None, 2, 2, False, "prefinal.past", "any"), (None, keep, "Keep", None, -9, 0, False, None, "any")], E.markers(spark).schema))
     rules = rules.withColumnRenamed("polite", "takes_polite")
+    steps = _level_columns()
     for level in range(levels):
         k = F.least(F.char_length("stem") - 1, F.lit(3))
         ends = F.when(F.col("depth") == level, F.transform(F.sequence(F.lit(0), k), lambda x: F.right(F.col("stem"), x))).otherwise(F.expr("cast(array() as array<string>)"))
-        df = df.withColumn("suffix", F.explode(F.array_append(ends, F.lit(keep)))).join(F.broadcast(rules), "suffix")
-        self_ = F.col("boundary") == "Keep"
-        n = H.index(H.last_char(F.col("stem")))
-        past = F.col("boundary") == "Past"
-        opens = _follows_open(F.col("pre"), F.col("form"))
-        fits = (F.col("stage") >= F.col("least")) & (~F.col("takes_polite") | ~F.col("polite")) & (~past | ((H.coda(n) == 20) & (F.col("pasts") < 2))) & ((F.col("follow") == "any") | ((F.col("follow") == "open") == opens))
-        df = df.where(self_ | fits)
-        cut = H.but_last(F.col("stem"), 0)
-        base = F.when(past, H.replace_last(F.col("stem"), H.vowel(n), F.lit(0))).otherwise(F.left(cut, F.char_length(cut) - F.when(self_, 0).otherwise(F.char_length("suffix"))))
-        old = F.col("stem")
-        df = df.withColumn("base", base).withColumn("__was", old).withColumn("boundary", F.when(past, "Aeo").when(self_, "Self").otherwise(F.col("boundary")))
-        df = recover_or_keep(df)
-        new = F.col("boundary") != "Self"
-        bare = F.array_contains("found", "copula.omitted_ending")
-        df = df.select(
-            *[c for c in own if c not in ("stem", "rules", "copula_only", "spellings")], "stem",
-            F.when(new, F.concat("rules", "found", F.array("rule"))).otherwise(F.col("rules")).alias("rules"),
-            (F.col("copula_only") | (new & bare)).alias("copula_only"),
-            F.when(new & F.col("spelling").isNotNull(), F.concat("spellings", F.array("spelling"))).otherwise(F.col("spellings")).alias("spellings"),
-            F.when(new, F.concat(F.array("marker"), "pre")).otherwise(F.col("pre")).alias("pre"),
-            F.when(new, F.col("next")).otherwise(F.col("stage")).alias("stage"),
-            (F.col("pasts") + F.when(new & (F.col("marker") == "었"), 1).otherwise(0)).alias("pasts"),
-            (F.col("polite") | (new & F.col("takes_polite"))).alias("polite"),
-            F.when(new, F.lit(level + 1)).otherwise(F.col("depth")).alias("depth"),
-        )
+        df = df.withColumn("suffix", F.explode(F.array_append(ends, F.lit(keep)))).join(F.broadcast(rules), "suffix").where(steps["fits"])
+        df = df.withColumns({"base": steps["base"], "__was": F.col("stem"), "boundary": steps["boundary"]})
+        df = recover_or_keep(df).select(*[c for c in own if c not in ("stem", "rules", "copula_only", "spellings")], "stem", *[steps[c].alias(c) for c in ("rules", "copula_only", "spellings", "pre", "stage", "pasts", "polite")], F.when(steps["new"], F.lit(level + 1)).otherwise(F.col("depth")).alias("depth"))
     return df.drop("stage", "pasts", "polite", "depth")
 
 
 def recover_or_keep(df: DataFrame) -> DataFrame:
-    """recover(), but rows with the boundary Self keep their stem."""
-    out = recover(df.withColumn("__keep", F.col("boundary") == "Self").withColumn("boundary", F.when(F.col("boundary") == "Self", "ComeStem").otherwise(F.col("boundary"))).withColumn("base", F.when(F.col("__keep"), "오").otherwise(F.col("base"))))
-    return out.withColumn("stem", F.when(F.col("__keep"), F.col("__was")).otherwise(F.col("stem"))).withColumn("boundary", F.when(F.col("__keep"), "Self").otherwise(F.col("boundary"))).withColumn("spelling", F.when(~F.col("__keep"), F.col("spelling"))).drop("__keep", "__was")
+    """recover(), but rows with the boundary Self keep their stem (__was); they pass as a stem that any rule keeps."""
+    self_ = F.col("boundary") == "Self"
+    out = recover(df.withColumns({"__keep": self_, "boundary": F.when(self_, "ComeStem").otherwise(F.col("boundary")), "base": F.when(self_, "오").otherwise(F.col("base"))}))
+    keep = F.col("__keep")
+    return out.withColumns({"stem": F.when(keep, F.col("__was")).otherwise(F.col("stem")), "boundary": F.when(keep, "Self").otherwise(F.col("boundary")), "spelling": F.when(~keep, F.col("spelling"))}).drop("__keep", "__was")
 
 
 def licensed(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ syllables. No row leaves its task."""
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ SONORANTS = (0, 4, 5, 8, 10, 12, 13, 16, 21)
 #: Reports of statements, after whose attached ㄴ no irregular stem is restored.
 REPORTS = "다 다고 다니 다느니 단 다는 다면 답니다 다거나 다든가 단다 다지 다죠 다지만 다니까 대 다네 다는데 다던 다더니 다나 다오 답니까 담 다마는 다만 답시고 다더니만 다더니마는 다던데 다며 다면서".split()
 MAX_SUFFIX = 6
-_ROW = "array<struct<stem:string,rules:array<string>,spelling:string>>"
 
 
 def match_suffixes(df: DataFrame, text: str, rules: DataFrame, *, longest: int = MAX_SUFFIX) -> DataFrame:
@@ -41,9 +42,9 @@ def _to(v: Column, pairs: dict[int, int]) -> Column:
     return out
 
 
-def recover(df: DataFrame) -> DataFrame:
-    """df (base, suffix, boundary, attached) with stem, the rules of the recovery and its spelling class, a row a hypothesis."""
-    df = df.withColumn("__n", H.index(H.last_char(F.col("base")))).withColumn("__h", H.but_last(F.col("base"))).withColumn("__p", H.index(H.last_char(F.col("__h"))))
+@cache
+def _hypotheses() -> Column:
+    """All hypotheses over the columns base, suffix, boundary, attached and the syllables __n, __h, __p; built once, as a Column names its inputs."""
     base, n, head, p = F.col("base"), F.col("__n"), F.col("__h"), F.col("__p")
     v, t, pv, pt = H.vowel(n), H.coda(n), H.vowel(p), H.coda(p)
     last, bright = H.last_char(base), H.is_bright(p)
@@ -114,17 +115,39 @@ def recover(df: DataFrame) -> DataFrame:
     # Shortened 하다
     row(at("HaDeletion") & t.isin(*STOPS), F.concat(base, F.lit("하")), "deletion.ha")
     row(at("HaAspiration") & t.isin(*SONORANTS), F.concat(base, F.lit("하")), "contraction.ha_aspiration")
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
 
-    df = df.withColumn("__r", F.explode(F.filter(F.array(*out), lambda x: x.isNotNull()))).drop("__n", "__h", "__p")
-    # ㅂ behind 우/오 that 아/어 left
+@cache
+def _with_bieup() -> Column:
+    """A hypothesis __r, and the one with ㅂ behind an 우/오 that 아/어 left."""
     stem = F.col("__r.stem")
     front = H.but_last(stem)
     m = H.index(H.last_char(front))
     end = H.last_char(stem)
-    again = at("Aeo") & H.coda(m).isin(0, 8) & (((end == "우") & ~front.isin(*BIEUP_O)) | ((end == "오") & front.isin(*BIEUP_O) & (H.coda(m) == 0)))
+    again = (F.col("boundary") == "Aeo") & H.coda(m).isin(0, 8) & (((end == "우") & ~front.isin(*BIEUP_O)) | ((end == "오") & front.isin(*BIEUP_O) & (H.coda(m) == 0)))
     bieup = F.struct(H.replace_last(front, H.vowel(m), F.when(H.coda(m) == 8, 11).otherwise(17)).alias("stem"), F.array(F.lit("irregular.bieup")).alias("rules"), F.lit(None).cast("string").alias("spelling"))
-    df = df.withColumn("__r", F.explode(F.filter(F.array(F.col("__r"), F.when(again, bieup)), lambda x: x.isNotNull())))
-    return df.select(*[c for c in df.columns if c not in ("__r", "stem")], F.col("__r.stem").alias("stem"), F.col("__r.rules").alias("found"), spelling_class(F.col("__r.stem"), F.element_at("__r.rules", 1), boundary).alias("spelling"))
+    return F.filter(F.array(F.col("__r"), F.when(again, bieup)), lambda x: x.isNotNull())
+
+
+@cache
+def _syllables() -> dict[str, Column]:
+    head = H.but_last(F.col("base"))
+    return {"__n": H.index(H.last_char(F.col("base"))), "__h": head, "__p": H.index(H.last_char(head))}
+
+
+@cache
+def _spelling() -> Column:
+    return spelling_class(F.col("__r.stem"), F.element_at("__r.rules", 1), F.col("boundary"))
+
+
+def recover(df: DataFrame) -> DataFrame:
+    """df (base, suffix, boundary, attached) with stem, the rules of the recovery (found) and its spelling class, a row a hypothesis."""
+    kept = [c for c in df.columns if c != "stem"]
+    df = df.select(*kept, *[c.alias(k) for k, c in _syllables().items()])
+    df = df.select(*kept, F.explode(_hypotheses()).alias("__r"))
+    df = df.select(*kept, F.explode(_with_bieup()).alias("__r"))
+    return df.select(*kept, F.col("__r.stem").alias("stem"), F.col("__r.rules").alias("found"), _spelling().alias("spelling"))
 
 
 def spelling_class(stem: Column, rule: Column, boundary: Column) -> Column:
