@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hangul as H
 from ..rules import auxiliaries as A
+from ..storage import cut
 
 #: Syllables of a word within which chains are sought; longer words keep their other readings and are flagged.
 MAX_CHARS = 64
@@ -48,7 +49,8 @@ def chains(edge: DataFrame) -> DataFrame:
     inner = edge.where("stop < n").select("word", "start", F.col("stop").alias("at"), "stem", "form", "morphemes", "rules", "copula_only")
     while True:
         grown = inner.join(frontier, ["word", "at"]).join(F.broadcast(links.withColumnRenamed("connector", "form")), ["form", "aux"])
-        grown = grown.select("word", "start", "stem", "copula_only", F.col("tail"), F.concat("morphemes", "after").alias("after"), F.concat("rules", "why").alias("why"), F.size("morphemes").alias("own")).persist()
+        grown = grown.select("word", "start", "stem", "copula_only", F.col("tail"), F.concat("morphemes", "after").alias("after"), F.concat("rules", "why").alias("why"), F.size("morphemes").alias("own"))
+        grown = cut(grown, "chains")
         whole = grown.where("start = 0").select("word", "stem", "copula_only", "tail", F.col("after").alias("morphemes"), F.col("why").alias("rules"))
         done = whole if done is None else done.unionByName(whole)
         frontier = grown.where(F.col("start") > 0).select("word", F.col("start").alias("at"), F.col("stem").alias("aux"), F.concat(F.array(F.struct(F.concat("stem", F.lit("다")).alias("text"), F.lit("Auxiliary").alias("kind"))), "tail").alias("tail"), "after", F.concat("why", F.array(F.lit("auxiliary"))).alias("why"))

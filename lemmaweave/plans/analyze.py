@@ -11,6 +11,7 @@ from ..operators.chart import chains, edges, segments
 from ..operators.merge import merge
 from ..operators.nominals import contracted, nominal_bases, particle_morphs, peel_particles, pronoun_readings
 from ..operators.predicates import lemma, morph, predicates
+from ..storage import cut, fresh_path
 
 NO_MORPHS = "cast(array() as array<struct<form:string,kind:string>>)"
 NO_SPELLING = "cast(array() as array<string>)"
@@ -34,14 +35,15 @@ def analyze_words(words: DataFrame, text: str = "text") -> DataFrame:
     """word, lemmas, morphemes, unchanged, rules and spelling_paths for each distinct non-empty word of a text column.
 
     Words are normalised to NFC. A word without a Hangul syllable is only itself."""
-    w = words.select(nfc(F.col(text)).alias("text")).where(word_errors(F.col("text")).isNull()).distinct().persist()
+    w = words.select(nfc(F.col(text)).alias("text")).where(word_errors(F.col("text")).isNull()).distinct()
+    w = cut(w, "words")
     korean = w.where(H.has_hangul(F.col("text")))
 
-    chain = peel_particles(korean).unionByName(contracted(korean)).withColumnRenamed("text", "word")
-    parts = segments(korean)
+    chain = cut(peel_particles(korean).unionByName(contracted(korean)).withColumnRenamed("text", "word"), "particles")
+    parts = cut(segments(korean), "segments")
     # Each distinct text that any reading needs as a predicate is analysed once.
     texts = korean.select("text").union(chain.where(F.size("chain") > 0).select("base")).union(parts.select("segment")).distinct()
-    readings = predicates(texts).persist()
+    readings = cut(predicates(cut(texts, "texts")), "predicates")
 
     own = readings.join(korean, "text").withColumnRenamed("text", "word")
     no_rules = F.expr(NO_SPELLING)
@@ -66,7 +68,7 @@ def analyze_words(words: DataFrame, text: str = "text") -> DataFrame:
     copula_morphs = F.concat(F.transform("suffixes", lambda x: morph(x, "Suffix")), particle_morphs(F.col("chain")), F.col("morphemes"))
     out.append(_analysis(base, "word", F.array(lemma(F.col("base"), "Nominal"), lemma(F.lit("이다"), "Copula")), copula_morphs, F.concat("outer", "rules", F.array(F.lit("copula")))))
     # Auxiliary chains, the first predicate lexical or a nominal with the copula
-    path = chains(edges(parts, readings)).persist()
+    path = chains(cut(edges(parts, readings), "edges"))
     out.append(_analysis(path.where(~F.col("copula_only")), "word", F.concat(F.array(lemma(F.concat("stem", F.lit("다")), "Predicate")), "tail"), F.col("morphemes"), F.col("rules")))
     out.append(_analysis(_copula_bases(path), "word", F.concat(F.array(lemma(F.col("nominal"), "Nominal"), lemma(F.lit("이다"), "Copula")), "tail"), F.col("morphemes"), F.concat("rules", F.array(F.lit("copula")))))
     # Polite copula
@@ -78,6 +80,27 @@ def analyze_words(words: DataFrame, text: str = "text") -> DataFrame:
     return merge(all_)
 
 
+class Session:
+    """A word cache: each distinct word is analysed once, by the first call that brings it; later calls join."""
+
+    def __init__(self, spark) -> None:  # noqa: ANN001
+        self.spark, self.path, self.batches = spark, fresh_path(spark, "analyses"), 0
+
+    def cached(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.path) if self.batches else None
+
+    def analyze(self, words: DataFrame, text: str = "text") -> DataFrame:
+        """Analyses of the words, most from the cache."""
+        w = words.select(nfc(F.col(text)).alias("text")).distinct()
+        known = self.cached()
+        new = w if known is None else w.join(known.select(F.col("word").alias("text")).distinct(), "text", "left_anti")
+        new = cut(new, "new-words")
+        if known is None or not new.isEmpty():
+            analyze_words(new).write.mode("append").parquet(self.path)
+            self.batches += 1
+        return self.cached().join(w.withColumnRenamed("text", "word"), "word", "left_semi")
+
+
 # Endings that may stand before a particle, by particle.
 BEFORE = {
     "요": "어 지 네 는데 은데 을까 고 거든 니까 으니까 는가 은가 나 던데 더군 군 어서 을게 을래 으려고 다고 라고 자고 냐고 면 으면 게 지만 으면서",

@@ -15,7 +15,7 @@ from .functions import hangul as H
 from .functions.tokens import tokenize
 from .operators.merge import lemma_strings
 from .operators.nominals import assumed
-from .plans.analyze import analyze_words
+from .plans.analyze import Session, analyze_words
 from .rules import endings as E
 from .rules import particles as P
 from .spacing import suggest
@@ -81,13 +81,26 @@ def _dictionary(spark: SparkSession, pairs: list[tuple[str, str]]) -> TableDicti
     return TableDictionary(spark.createDataFrame(rows, "id string, headword string, homonym string, pos string"))
 
 
+_SESSIONS: dict[str, Session] = {}
+
+
+def session(spark: SparkSession) -> Session:
+    """The word cache of a Spark application, filled with the words of all families at first: one analysis for all of them."""
+    key = spark.sparkContext.applicationId
+    if key not in _SESSIONS:
+        _SESSIONS[key] = Session(spark)
+        words = sorted({s for n in WORDS for s, _ in family(n)[2]} | {"나는"})
+        _SESSIONS[key].analyze(spark.createDataFrame([(w,) for w in words], "text string"))
+    return _SESSIONS[key]
+
+
 def recovered(name: str) -> Callable[[SparkSession, str], DataFrame]:
     """key, surface and lemma_group: the groups of each word that a small dictionary of the family supports as a whole."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spelled(spark, sf_dir, name)
         distinct = rows.select(F.col("surface").alias("text")).distinct()
-        listed = headword_filter(annotate(analyze_words(distinct), _dictionary(spark, family(name)[2])))
+        listed = headword_filter(annotate(session(spark).analyze(distinct), _dictionary(spark, family(name)[2])))
         groups = listed.where("not unchanged").select(F.col("word").alias("surface"), F.array_join(F.transform("lemmas", lambda x: x["text"]), "+").alias("lemma_group")).distinct()
         return rows.join(groups, "surface").select("key", "surface", "lemma_group")
 
@@ -235,7 +248,7 @@ def lemma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of two families, and whether the expected lemma is among the sorted distinct lemma texts of each."""
     pairs = [p for n in ("regular_vowel", "particle") for p in family(n)[2]]
     want = spark.createDataFrame(pairs, "word string, lemma string")
-    found = lemma_strings(analyze_words(want.select(F.col("word").alias("text"))))
+    found = lemma_strings(session(spark).analyze(want.select(F.col("word").alias("text"))))
     return found.join(F.broadcast(want), "word").select("word", "lemma", F.array_contains("lemma_strings", F.col("lemma")).alias("listed"))
 
 
@@ -250,7 +263,7 @@ def compatible_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of 나는 that a dictionary lists and does not contradict: the noun entry of 날다's homograph is no verb."""
     rows = [(f"h{i}", h, "0", p) for i, (_, h, p) in enumerate(HOMONYMS)] + [("h9", "나느다", "0", "명사")]
     d = TableDictionary(spark.createDataFrame(rows, "id string, headword string, homonym string, pos string"))
-    a = compatible_filter(annotate(analyze_words(spark.createDataFrame([("나는",)], "text string")), d)).where("not unchanged")
+    a = compatible_filter(annotate(session(spark).analyze(spark.createDataFrame([("나는",)], "text string")), d)).where("not unchanged")
     return a.select("word", F.get("lemmas", F.lit(0))["text"].alias("lemma")).distinct()
 
 

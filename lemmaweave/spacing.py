@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .dictionary import Dictionary, annotate, compatible_filter
 from .functions import hangul as H
 from .plans.analyze import analyze_words
+from .storage import cut
 
 MAX_CHARS = 64
 # Case particles that may close a nominal part.
@@ -37,15 +38,15 @@ def _roles(parts: DataFrame, dictionary: Dictionary) -> DataFrame:
 
 def suggest(words: DataFrame, dictionary: Dictionary, text: str = "text") -> DataFrame:
     """word, rule, spaced, inserted_at (byte offsets) and complete of each hypothesis."""
-    cut = splits(words, text).persist()
-    roles = _roles(cut.select(F.explode(F.array("first", "second")).alias("text")), dictionary).persist()
+    places = cut(splits(words, text), "splits")
+    roles = cut(_roles(places.select(F.explode(F.array("first", "second")).alias("text")), dictionary), "roles")
     a = roles.where("role = 'case'").select(F.col("text").alias("first"))
     b = roles.where("role = 'predicate'").select(F.col("text").alias("second"))
-    case = cut.join(a, "first").join(b, "second").withColumn("rule", F.lit("spacing.nominal_case_predicate"))
+    case = places.join(a, "first").join(b, "second").withColumn("rule", F.lit("spacing.nominal_case_predicate"))
     whole = analyze_words(words, text)
     chain = whole.where((F.size("lemmas") == 2) & (F.element_at(F.transform("lemmas", lambda x: x["kind"]), -1) == "Auxiliary"))
     ends = chain.select("word", F.transform("lemmas", lambda x: x["text"]).alias("ls")).distinct()
     p = roles.where("role = 'predicate'").select(F.col("text").alias("first"))
-    aux = cut.join(ends, "word").where(F.left("second", F.lit(1)).isNotNull()).join(p, "first").where(F.col("first").rlike("[어아여고지게야해]$")).select("second", "first", "word", "at").distinct().withColumn("rule", F.lit("spacing.predicate_auxiliary"))
+    aux = places.join(ends, "word").where(F.left("second", F.lit(1)).isNotNull()).join(p, "first").where(F.col("first").rlike("[어아여고지게야해]$")).select("second", "first", "word", "at").distinct().withColumn("rule", F.lit("spacing.predicate_auxiliary"))
     out = case.select("word", "at", "first", "second", "rule").unionByName(aux.select("word", "at", "first", "second", "rule"))
     return out.select("word", "rule", F.concat_ws(" ", "first", "second").alias("spaced"), F.array(F.octet_length("first").cast("long")).alias("inserted_at"), F.lit(True).alias("complete")).distinct()
