@@ -3,52 +3,27 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+import time
 
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text that one group of documents holds when documents are dealt to groups by hash.
-GROUP_BYTES = 12 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir, or (tests only) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lemmaweave-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from ..storage import cut, drop_cut, fresh_path, shared_dir
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+__all__ = ["cut", "drop_cut", "fresh_path", "shared_dir"]
 
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """df written to the shared folder and read again: a lineage cut that survives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.lw_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Removes the files behind a cut that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "lw_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: Text that one group of documents holds when documents are dealt to groups by hash.
+GROUP_BYTES = 12 << 20
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished jobs."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffle files of finished jobs: it waits for the driver's garbage collection."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def groups_for(docs: DataFrame, text: str = "text", per_group: int = GROUP_BYTES) -> int:
@@ -110,20 +85,38 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of other than ASCII white space) of all texts in turn, and each text's number of words."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a separator after each text
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+#: Bytes of text hashed at once, but for a longer word.
+CHUNK_BYTES = 1 << 20
+
+
+def _hash_words(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of bytes that end in a separator."""
     word = ~_SPACE[data]
-    start = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
-    end = np.flatnonzero(~word & np.concatenate([[False], word[:-1]]))
+    before = np.concatenate([[False], word[:-1]])
+    start, end = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
     if lower:
         data = _LOWER[data]
     s = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(len(data)), dtype=np.uint64)])
-    h = mix((s[end] - s[start]) * _power(len(data), True)[start] + (end - start).astype(np.uint64))
-    stop = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return h, np.diff(np.searchsorted(start, stop), prepend=0)
+    return mix((s[end] - s[start]) * _power(len(data), True)[start] + (end - start).astype(np.uint64)), start
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of other than ASCII white space) of all texts in turn, and each text's number of words.
+    Works through the bytes in chunks that end between words, so memory does not follow the length of a text."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a separator after each text
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        stop = at + CHUNK_BYTES
+        while stop < len(data) and not (gap := np.flatnonzero(_SPACE[data[stop : stop + CHUNK_BYTES]])[:1]).size:
+            stop += CHUNK_BYTES
+        stop = min(stop + int(gap[0]) + 1, len(data)) if stop < len(data) else len(data)
+        h, s = _hash_words(data[at:stop], lower)
+        hashes.append(h)
+        starts.append(s + at)
+        at = stop
+    h, start = np.concatenate(hashes), np.concatenate(starts)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return h, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 def byte_slices(texts: list[str | None], limit: int) -> list[tuple[int, list[bytes]]]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, byte_slices, cut, groups_for, pack, pack_sorted, release, rolling, unpack, unpack_sorted, word_hashes
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 PRIOR = 2000.0
 END = np.uint64(0x5851F42D4C957F2D)
 

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import bucket_of, byte_slices, cut, groups_for, pack, pack_sorted, release, rolling, unpack, unpack_sorted, word_hashes
 
 MIN_FACTOR = 13
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 _NONE = np.iinfo(np.int64).max
 
 
