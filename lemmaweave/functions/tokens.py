@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Unicode White_Space, then the categories P*, S*, Cc and Cf.
 SPACE = r"\t-\r\x{85}\p{Z}"
@@ -51,7 +52,7 @@ def starts_of(sizes: Column) -> Column:
     return F.flatten(F.aggregate(blocks, empty, whole)["out"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, for which Spark has no function."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

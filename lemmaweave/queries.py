@@ -40,7 +40,7 @@ WORDS = {
     "particle_chain": "집에서는 집|회사까지만 회사|동생에게도 동생|마을로부터는 마을|선생님께서만 선생님",
     "nominal_suffix": "사람들 사람|선생님들이 선생|하나씩만 하나|세시쯤에 세시",
     "pronoun": "내가 나|네가 너|누가 누구|뭘 무엇",
-    "copula": "학교입니다 학교+이다|바보였어 바보+이다|책이라면 책+이다|의자다 의자+이다|봄인데 봄+이다|친구냐고 친구+이다",
+    "copula": "학교입니다 학교+이다|바보였어 바보+이다|책이라면 책+이다|의사니까 의사+이다|봄인데 봄+이다|친구냐고 친구+이다",
     "polite_copula": "선생이에요 선생+이다|바다예요 바다+이다|아니에요 아니다",
     "nominalized": "읽기를 읽다|만나기는 만나다|슬픔을 슬프다|보기만 보다",
     "auxiliary": "읽어보았다 읽다+보다|놀고있어요 놀다+있다|가고싶다 가다+싶다|잊지못했다 잊다+못하다|먹어버렸다 먹다+버리다",

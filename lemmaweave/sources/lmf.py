@@ -17,7 +17,7 @@ def decode_entities(c: Column) -> Column:
 
     def number(x: Column) -> Column:
         code = F.when(x.startswith("&#x"), F.conv(F.regexp_extract(x, "&#x([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(x, "&#([0-9]+);", 1)).cast("bigint")
-        return F.when((code > 0) & (code < 0x110000), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")).otherwise(x)
+        return F.when((code > 0) & (code < 0x110000), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(x)
 
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^&#x?[0-9A-Fa-f]+;$"), number(x)).otherwise(F.coalesce(F.try_element_at(named, x), x))), "")
 
@@ -67,7 +67,7 @@ def parse_entries(raw: DataFrame, entry: str = "entry") -> DataFrame:
 
 def read_lmf(spark: SparkSession, path: str) -> DataFrame:
     """All entries of LMF JSON files, one row an entry."""
-    doc = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("doc"))
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
     return parse_entries(doc.select(F.explode(many(F.col("doc"), "$.LexicalResource.Lexicon.LexicalEntry")).alias("entry")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def read_text(spark: SparkSession, path: str, *, whole: bool = True) -> DataFrame:
     """doc_id (the file's path, or the line's place in it) and text of each file, or line."""
     if whole:
-        return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     return spark.read.text(path).select(F.concat_ws(":", F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("doc_id"), F.col("value").alias("text"))
 
 
