@@ -95,8 +95,8 @@ def suffix_array(ids: np.ndarray, depth: int, n_vocab: int) -> np.ndarray:
     return pos
 
 
-def search(ids: np.ndarray, sa: np.ndarray, t: Tests) -> tuple[np.ndarray, ...]:
-    """For each test suffix: the range of the suffixes that hold its window, its longest match, and the range of that."""
+def search(ids: np.ndarray, sa: np.ndarray, t: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each test suffix: the range of the array that holds its window, and its longest match in the shard."""
 
     def bound(lo: np.ndarray, hi: np.ndarray, want: np.ndarray, d: int, after: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
@@ -109,8 +109,7 @@ def search(ids: np.ndarray, sa: np.ndarray, t: Tests) -> tuple[np.ndarray, ...]:
         return lo
 
     n = len(t.starts)
-    lo, hi = np.zeros(n, np.int64), np.full(n, len(sa), np.int64)
-    best, blo, bhi = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    lo, hi, best = np.zeros(n, np.int64), np.full(n, len(sa), np.int64), np.zeros(n, np.int64)
     wlo, whi = np.zeros(n, np.int64), np.zeros(n, np.int64)
     live = np.arange(n)
     for d in range(t.depth):
@@ -122,10 +121,10 @@ def search(ids: np.ndarray, sa: np.ndarray, t: Tests) -> tuple[np.ndarray, ...]:
         b = bound(a, hi[live], want, d, True)
         lo[live], hi[live] = a, b
         live = live[b > a]
-        best[live], blo[live], bhi[live] = d + 1, lo[live], hi[live]
+        best[live] = d + 1
         full = live[t.widths[live] == d + 1]
         wlo[full], whi[full] = lo[full], hi[full]
-    return wlo, whi, best, blo, bhi
+    return wlo, whi, best
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +149,9 @@ def judge(texts: list[str | None], t: Tests) -> list[tuple[int, bytes, list[str]
         for at, x in zip(first, shard, strict=True):
             ids[at : at + len(x)] = x
         sa = suffix_array(ids, t.depth, len(t.vocab))
-        wlo, whi, best, blo, bhi = search(ids, sa, t)
+        wlo, whi, _ = search(ids, sa, t)
         delta = np.zeros(len(ids) + 1, np.int64)
-        pairs = np.empty((0, 2), np.int64)
+        pairs, longest = np.empty((0, 2), np.int64), np.zeros(len(shard), np.int64)
         if (hits := np.flatnonzero(whi > wlo)).size:
             at, which = _spread(wlo[hits], whi[hits])
             at, q = sa[at], hits[which]
@@ -160,10 +159,13 @@ def judge(texts: list[str | None], t: Tests) -> list[tuple[int, bytes, list[str]
             np.add.at(delta, at + t.widths[q], -1)
             doc = np.searchsorted(first, at, side="right") - 1
             pairs = np.unique(np.stack([doc, t.owners[q]], 1), axis=0)
-        longest = np.zeros(len(shard), np.int64)
-        if (long := np.flatnonzero((best >= t.widths) & (t.widths > 0))).size:
-            at, which = _spread(blo[long], bhi[long])
-            np.maximum.at(longest, np.searchsorted(first, sa[at], side="right") - 1, best[long][which])
+            n_same = t.widths[q].copy()
+            live = np.arange(len(q))
+            while live.size:  # each place's own match goes on beyond the window
+                want = t.flat[t.starts[q[live]] + n_same[live]]
+                live = live[(want > 0) & (ids[at[live] + n_same[live]] == want)]
+                n_same[live] += 1
+            np.maximum.at(longest, doc, n_same)
         hit = np.cumsum(delta[:-1]) > 0
         items: list[list[str]] = [[] for _ in shard]
         for d, o in pairs.tolist():
