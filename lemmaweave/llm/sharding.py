@@ -2,9 +2,9 @@
 
 Links are kept as membership of groups (here: equal texts), never as pairs. Shards start from a hash of the id. In
 each round, a group's votes are its members' counts by shard; a member wants the shard with the most votes
-of its groups among those with room (ties: the first in the group's own order of shards). What a shard takes in
-is bounded by a quota, its capacity less the members that it holds; a histogram of hash buckets decides who moves, so that no
-shard overflows and no task sees all movers. Rounds end when nobody moves, or after ROUNDS.
+of its groups (ties: the first in the group's own order of shards). A quota bounds each flow between two shards: as many
+as come the other way, and beyond that what the capacity of the shard leaves free; a histogram of hash buckets decides who moves, so that no
+task sees all movers. Rounds end when nobody has moved for three, or after ROUNDS.
 
 Law `rows`: shard counts are at most one apart. Documents are ranked within their shards, grouped ones
 first; the ranks beyond the shard's share fill the free places of other shards in order. So groups are cut
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut
 
 SHARDS = 8
-ROUNDS = 6
+ROUNDS = 12
 #: Hash buckets of a shard's movers and of its ranks.
 FINE = 1024
 
@@ -40,34 +40,50 @@ def _array(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
+def _quotas(wish: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many may move from shard to shard: as many as come the other way, and beyond that into free room."""
+    n, left = range(len(wish)), list(room)
+    out = [[min(wish[i][j], wish[j][i]) for j in n] for i in n]
+    for j in n:
+        for i in sorted(n, key=lambda i: out[i][j] - wish[i][j]):
+            more = min(wish[i][j] - out[i][j], left[j])
+            out[i][j] += more
+            left[j] -= more
+    return out
+
+
 def propagate(nodes: DataFrame, links: DataFrame, capacity: int, *, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """nodes (node, shard) after balanced label propagation over links (node, hub)."""
+    idle = 0
     for step in range(rounds):
         held = _totals(nodes, shards)
-        room = [capacity - n for n in held]
-        if max(room) <= 0:
-            break
+        room = [max(0, capacity - n) for n in held]
         votes = links.join(nodes, "node").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-        # A full shard still keeps those whose groups are mostly there: it votes, and wanting to stay is no move.
+        # Every third round leaves out full shards, so that what they cannot hold of a large group gathers elsewhere.
         wish = votes.groupBy("hub").agg(*[F.coalesce(F.sum(F.when(F.col("shard") == s, F.col("n"))), F.lit(0)).alias(f"v{s}") for s in range(shards)])
         mine = links.join(wish, "hub")
         near = mine.groupBy("node").agg(*[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)], F.min("hub").alias("hub"))
         here = near.join(nodes, "node")
-        rank = [F.struct(F.when((F.lit(room[s] > 0)) | (F.col("shard") == s), F.col(f"v{s}")).otherwise(F.lit(-1)).alias("v"), (-F.pmod(F.lit(s) + F.col("hub"), F.lit(shards))).alias("o"), F.lit(s).alias("s")) for s in range(shards)]
+        rank = [F.struct(F.when(F.lit(held[s] < capacity or step % 3 < 2) | (F.col("shard") == s), F.col(f"v{s}")).otherwise(F.lit(-1)).alias("v"), (-F.pmod(F.lit(s) + F.col("hub"), F.lit(shards))).alias("o"), F.lit(s).alias("s")) for s in range(shards)]
         here = here.select("node", "shard", F.greatest(*rank)["s"].alias("to"))
         movers = cut(here.where("`to` <> shard").withColumn("fine", F.pmod(F.xxhash64("node", F.lit(step)), F.lit(FINE))), "movers")
-        tally = movers.groupBy("to", "fine").count().withColumn("upto", F.sum("count").over(Window.partitionBy("to").orderBy("fine")))
-        open_ = tally.where(F.col("upto") <= F.get(_array(room), F.col("to"))).groupBy("to").agg(F.max("fine").alias("last")).collect()
-        last = [-1] * shards
-        for t, f in open_:
-            last[t] = f
-        moved = movers.where(F.col("fine") <= F.get(_array(last), F.col("to"))).select("node", "to")
+        wish_ = [[0] * shards for _ in range(shards)]
+        for i, j, n in movers.groupBy("shard", "to").count().collect():
+            wish_[i][j] = n
+        quota = [x for row in _quotas(wish_, room) for x in row]
+        pair = F.col("shard") * shards + F.col("to")
+        tally = movers.groupBy("shard", "to", "fine").count().withColumn("upto", F.sum("count").over(Window.partitionBy("shard", "to").orderBy("fine")))
+        last = [-1] * (shards * shards)
+        for p, f in tally.where(F.col("upto") <= F.get(_array(quota), pair)).groupBy(pair.alias("p")).agg(F.max("fine")).collect():
+            last[p] = f
+        moved = movers.where(F.col("fine") <= F.get(_array(last), pair)).select("node", "to")
         after = cut(nodes.join(moved, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), "labels")
         n = moved.count()
         drop_cut(movers)
         drop_cut(nodes)
         nodes = after
-        if not n:
+        idle = 0 if n else idle + 1
+        if idle == 3:
             break
     return nodes
 
@@ -111,7 +127,8 @@ def shard_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     linked = rows.join(groups, "hub", "left_semi").select("node", "hub")
     links = cut(linked, "links")
     start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")
-    capacity = rows.count() // shards
+    share = rows.count() // shards
+    capacity = share + share // 32  # what is over the share in the end gives way in even_counts, ungrouped documents first
     labels = propagate(cut(links.select("node", start), "labels"), links, capacity, shards=shards)
     placed = rows.join(labels.withColumnRenamed("shard", "label"), "node", "left").select("doc_id", "size", "text_crc32", "hub", "node", F.col("label").isNotNull().alias("grouped"), F.coalesce("label", start).alias("shard"))
     out = even_counts(placed, shards=shards)
