@@ -30,7 +30,7 @@ def _roles(parts: DataFrame, dictionary: Dictionary) -> DataFrame:
     """text and role of each part that the dictionary supports: case (nominal and case particle), predicate, auxiliary, connector."""
     read = compatible_filter(annotate(analyze_words(parts).where("not unchanged"), dictionary))
     kinds = F.transform("lemmas", lambda x: x["kind"])
-    last = F.element_at("morphemes", -1)
+    last = F.try_element_at(F.col("morphemes"), F.lit(-1))
     case = (F.size("lemmas") == 1) & (F.get(kinds, F.lit(0)) == "Nominal") & (last["kind"] == "Particle") & last["form"].isin(*CASES)
     predicate = (F.size("lemmas") == 1) & (F.get(kinds, F.lit(0)) == "Predicate") & (last["kind"] == "Ending")
     return read.select(F.col("word").alias("text"), F.when(case, "case").when(predicate, "predicate").alias("role")).where("role is not null").distinct()
@@ -44,7 +44,7 @@ def suggest(words: DataFrame, dictionary: Dictionary, text: str = "text") -> Dat
     b = roles.where("role = 'predicate'").select(F.col("text").alias("second"))
     case = places.join(a, "first").join(b, "second").withColumn("rule", F.lit("spacing.nominal_case_predicate"))
     whole = analyze_words(words, text)
-    chain = whole.where((F.size("lemmas") == 2) & (F.element_at(F.transform("lemmas", lambda x: x["kind"]), -1) == "Auxiliary"))
+    chain = whole.where((F.size("lemmas") == 2) & (F.try_element_at(F.transform("lemmas", lambda x: x["kind"]), F.lit(-1)) == "Auxiliary"))
     ends = chain.select("word", F.transform("lemmas", lambda x: x["text"]).alias("ls")).distinct()
     p = roles.where("role = 'predicate'").select(F.col("text").alias("first"))
     aux = places.join(ends, "word").where(F.left("second", F.lit(1)).isNotNull()).join(p, "first").where(F.col("first").rlike("[어아여고지게야해]$")).select("second", "first", "word", "at").distinct().withColumn("rule", F.lit("spacing.predicate_auxiliary"))

@@ -124,3 +124,16 @@ def test_corpus_evaluation(spark, tmp_path, analyses):
     assert V.baseline_regressions(sets, new).count() == 1 and V.baseline_regressions(new, sets).count() == 0
     j = spark.createDataFrame([("1", "나무를", ["나무"], "required"), ("2", "나무를", ["나물"], "forbidden")], "id string, surface string, lemmas array<string>, verdict string")
     assert V.judge_ledger(j, analyses).where("not met").count() == 0 and V.review_queue(j, analyses).count() > 0
+
+
+def test_every_rule_is_explained(analyses):
+    from lemmaweave.rules.explanations import explain
+
+    assert [r.rule for r in explain(analyses).where("explanation is null").collect()] == []
+
+
+def test_spacing(spark):
+    from lemmaweave.queries import SPACED, spacing_case
+
+    got = {(r.word, r.spaced, r.at) for r in spacing_case(spark, "").collect()}
+    assert got == {(w, s, len(s.split(" ")[0].encode())) for w, s in SPACED if s}
