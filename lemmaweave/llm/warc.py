@@ -29,6 +29,8 @@ VERSION = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 MIN_BYTES = 0
 MAX_RECORDS = 20_000
+#: Repeated payloads up to which their table is sent to every task.
+BROADCAST_ROWS = 100_000
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
@@ -43,6 +45,9 @@ def with_roles(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = cut(first, "repeated")
+    if first.count() <= BROADCAST_ROWS:  # about 100 bytes a row; beyond that the pages are dealt by digest
+        first = F.broadcast(first)
     return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "size", F.when(F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull()) & ((F.col("size") >= min_bytes)), F.col("first")).alias("original"))
 
 
