@@ -9,13 +9,20 @@ treat as one token is encoded whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
+import threading
+import time
 
 import numpy as np
 
-#: Distinct pieces that a worker keeps; then it starts anew.
+#: Distinct pieces that a worker keeps (about 200 bytes each); then only those of the last two calls stay.
 CACHE_PIECES = 1_500_000
+#: Seconds without a call after which a worker gives its cache back; idle workers would hold it beside other work.
+IDLE_S = 3.0
 _RUN = re.compile(r"  \s")
 
 
@@ -32,16 +39,33 @@ class PieceEncoder:
         self.spaced = '"normalizer":null' in head and '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in head and '"use_regex":true' in head
         self.dropped = '"end_of_word_suffix":"</w>"' in head and '"content":" "},{"type":"Lowercase"}' in head and '"behavior":"Removed","invert":true' in head
         self.cache: dict[str, bytes] = {}
+        self.last: set[str] = set()
+        self.busy, self.used = threading.Lock(), time.monotonic()
+        threading.Thread(target=self._give_back, daemon=True).start()
+
+    def _give_back(self) -> None:
+        while True:
+            time.sleep(IDLE_S / 2)
+            if self.cache and time.monotonic() - self.used > IDLE_S and self.busy.acquire(blocking=False):
+                self.cache, self.last = {}, set()
+                self.busy.release()
+                gc.collect()
+                with contextlib.suppress(OSError, AttributeError):
+                    ctypes.CDLL(None).malloc_trim(0)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without added special tokens; their strings in a text are read as the library's default does."""
+        with self.busy:
+            out = self._many(texts)
+            self.used = time.monotonic()
+        return out
+
+    def _many(self, texts: list[str]) -> list[bytes]:
         if not (self.spaced or self.dropped):
             return [self._raw([t])[0] for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
         cache, lead, parts = self.cache, " " if self.spaced else "", []
         need: set[str] = set()
         for t in texts:
@@ -55,6 +79,9 @@ class PieceEncoder:
         for at in range(0, len(miss), 20_000):
             some = miss[at : at + 20_000]
             cache.update(zip(some, self._raw([lead + w for w in some] if lead else some), strict=True))
+        if len(cache) > CACHE_PIECES:
+            self.cache = {w: cache[w] for w in need & self.last}
+        self.last = need
         get, out = cache.__getitem__, []
         whole = iter(self._raw([t if p is None else p[0] for t, p in zip(texts, parts, strict=True) if self.spaced or p is None]))
         for p in parts:
