@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import bucket_of, byte_slices, cut, groups_for, pack, pack_sorted, release, rolling, unpack, unpack_sorted, word_hashes
 
 SLICE_BYTES = 6 << 20
+#: Text of a block; its automaton takes about 60 times as much memory.
+BLOCK_BYTES = 6 << 20
 PRIOR = 2000.0
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -155,7 +157,7 @@ OUT = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens lo
 
 def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out_of: int = 7, held_out: int = 2, prior: float = PRIOR) -> DataFrame:
     """Counts and log10 probabilities of each document; training leaves out crc32(id as text) mod held_out_of = held_out."""
-    spark, blocks = docs.sparkSession, groups_for(docs, text)
+    spark, blocks = docs.sparkSession, groups_for(docs, text, BLOCK_BYTES)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = keyed.withColumn("train", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % held_out_of != held_out)
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
