@@ -2,7 +2,7 @@
 
 Links are kept as membership of groups (here: equal texts), never as pairs. Shards start from a hash of the id. In
 each round, a group's votes are its members' counts by shard; a member wants the shard with the most votes
-of its groups (ties: the first in the group's own order of shards). A quota bounds each flow between two shards: as many
+of its groups (ties: the first in an order of the group that turns with the rounds). A quota bounds each flow between two shards: as many
 as come the other way, and beyond that what the capacity of the shard leaves free; a histogram of hash buckets decides who moves, so that no
 task sees all movers. Rounds end when nobody has moved for three, or after ROUNDS.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut
 
 SHARDS = 8
-ROUNDS = 12
+ROUNDS = 9
 #: Hash buckets of a shard's movers and of its ranks.
 FINE = 1024
 
@@ -64,7 +64,7 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: int, *, shards: int
         mine = links.join(wish, "hub")
         near = mine.groupBy("node").agg(*[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)], F.min("hub").alias("hub"))
         here = near.join(nodes, "node")
-        rank = [F.struct(F.when(F.lit(held[s] < capacity or step % 3 < 2) | (F.col("shard") == s), F.col(f"v{s}")).otherwise(F.lit(-1)).alias("v"), (-F.pmod(F.lit(s) + F.col("hub"), F.lit(shards))).alias("o"), F.lit(s).alias("s")) for s in range(shards)]
+        rank = [F.struct(F.when(F.lit(held[s] < capacity or step % 3 < 2) | (F.col("shard") == s), F.col(f"v{s}")).otherwise(F.lit(-1)).alias("v"), (-F.pmod(F.lit(s + 5 * step) + F.col("hub"), F.lit(shards))).alias("o"), F.lit(s).alias("s")) for s in range(shards)]
         here = here.select("node", "shard", F.greatest(*rank)["s"].alias("to"))
         movers = cut(here.where("`to` <> shard").withColumn("fine", F.pmod(F.xxhash64("node", F.lit(step)), F.lit(FINE))), "movers")
         wish_ = [[0] * shards for _ in range(shards)]
