@@ -3,8 +3,9 @@
 A text is cut at single spaces and each distinct piece is encoded by the library once per worker. That gives
 the ids of the whole text, because both kinds of files that are supported never join across such a space:
 byte-level BPE with the usual pattern puts a lone space in front of the piece that follows it, and word-end
-BPE drops white space. A text in which a space belongs to a longer run of white space that the pattern could
-treat as one token is encoded whole.
+BPE drops white space. Within a run of white space the pattern keeps what the cuts part in one token, so there
+a cut is safe unless a token of the vocabulary has a space after its first byte. A text that holds the
+characters of such a token is encoded whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import json
 import os
 import re
 import threading
@@ -23,7 +25,23 @@ import numpy as np
 CACHE_PIECES = 1_500_000
 #: Seconds without a call after which a worker gives its cache back; idle workers would hold it beside other work.
 IDLE_S = 3.0
-_RUN = re.compile(r"  \s")
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def joined_spaces(vocabulary: dict[str, int]) -> re.Pattern[str] | None:
+    """Matches each text in which some token of a byte-level vocabulary could lie across a cut before a space."""
+    of, found = _byte_of(), set()
+    for token in vocabulary:
+        if "\u0120" in token[1:] and all(c in of for c in token):
+            found.add(bytes(of[c] for c in token).decode(errors="ignore"))  # parts of characters at the ends are left out
+    least = sorted(t for t in found if not any(o != t and o in t for o in found))
+    return re.compile("|".join(map(re.escape, least))) if least else None
 
 
 class PieceEncoder:
@@ -38,6 +56,7 @@ class PieceEncoder:
         head = spec[: spec.index('"vocab"')]
         self.spaced = '"normalizer":null' in head and '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in head and '"use_regex":true' in head
         self.dropped = '"end_of_word_suffix":"</w>"' in head and '"content":" "},{"type":"Lowercase"}' in head and '"behavior":"Removed","invert":true' in head
+        self.joined = joined_spaces(json.loads(spec)["model"]["vocab"]) if self.spaced else None
         self.cache: dict[str, bytes] = {}
         self.last: set[str] = set()
         self.busy, self.used = threading.Lock(), time.monotonic()
@@ -69,7 +88,7 @@ class PieceEncoder:
         cache, lead, parts = self.cache, " " if self.spaced else "", []
         need: set[str] = set()
         for t in texts:
-            if self.spaced and "  " in t and _RUN.search(t):
+            if self.joined and self.joined.search(t):
                 parts.append(None)
                 continue
             p = t.split(" ")

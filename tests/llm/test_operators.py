@@ -224,6 +224,17 @@ def test_pieces_are_whole_texts(odd_texts, name):
         assert np.frombuffer(ids, "<u4").tolist() == e.lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_pieces_of_mixed_white_space():
+    e = tokenize.PieceEncoder(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    texts = ["Home \xa0 \xa0 About", "A \xa0 \xa0 \xa0 \xa0 B", "\xa0 \xa0", " \xa0 \xa0", "x\xa0 \xa0 \xa0"]
+    texts += ["".join(rng.choice([" ", " ", "\xa0", "\xa0", "\n", "\u3000", "a", "1", "!"]) for _ in range(rng.randrange(1, 16))) for _ in range(20_000)]
+    for t, ids in zip(texts, e.many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.lib.encode(t, add_special_tokens=False).ids, repr(t)
+    assert tokenize.joined_spaces({"\u0120a": 0, "a\u0120\u0120": 1, "a\u0120": 2}).pattern == "a\\ "
+    assert tokenize.joined_spaces({"\u0120a": 0, "a": 1}) is None
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
