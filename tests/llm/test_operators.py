@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lemmaweave.llm import common, crc32c, decontaminate, lm, packing, quality, records, sharding, simhash, substring, token_counts, tokenize, warc
+from lemmaweave.llm import common, crc32c, decontaminate, jaccard, lm, packing, quality, records, sharding, simhash, substring, token_counts, tokenize, warc
 from lemmaweave.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -393,6 +393,45 @@ def test_quality(spark, rows, docs, empty):
     assert quality.judge_quality(empty, labels).count() == 0
 
 
+# ---- near-dedup of the pipeline ----
+
+
+def brute_similar(rows) -> list[int]:
+    """For each row, the least id of its component by exact Jaccard similarity of 5-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    of = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and of[i] != of[j]:
+                of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
+    return [min(rows[k][0] for k in range(len(rows)) if of[k] == c) for c in of]
+
+
+def test_similar(spark, docs):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 8, 60, 300]))]
+        for _ in range(rng.randrange(1, 6)):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, len(w) // 50])):
+                w[rng.randrange(len(w))] = "Edited"
+            rows.append(" ".join(w))
+    rows += [None, "", " \n", rows[0].upper()]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = {i for (i, _), c in zip(rows, brute_similar(rows), strict=True) if c == i}
+    d = spark.createDataFrame([(i, t, "x") for i, t in [*rows, (None, rows[0][1])]], "doc_id long, text string, set string")
+    out = jaccard.drop_similar(d)
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(want)
+    assert out.where("doc_id is null").count() == 1 and jaccard.drop_similar(d.where("false")).count() == 0
+    by_radius = {r.doc_id for r in simhash.drop_near_duplicates(d).collect()} - {None}
+    assert by_radius - want, "pairs that a radius of 4 bits leaves apart"
+
+
 # ---- 8 ----
 
 
