@@ -5,12 +5,17 @@ raw-corpus multinomials count the buckets over all documents; the trusted-target
 ones, a deterministic sample of at most TRUSTED labelled rows. A document's score is the mean over its n-grams
 of log(p_target / p_raw), with one added to each count, in units of 1 / SCALE and rounded for each bucket, so
 that sums are whole numbers and the verdict does not depend on their order. A document is kept if it
-passes the base rules and its score is at least THRESHOLD.
+passes the base rules, its score is at least THRESHOLD and it has fewer than TOXIC_WORDS distinct toxic words.
 
-Only the bucket counts (2 * BUCKETS rows, whatever the input) reach the driver; texts are never shuffled.
+A mean over a whole text hides a few telling words, so toxic words are learned apart, each by itself, from a
+deterministic sample of at most TRUSTED labelled rows: those in TOXIC_DOCS toxic documents at least, whose share of
+the toxic documents is TOXIC_RATIO times that of the others at least, with one added to the others' count.
+
+Only the bucket counts (2 * BUCKETS rows, whatever the input) and the toxic words of the bounded sample reach
+the driver; texts are never shuffled.
 
 Defined cases: null and wordless texts have no words and fail the base rules; repeated rows are counted and
-judged each; without trusted documents all scores are 0, so the base rules decide; an empty table gives no rows; other columns are
+judged each; without trusted documents all scores are 0, and without toxic ones no word is toxic, so the base rules decide; an empty table gives no rows; other columns are
 carried (keep_quality) or ignored (judge_quality), whatever their names.
 """
 
@@ -25,6 +30,9 @@ BUCKETS = 8192
 TRUSTED = 20_000
 SCALE = 10_000
 THRESHOLD = -0.05
+TOXIC_DOCS = 5
+TOXIC_RATIO = 20
+TOXIC_WORDS = 2
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 
@@ -68,7 +76,17 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     return out
 
 
-def _measured(docs: DataFrame, text: str, ratios: list[int], prefix: str) -> DataFrame:
+def toxic_words(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = TRUSTED) -> list[int]:
+    """The hashes of the words that tell the toxic documents of the labelled sample from its others."""
+    known = labels.where(F.col(toxic).isNotNull()).groupBy(F.col("doc_id").alias("__known")).agg(F.max((F.col(toxic) == 1).cast("long")).alias("bad")).orderBy(F.xxhash64("__known"), "__known").limit(sample)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(known), F.col("id") == F.col("__known"))
+    n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    words = rows.select("bad", F.explode(F.array_distinct(words_of(F.col("t")))).alias("w")).groupBy(F.xxhash64("w").alias("h")).agg(F.sum("bad").alias("x"), F.count(F.lit(1)).alias("of"))
+    telling = (F.col("x") >= TOXIC_DOCS) & (F.col("x") * (n - bad) >= TOXIC_RATIO * (F.col("of") - F.col("x") + 1) * bad)
+    return sorted(r.h for r in words.where(telling).select("h").collect())
+
+
+def _measured(docs: DataFrame, text: str, ratios: list[int], toxic: list[int], prefix: str) -> DataFrame:
     """docs with the base columns and the score, their names prefixed."""
     p, t = prefix, F.coalesce(F.col(f"`{text}`"), F.lit(""))
     df = once(docs, **{f"{p}w": words_of(F.col(f"`{text}`"))})
@@ -91,7 +109,9 @@ def _measured(docs: DataFrame, text: str, ratios: list[int], prefix: str) -> Dat
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
     total = F.aggregate(F.transform(_buckets(f"{p}w"), lambda b: F.get(table, b)), F.lit(0).cast("long"), lambda a, x: a + x)
     symbols = sum((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit(""))) for c in SYMBOLS), F.lit(0))
+    vile = F.size(F.array_distinct(F.filter(w, lambda x: F.xxhash64(x).isin(toxic)))) if toxic else F.lit(0)
     df = df.withColumns({
+        f"{p}n_toxic": vile,
         f"{p}n_words": size.cast("long"),
         f"{p}word_chars": F.char_length(F.array_join(w, "")).cast("long"),
         f"{p}n_symbols": symbols.cast("long"),
@@ -104,18 +124,18 @@ def _measured(docs: DataFrame, text: str, ratios: list[int], prefix: str) -> Dat
 
 def _verdict(p: str, threshold: float) -> tuple[Column, Column]:
     failed = (F.col(f"{p}n_words") < 50) | (100 * F.col(f"{p}n_repeat_words") > 50 * F.col(f"{p}n_words"))
-    return failed, ~failed & (F.col(f"{p}llr") >= threshold)
+    return failed, ~failed & (F.col(f"{p}llr") >= threshold) & (F.col(f"{p}n_toxic") < TOXIC_WORDS)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base columns, base_failed, kept and llr of each document."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    df = _measured(rows, "text", bucket_ratios(rows, labels), "")
+    df = _measured(rows, "text", bucket_ratios(rows, labels), toxic_words(rows, labels), "")
     failed, kept = _verdict("", threshold)
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "llr")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that judge_quality keeps, with their own columns."""
-    df = _measured(docs, text, bucket_ratios(docs, labels, doc_id=doc_id, text=text), "__q_")
+    df = _measured(docs, text, bucket_ratios(docs, labels, doc_id=doc_id, text=text), toxic_words(docs, labels, doc_id=doc_id, text=text), "__q_")
     return df.where(_verdict("__q_", threshold)[1]).select(*[F.col(f"`{c}`") for c in docs.columns])

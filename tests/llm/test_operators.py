@@ -393,6 +393,25 @@ def test_quality(spark, rows, docs, empty):
     assert quality.judge_quality(empty, labels).count() == 0
 
 
+def test_toxic_documents_fail(spark):
+    rng = random.Random(3)
+    vile = [f"vile{k}" for k in range(8)]
+    rows = []
+    for i in range(200):
+        w = [f"n{rng.randrange(40)}" for _ in range(400)]
+        if i % 5 == 0:
+            for x in rng.sample(vile, 4):
+                w[rng.randrange(400)] = x
+        rows.append((i, " ".join(w)))
+    rows.append((200, " ".join([*(f"n{rng.randrange(40)}" for k in range(400)), vile[0]])))  # one such word alone
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0 and i < 200)) for i in range(201) if i < 100 or i % 5 > 0 or i == 200], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(d, labels).collect()}
+    assert kept == {i: i % 5 > 0 or i == 200 for i, _ in rows}
+    assert {r.doc_id for r in quality.keep_quality(d, labels).collect()} == {i for i in kept if kept[i]}
+    assert quality.toxic_words(d, labels.where("toxic = 0")) == []
+
+
 # ---- near-dedup of the pipeline ----
 
 
