@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import time
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,114 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+# ---- worker memory -----------------------------------------------------------------------------
+
+#: What workers hold beyond a task: each is called with the stage that begins, and gives back what is of others.
+_HOLDERS: list[Callable[[int], None]] = []
+
+
+def at_stage(give_back: Callable[[int], None]) -> None:
+    _HOLDERS.append(give_back)
+
+
+def _tidy() -> None:
+    """Gives free memory back to the system, as idle workers stay beside the executor and other workers."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _begin() -> None:
+    if (task := TaskContext.get()) is not None:
+        for give_back in _HOLDERS:
+            give_back(task.stageId())
+
+
+def narrow(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; the worker is tidied at the end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
+        try:
+            yield from run(batches)
+        finally:
+            _tidy()
+
+    return tidied
+
+
+def by_group(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """run for applyInArrow; the worker is tidied after large groups."""
+
+    def tidied(key: tuple, t: pa.Table) -> pa.Table:
+        _begin()
+        large = t.nbytes > 1 << 20
+        out = run(key, t)
+        if large:
+            del t
+            _tidy()
+        return out
+
+    return tidied
+
+
+def by_two_groups(run: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """run for applyInArrow of cogroups; the worker is tidied after large groups."""
+
+    def tidied(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        _begin()
+        large = left.nbytes + right.nbytes > 1 << 20
+        out = run(key, left, right)
+        if large:
+            del left, right
+            _tidy()
+        return out
+
+    return tidied
+
+
+def free_name(taken: Iterable[str], stem: str) -> str:
+    """stem, or stem with a number, whichever no column of taken has in any case."""
+    have, k = {c.lower() for c in taken}, 0
+    while (name := f"{stem}{k or ''}").lower() in have:
+        k += 1
+    return name
+
+
+def positional(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1 and so on, so that no column of a caller meets one of an operator."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def without_rows(docs: DataFrame, doc_id: str, text: str, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that found names. found gets doc_id, text and digest (of the text), and returns doc_id and digest:
+    a row is told by both, as rows may share an id."""
+    d = positional(docs)
+    at_id, at_text = (f"c{docs.columns.index(x)}" for x in (doc_id, text))
+    digest = F.xxhash64(F.coalesce(F.col(at_text), F.lit("")), F.length(at_text))
+    gone = found(d.select(F.col(at_id).alias("doc_id"), F.col(at_text).alias("text"), digest.alias("digest"))).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    return d.withColumn("digest", digest).join(gone, (F.col(at_id) == F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti").drop("digest").toDF(*docs.columns)
+
+
+#: A key is hot from one in so many rows on; so there are no more hot keys than this.
+HOT_SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
+    """The keys that hold a thousandth of the total or more, at most a thousand, from their counts."""
+    return [r[0] for r in counts.where(F.col(n) >= max(2, -(-total // HOT_SHARE))).select(key).collect()]
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """rows joined to a table with one row a key: those of hot keys by broadcast of at most HOT_SHARE rows, so that they
+    stay where they are; the others by a shuffle."""
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(~is_hot).join(table, key, how).unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how))
+
+
 def groups_for(docs: DataFrame, text: str = "text", per_group: int = GROUP_BYTES) -> int:
     """The number of hash groups for the documents, from their measured bytes."""
     n = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_group, cut, narrow
 from .tokenize import encoder, slices
 
 CAPACITY = 1024
@@ -31,30 +31,31 @@ PART_ITEMS = 100_000
 ROUNDS = 4
 
 
-def cut_pieces(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces: all but the first have the full length."""
-    first = (n_tokens - 1) % capacity + 1
-    return [(0, first), *((at, capacity) for at in range(first, n_tokens, capacity))]
+def cut_pieces(n_tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, number, start and length of each piece: all but a document's first have the full length."""
+    pieces, first = -(-n_tokens // capacity), (n_tokens - 1) % capacity + 1
+    doc = np.repeat(np.arange(len(n_tokens)), pieces)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+    return doc, piece, start, np.where(piece > 0, capacity, first[doc])
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each document."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = 0, ([], [], [], [], [])
-            for texts in slices(b.column(1).to_pylist()):
-                for k, ids in enumerate(encoder(tokenizer).many(texts)):
-                    ids += end
-                    for piece, (start, n) in enumerate(cut_pieces(len(ids) // 4, capacity)):
-                        for col, v in zip(rows, (at + k, piece, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])), strict=True):
-                            col.append(v)
+            at = 0
+            for texts in slices(b.column(1)):
+                ids, n = encoder(tokenizer).arrays(texts, end_id)
+                doc, piece, start, length = cut_pieces(n, capacity)
+                raw, first = ids.astype("<u4").tobytes(), 4 * ((np.cumsum(n) - n)[doc] + start)
+                crc = [zlib.crc32(memoryview(raw)[x:y]) for x, y in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                ids = b.column(0).slice(at, len(texts)).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
                 at += len(texts)
-            ids = b.column(0).take(pa.array(rows[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(narrow(run), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +134,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, part_items: int
     for level in range(rounds):
         parts = max(1, -(-n // part_items)) if level == 0 else max(1, parts // 2)
         dealt = open_.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(parts)))
-        packed = cut(dealt.groupBy("bucket").applyInArrow(_pack_group(capacity, level), PACKED), "packed")
+        packed = cut(dealt.groupBy("bucket").applyInArrow(by_group(_pack_group(capacity, level)), PACKED), "packed")
         last = level == rounds - 1 or (level > 0 and parts == 1)
         final = packed if last else packed.where("final")
         done.append(final.select("row", F.col("bin").alias("sequence_id"), "offset", (F.col("bins") <= F.col("bound")).alias("certified")))

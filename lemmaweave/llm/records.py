@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups_for
+from .common import groups_for, narrow
 from .crc32c import crc32c, masked
 from .tokenize import encoder, slices
 
@@ -74,19 +74,18 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, *, doc_id: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, at, place, before = encoder(tokenizer), None, 0, 0, 0
         wide = enc.lib.get_vocab_size() > 1 << 16
-        end = np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
         fs, root = _file_system(path)
         own, name = f"{root}/.shard-{shard:06d}-{uuid.uuid4().hex}", f"{root}/shard-{shard:06d}.rec"
         for b in batches:
             first = 0
-            for texts in slices(b.column(1).to_pylist()):
+            for texts in slices(b.column(1)):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(own)
-                ids = [x + end for x in enc.many(texts)]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                made = frames(ids if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids])
+                ids, n = enc.arrays(texts, end_id)
+                raw, ends = ids.astype("<u4" if wide else "<u2").tobytes(), (4 if wide else 2) * np.cumsum(n)
+                made = frames([raw[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
                 size = np.fromiter(map(len, made), np.int64, len(made))
                 out.write(b"".join(made))
                 k = len(made)
@@ -96,7 +95,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, *, doc_id: str = "
             out.close()
             fs.move(own, name)
 
-    sorted_rows.mapInArrow(run, INDEX.format(kind)).write.parquet(f"{path}/index")
+    sorted_rows.mapInArrow(narrow(run), INDEX.format(kind)).write.parquet(f"{path}/index")
     return spark.read.schema(INDEX.format(kind)).parquet(f"{path}/index")
 
 
@@ -125,7 +124,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens), pa.array(crc)], names=[*kept, "n_tokens", "ids_crc32"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in index.dtypes)
-    return index.mapInArrow(run, f"{kinds}, n_tokens long, ids_crc32 long")
+    return index.mapInArrow(narrow(run), f"{kinds}, n_tokens long, ids_crc32 long")
 
 
 def token_records(docs: DataFrame, tokenizer: str, path: str, **options) -> DataFrame:
