@@ -3,15 +3,17 @@
 Each task indexes its documents in shards of at most SHARD_WORDS words. A shard's suffix array holds every
 suffix that starts with a word of the benchmark (no other suffix can match one of its suffixes) in
 lexicographic order; a word that the benchmark lacks ends a suffix, as nothing can match across it. Every
-benchmark suffix is binary-searched in the array, word by word, which gives its longest verbatim match and
-all places of it. A document whose text holds a window of an item is contaminated.
+benchmark suffix is binary-searched in the array, word by word, which gives all places of its window; from there its
+longest verbatim match at each place follows. A document whose text holds a window of an item is contaminated.
 
-The benchmark travels to the tasks in blocks of at most BLOCK_BYTES; each further block is one more narrow
-map over the same rows, so neither its size nor that of the corpus is limited by a task's memory.
+The benchmark travels to the tasks in blocks of at most BLOCK_BYTES (a single longer item is a block). One narrow map goes
+through all blocks in turn for each batch of rows and holds one block at a time, so neither the size of the
+benchmark nor that of the corpus is limited by a task's memory.
 
 Defined cases: null or wordless text has no words and is clean; an item without words matches nothing;
 an item with a null id is matched but cannot be listed, so it counts in n_hit alone; repeated item ids count
-once; repeated rows are each judged; other columns are carried along whatever their names.
+once; repeated rows are each judged, whatever their ids; of equally long matches the first in the text counts, then
+the least item; a text of any length is judged whole; an empty table gives no rows; other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import narrow, positional
 
 WINDOW = 10
 SHARD_WORDS = 3 << 20
 BLOCK_BYTES = 16 << 20
-OUT = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("longest_match", T.LongType()))
+_MATCHES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType())]))
+#: matches: each longest verbatim match that holds a window, with its place in the text and in the item, in words.
+OUT = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("longest_match", T.LongType()), ("matches", _MATCHES))
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -53,6 +60,10 @@ class Tests:
             flat += [*w, 0]
         self.flat = np.array(flat or [0], np.int64)
         self.starts, self.widths, self.owners = (np.array(x, np.int64) for x in (starts, widths, owners))
+        self.first = {}
+        for k, owner in enumerate(owners):
+            self.first.setdefault(owner, starts[k])
+        self.first = np.array([self.first.get(k, 0) for k in range(len(items))], np.int64)
         self.depth = max((len(words_of(t)) for _, t in items), default=0)
 
 
@@ -134,9 +145,9 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), which
 
 
-def judge(texts: list[str | None], t: Tests) -> list[tuple[int, bytes, list[str], int]]:
-    """n_words, packed hits, listed items and longest match of each text."""
-    out: list[tuple[int, bytes, list[str], int]] = []
+def judge(texts: list[str | None], t: Tests) -> list[tuple[int, bytes, list[str], list[tuple[int, int, str | None, int]]]]:
+    """n_words, packed hits, listed items and matches (start, length, item, start in the item) of each text."""
+    out: list[tuple[int, bytes, list[str], list[tuple[int, int, str | None, int]]]] = []
     shard: list[list[int]] = []
     get = t.vocab.get
 
@@ -151,7 +162,8 @@ def judge(texts: list[str | None], t: Tests) -> list[tuple[int, bytes, list[str]
         sa = suffix_array(ids, t.depth, len(t.vocab))
         wlo, whi, _ = search(ids, sa, t)
         delta = np.zeros(len(ids) + 1, np.int64)
-        pairs, longest = np.empty((0, 2), np.int64), np.zeros(len(shard), np.int64)
+        pairs = np.empty((0, 2), np.int64)
+        matches: list[list[tuple[int, int, str | None, int]]] = [[] for _ in shard]
         if (hits := np.flatnonzero(whi > wlo)).size:
             at, which = _spread(wlo[hits], whi[hits])
             at, q = sa[at], hits[which]
@@ -159,13 +171,22 @@ def judge(texts: list[str | None], t: Tests) -> list[tuple[int, bytes, list[str]
             np.add.at(delta, at + t.widths[q], -1)
             doc = np.searchsorted(first, at, side="right") - 1
             pairs = np.unique(np.stack([doc, t.owners[q]], 1), axis=0)
+            # A match is longest if the place and the suffix before it do not match as well.
+            key = at * len(t.flat) + t.starts[q]
+            there = np.sort(key)
+            before = key - len(t.flat) - 1
+            k = np.minimum(np.searchsorted(there, before), len(there) - 1)
+            alone = there[k] != before
+            at, q, doc = at[alone], q[alone], doc[alone]
             n_same = t.widths[q].copy()
             live = np.arange(len(q))
             while live.size:  # each place's own match goes on beyond the window
                 want = t.flat[t.starts[q[live]] + n_same[live]]
                 live = live[(want > 0) & (ids[at[live] + n_same[live]] == want)]
                 n_same[live] += 1
-            np.maximum.at(longest, doc, n_same)
+            owner = t.owners[q]
+            for d, x, n_, o, y in zip(doc.tolist(), (at - first[doc]).tolist(), n_same.tolist(), owner.tolist(), (t.starts[q] - t.first[owner]).tolist(), strict=True):
+                matches[d].append((x, n_, t.names[o], y))
         hit = np.cumsum(delta[:-1]) > 0
         items: list[list[str]] = [[] for _ in shard]
         for d, o in pairs.tolist():
@@ -173,7 +194,7 @@ def judge(texts: list[str | None], t: Tests) -> list[tuple[int, bytes, list[str]
                 items[d].append(t.names[o])
         for d, (at, k) in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
             h = hit[at : at + k]
-            out.append((k, np.packbits(h).tobytes() if h.any() else b"", items[d], int(longest[d])))
+            out.append((k, np.packbits(h).tobytes() if h.any() else b"", items[d], matches[d]))
         shard.clear()
 
     size = 0
@@ -202,54 +223,51 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the columns of OUT instead of any of the same names. No shuffle: a chain of narrow maps."""
+    """docs with the columns of OUT instead of any of the same names. No shuffle: one narrow map."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in dict(OUT)]
-    if text not in kept:
+    if text in dict(OUT):
         raise ValueError(f"the text column may not be named {text}")
+    kept = [c for c in docs.columns if c not in dict(OUT)]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
-    carry = T.StructType([*base.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__hit", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__longest", T.LongType())])
-    df = base.select("*", F.lit(0).cast("long").alias("__n"), F.lit(b"").alias("__hit"), F.array().cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__longest"))
-    where = len(kept)
-    at_text = kept.index(text)
-
-    def step(sent):  # noqa: ANN001, ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = sent.value
-            for b in batches:
-                found = judge(b.column(at_text).to_pylist(), tests)
-                n, hits, items, longest = [], [], [], []
-                for (k, hit, names, most), old, had, was in zip(found, b.column(where + 1).to_pylist(), b.column(where + 2).to_pylist(), b.column(where + 3).to_pylist(), strict=True):
-                    n.append(k)
-                    hits.append((np.frombuffer(hit, np.uint8) | np.frombuffer(old, np.uint8)).tobytes() if hit and old else hit or old)
-                    items.append([*names, *had])
-                    longest.append(max(most, was))
-                new = [pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*b.columns[:where], *new], names=b.schema.names)
-
-        return run
-
-    any_block = False
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        any_block = True
-        df = df.mapInArrow(step(spark.sparkContext.broadcast(Tests(block, window))), carry)
-    if not any_block:
-        df = df.mapInArrow(step(spark.sparkContext.broadcast(Tests([], window))), carry)
+    found = _found(positional(base), kept.index(text), [spark.sparkContext.broadcast(Tests(block, window)) for block in _blocks(benchmark, item_id, item_text, block_bytes)])
+    return found.toDF(*kept, *dict(OUT))
+
 
+def _found(base: DataFrame, at_text: int, sent: list) -> DataFrame:  # noqa: ANN001
+    """base (with columns c0, c1 and so on) with the columns of OUT after them."""
     outs = T.StructType([*base.schema.fields, *[T.StructField(n, k) for n, k in OUT]])
+    types = [to_arrow_type(k) for _, k in OUT]
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_hit = [sum(map(int.bit_count, x)) if x else 0 for x in b.column(where + 1).to_pylist()]
-            items = [sorted(set(x)) for x in b.column(where + 2).to_pylist()]
-            new = [b.column(where), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([x > 0 for x in n_hit], pa.bool_()), b.column(where + 3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:where], *new], names=outs.names)
-
-    return df.mapInArrow(finish, outs)
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+            texts = b.column(at_text).to_pylist()
+            words, hits = [len(words_of(x)) for x in texts] if not sent else [], [b""] * len(texts)
+            items: list[set[str]] = [set() for _ in texts]
+            matches: list[list] = [[] for _ in texts]
+            for block in sent:
+                words = []
+                for k, (n, hit, names, more) in enumerate(judge(texts, block.value)):
+                    words.append(n)
+                    if hit:
+                        hits[k] = (np.frombuffer(hit, np.uint8) | np.frombuffer(hits[k], np.uint8)).tobytes() if hits[k] else hit
+                        items[k].update(names)
+                        matches[k] += more
+                if len(sent) > 1:  # one block at a time
+                    block.__dict__.pop("_value", None)
+            n_hit = [sum(map(int.bit_count, x)) for x in hits]
+            listed = [",".join(sorted(x)) for x in items]
+            sorted_ = [sorted(x, key=lambda m: (m[0], m[2] is None, m[2] or "", m[3])) for x in matches]
+            new = [
+                words, n_hit, [len(x) for x in items], [hashlib.sha256(x.encode()).hexdigest() for x in listed], [x > 0 for x in n_hit],
+                [max((m[1] for m in x), default=0) for x in matches], [[dict(zip(("start", "length", "item_id", "item_start"), m, strict=True)) for m in x] for x in sorted_],
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, k) for x, k in zip(new, types, strict=True)]], names=outs.names)
+
+    return base.mapInArrow(narrow(run), outs)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents that hold no window of the benchmark, with their own columns."""
-    marked = docs.select("*", *[F.col(f"`{c}`").alias(f"__own_{c}") for c in docs.columns if c in dict(OUT)])
-    found = find_contaminated(marked, benchmark, **options).where(~F.col("contaminated"))
-    return found.select(*[F.col(f"`__own_{c}`").alias(c) if c in dict(OUT) else F.col(f"`{c}`") for c in docs.columns])
+    d = positional(docs)
+    found = find_contaminated(d, benchmark, text=f"c{docs.columns.index(text)}", **options).where(~F.col("contaminated"))
+    return found.select(*d.columns).toDF(*docs.columns)

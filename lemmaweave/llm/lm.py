@@ -13,7 +13,8 @@ them up and tells each block the counts of those of its n-grams that also occur
 counts it knows). So each block builds the part of the automaton that its documents can reach.
 
 Defined cases: a null or wordless text is the end token alone; a null id reads as an empty string when
-documents are dealt to training; repeated rows are documents of their own; without training documents every
+documents are dealt to training; repeated rows are documents of their own (blocks follow id and text, so that only
+rows equal in both meet for certain); equal counts need no order; a text of any length is hashed by the megabyte; without training documents every
 word is unseen and all scores are 0; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, byte_slices, cut, groups_for, pack, pack_sorted, release, rolling, unpack, unpack_sorted, word_hashes
+from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, groups_for, narrow, pack, pack_sorted, release, rolling, unpack, unpack_sorted, word_hashes
 
 SLICE_BYTES = 6 << 20
 #: Text of a block; its automaton takes about 60 times as much memory.
@@ -160,9 +161,9 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark, blocks = docs.sparkSession, groups_for(docs, text, BLOCK_BYTES)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = keyed.withColumn("train", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % held_out_of != held_out)
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
-    counted = keyed.select("text", "train", "block").mapInArrow(_count(blocks), "kind long, bucket long, hashes binary, blocks binary, counts binary")
-    told = cut(counted.groupBy("kind", "bucket").applyInArrow(_merge, "block long, kind long, hashes binary, counts binary, n long, v long, n1 long"), "ngrams")
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+    counted = keyed.select("text", "train", "block").mapInArrow(narrow(_count(blocks)), "kind long, bucket long, hashes binary, blocks binary, counts binary")
+    told = cut(counted.groupBy("kind", "bucket").applyInArrow(by_group(_merge), "block long, kind long, hashes binary, counts binary, n long, v long, n1 long"), "ngrams")
     release(spark)
     n_all, v_all, n1 = (x or 0 for x in told.where("block = -1 and kind = 0").agg(F.sum("n"), F.sum("v"), F.sum("n1")).first())
 
@@ -178,4 +179,4 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         return pa.Table.from_arrays([left["doc_id"], pa.array(~train), pa.array(n), pa.array(known), pa.array(np.full(len(train), n_all, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     slices = told.where("block >= 0").select("block", "kind", "hashes", "counts")
-    return keyed.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(score, OUT.format(docs.schema[doc_id].dataType.simpleString()))
+    return keyed.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(by_two_groups(score), OUT.format(docs.schema[doc_id].dataType.simpleString()))

@@ -26,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import positional
+
 BUCKETS = 8192
 TRUSTED = 20_000
 SCALE = 10_000
@@ -137,5 +139,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that judge_quality keeps, with their own columns."""
-    df = _measured(docs, text, bucket_ratios(docs, labels, doc_id=doc_id, text=text), toxic_words(docs, labels, doc_id=doc_id, text=text), "__q_")
-    return df.where(_verdict("__q_", threshold)[1]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = positional(docs)
+    at_id, at_text = (f"c{docs.columns.index(c)}" for c in (doc_id, text))
+    df = _measured(d, at_text, bucket_ratios(d, labels, doc_id=at_id, text=at_text), toxic_words(d, labels, doc_id=at_id, text=at_text), "q_")
+    return df.where(_verdict("q_", threshold)[1]).select(*d.columns).toDF(*docs.columns)

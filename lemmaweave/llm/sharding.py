@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, hot_keys, look_up
 
 SHARDS = 8
 ROUNDS = 9
@@ -52,7 +52,7 @@ def _quotas(wish: list[list[int]], room: list[int]) -> list[list[int]]:
     return out
 
 
-def propagate(nodes: DataFrame, links: DataFrame, capacity: int, *, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, capacity: int, *, hot: list[int] | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """nodes (node, shard) after balanced label propagation over links (node, hub)."""
     idle = 0
     for step in range(rounds):
@@ -61,7 +61,7 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: int, *, shards: int
         votes = links.join(nodes, "node").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         # Every third round leaves out full shards, so that what they cannot hold of a large group gathers elsewhere.
         wish = votes.groupBy("hub").agg(*[F.coalesce(F.sum(F.when(F.col("shard") == s, F.col("n"))), F.lit(0)).alias(f"v{s}") for s in range(shards)])
-        mine = links.join(wish, "hub")
+        mine = look_up(links, wish, "hub", hot or [])
         near = mine.groupBy("node").agg(*[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)], F.min("hub").alias("hub"))
         here = near.join(nodes, "node")
         rank = [F.struct(F.when(F.lit(held[s] < capacity or step % 3 < 2) | (F.col("shard") == s), F.col(f"v{s}")).otherwise(F.lit(-1)).alias("v"), (-F.pmod(F.lit(s + 5 * step) + F.col("hub"), F.lit(shards))).alias("o"), F.lit(s).alias("s")) for s in range(shards)]
@@ -123,13 +123,14 @@ def shard_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     digest = F.when(F.col(text).isNull(), F.xxhash64(F.lit("null text"))).otherwise(F.xxhash64(body, F.length(body)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), digest.alias("hub"), F.monotonically_increasing_id().alias("node"))
     rows = cut(rows, "nodes")
-    groups = rows.groupBy("hub").count().where("count > 1").select("hub")
-    linked = rows.join(groups, "hub", "left_semi").select("node", "hub")
-    links = cut(linked, "links")
+    groups = cut(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    total = rows.count()
+    hot = hot_keys(groups, "hub", "n", total)
+    links = cut(look_up(rows.select("node", "hub"), groups.select("hub"), "hub", hot), "links")
     start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")
-    share = rows.count() // shards
+    share = total // shards
     capacity = share + share // 32  # what is over the share in the end gives way in even_counts, ungrouped documents first
-    labels = propagate(cut(links.select("node", start), "labels"), links, capacity, shards=shards)
+    labels = propagate(cut(links.select("node", start), "labels"), links, capacity, shards=shards, hot=hot)
     placed = rows.join(labels.withColumnRenamed("shard", "label"), "node", "left").select("doc_id", "size", "text_crc32", "hub", "node", F.col("label").isNotNull().alias("grouped"), F.coalesce("label", start).alias("shard"))
     out = even_counts(placed, shards=shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("at").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

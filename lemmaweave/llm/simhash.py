@@ -2,18 +2,20 @@
 
 Fingerprints: one narrow map. Equal fingerprints are one node from then on.
 
-Search: 64-bit fingerprints lie about 32 bits apart, so a tree over the whole distance could prune nearly
-nothing at radius 4. Each tree of the forest therefore measures the Hamming distance under a mask. With the bits dealt to radius + c
-blocks, two fingerprints within the radius agree on at least c blocks, and the masks of c blocks are one tree
-each: some tree sees them at distance 0. There the triangle bound |d(x, p) - d(y, p)| <= d(x, y) = 0 prunes
-every branch but one, so a node splits by the exact distance to its vantage point, shards do not overlap, and
-each fingerprint is sent once to each tree. c follows from the number of distinct fingerprints alone: more
-blocks keep the leaves small as the corpus grows. Vantage points derive from the path to their node.
-
-Leaves: a leaf is searched by a last level of triangle bounds, on whole distances to a vantage point: in
-their order, only a window of 2 * radius + 1 distances needs exact comparison. A leaf of over LEAF
-fingerprints is dealt to blocks and each pair of blocks is a task of its own. A leaf yields a spanning forest
-of its links, so a large group of near copies costs a row a member, not a row a pair.
+Search, first levels: 64-bit fingerprints lie 32 +- 4 bits apart, so a tree over the whole distance visits three
+quarters of what is below each vantage point at radius 4 (measured in the README). The first levels therefore measure
+the distance under a mask. With the bits dealt to radius + c blocks, two fingerprints within the radius agree on
+at least c blocks, and the masks of c blocks are one tree each: some tree sees them at distance 0. At radius 0 the
+triangle bound leaves one branch whatever the vantage points are, namely the fingerprints with equal masked bits, so
+these levels are one hash of the masked bits and each fingerprint is sent once to each tree. c follows from the number of distinct
+fingerprints alone: more blocks keep the leaves small as the corpus grows.
+
+Search, within a leaf, on whole distances: a leaf of over LEAF fingerprints is cut into shells by the distance d to
+its vantage point. A fingerprint is searched in its own shell and, as a guest, in the shells that its boundary zone
+of d to d + radius overlaps; by the triangle bound no other shell further out can hold a neighbour. In a shell, points are
+ordered by their distance to a vantage point of its own, and only a window of 2 * radius + 1 distances is compared. A
+shell of one distance that is still too large is dealt to blocks and each pair of blocks is searched. A search
+yields a spanning forest of its links, so a large group of near copies costs a row a member, not a row a pair.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; rows that repeat
 or share an id have their own row in the result; a null id never names a component unless all its ids are null;
@@ -28,10 +30,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import by_group, cut, hot_keys, int_partitions, look_up, narrow, without_rows
 from .graph import connected_components
 
 SHINGLE = 4
@@ -59,15 +61,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the columns keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *keep).mapInArrow(narrow(run), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long{kinds}")
 
 
 def masks_for(n: int, radius: int, leaf: int = LEAF) -> list[int]:
@@ -81,25 +84,33 @@ def masks_for(n: int, radius: int, leaf: int = LEAF) -> list[int]:
     raise AssertionError
 
 
-def tree_paths(fp: np.ndarray, mask: int) -> np.ndarray:
-    """The leaf of each fingerprint in the tree of one mask: the hash of the distances to the vantage points on the way down.
-    The vantage points below a node are its own. Enough levels leave points that agree under the mask together and few others."""
-    m = np.uint64(mask)
-    path = np.full(len(fp), mix(np.array([mask], np.uint64))[0], np.uint64)
-    for level in range(2 * int(mask).bit_count() // 3):
-        vantage = mix(path + np.uint64(level))
-        path = mix(path * np.uint64(64) + np.bitwise_count((fp ^ vantage) & m).astype(np.uint64) + np.uint64(1))
-    return path
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _routes(masks: list[int]):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for mask in masks:
-                yield pa.RecordBatch.from_arrays([pa.array(tree_paths(fp, mask).view(np.int64)), b.column(0)], names=["leaf", "fp"])
+def leaves(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """leaf and fp: each fingerprint in its leaf of each tree. Distance 0 under a mask is equality of the masked bits."""
+    of = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)]))
+    return nodes.select("fp", of.alias("leaf"))
 
-    return run
+
+def shards(routed: DataFrame, radius: int, leaf: int) -> DataFrame:
+    """leaf, shard and fp: leaves of over leaf fingerprints are cut into shells of distances to their vantage point, the least fingerprint.
+
+    A fingerprint belongs to the shell of its distance d and is also a guest of the shells that reach into
+    d + 1 to d + radius. By the triangle bound no other shell holds a neighbour further out."""
+    sizes = cut(routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage")).where("n > 1"), "leaves")
+    small = routed.join(sizes.where(F.col("n") <= leaf).select("leaf"), "leaf").select("leaf", F.lit(0).alias("shard"), "fp")
+    large = sizes.where(F.col("n") > leaf)
+    if large.isEmpty():
+        return small
+    far = cut(routed.join(large.select("leaf", "vantage"), "leaf").select("leaf", "fp", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).alias("d")), "distances")
+    tally = far.groupBy("leaf", "d").count()
+    before = F.sum("count").over(Window.partitionBy("leaf").orderBy("d")) - F.col("count")
+    shell = tally.select("leaf", "d", F.floor(before / leaf).cast("int").alias("shard"))  # at most 65 rows a leaf
+    reach = F.explode(F.sequence(F.col("d") - radius, F.col("d")))
+    at = shell.select("leaf", "shard", reach.alias("d")).distinct()  # from which distances a shell has members and guests
+    return small.unionByName(far.join(at, ["leaf", "d"]).select("leaf", "shard", "fp"))
 
 
 def links_within(fp: np.ndarray, radius: int, other: np.ndarray | None = None) -> np.ndarray:
@@ -153,14 +164,14 @@ def links_within(fp: np.ndarray, radius: int, other: np.ndarray | None = None) -
 
 
 def _search(radius: int):  # noqa: ANN202
-    """Over rows (task, leaf, one, two, fp): within block one of a leaf, or between its blocks one and two."""
+    """Over rows (task, leaf, shard, one, two, own, fp): within block one of a shard, or between its blocks one and two."""
 
     def run(_: tuple, t: pa.Table) -> pa.Table:
-        fp, leaf = t["fp"].to_numpy().view(np.uint64), t["leaf"].to_numpy()
-        one, two, own = (t[c].to_numpy() for c in ("one", "two", "own"))
-        order = np.lexsort((fp, own, two, one, leaf))
-        fp, leaf, one, two, own = fp[order], leaf[order], one[order], two[order], own[order]
-        new = np.flatnonzero(np.r_[True, (np.diff(leaf) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)])
+        cols = [t[c].to_numpy() for c in ("leaf", "shard", "one", "two", "own")]
+        fp = t["fp"].to_numpy().view(np.uint64)
+        order = np.lexsort((fp, *cols[::-1]))
+        fp, (leaf, shard, one, two, own) = fp[order], (c[order] for c in cols)
+        new = np.flatnonzero(np.r_[True, np.any([np.diff(c) != 0 for c in (leaf, shard, one, two)], 0)])
         out = []
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(fp)], strict=True):
             if b - a > 1:
@@ -174,32 +185,39 @@ def _search(radius: int):  # noqa: ANN202
 
 def near_links(nodes: DataFrame, *, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """Edges (u, v) that connect exactly what the links within the radius connect, among distinct fingerprints (fp)."""
-    masks = masks_for(nodes.count(), radius, leaf)
-    routed = nodes.select("fp").mapInArrow(_routes(masks), "leaf long, fp long")
-    sizes = routed.groupBy("leaf").count().where("count > 1")
-    parts = F.ceil(F.col("count") / leaf).cast("int")
-    dealt = routed.join(sizes, "leaf").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    placed = cut(shards(leaves(nodes, masks_for(nodes.count(), radius, leaf)), radius, leaf), "shards")
+    sizes = cut(placed.groupBy("leaf", "shard").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")), "sizes")
+    # Shells of one distance may still be too large: their fingerprints are dealt to blocks, and each pair of blocks is searched.
+    dense = sizes.where("parts > 1").select("leaf", "shard", "parts")
+    dealt = placed.join(dense, ["leaf", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("one"), F.greatest(k, F.col("own")).alias("two")))
-    tasks = dealt.select("leaf", "fp", "own", F.explode(pairs).alias("p")).select("leaf", "fp", "own", "p.one", "p.two")
-    # Small leaves share a task; a block pair of a large one has its own.
-    n = max(12, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tasks = tasks.withColumn("task", F.pmod(F.xxhash64("leaf", "one", "two"), F.lit(8 * n)))
-    return tasks.groupBy("task").applyInArrow(_search(radius), "u long, v long")
+    work = dealt.select("leaf", "shard", "fp", "own", F.explode(pairs).alias("p")).select("leaf", "shard", "fp", "own", "p.one", "p.two")
+    # Small shards share a task of about two leaves' rows; a block pair of a large one has its own.
+    rows = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()[0]
+    n = max(int_partitions(nodes, 12), -(-rows // (2 * leaf)))
+    work = work.withColumn("task", F.pmod(F.xxhash64("leaf", "shard", "one", "two"), F.lit(n)))
+    return work.groupBy("task").applyInArrow(by_group(_search(radius)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hexadecimal) and component_id of each document."""
-    rows = cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "fingerprints")
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    rows = _named(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), radius)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(fingerprinted: DataFrame, radius: int) -> DataFrame:
+    """Rows of doc_id and fp, and any others, with component_id."""
+    rows = cut(fingerprinted, "fingerprints")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = connected_components(near_links(nodes, radius=radius))
     linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = nodes.join(linked.select("fp", "root"), "fp", "left").join(least, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(named, "named")
+    return look_up(rows, named, "fp", hot_keys(nodes, "fp", "n", rows.count()))
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs without those that a document with a smaller id represents. Rows that share an id stay or go
-    together; rows with a null id stay."""
-    gone = near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, radius=radius).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    """docs without those that a document with a smaller id represents. Rows are told apart by id and text: rows
+    equal in both stay or go together; rows with a null id stay."""
+    return without_rows(docs, doc_id, text, lambda rows: _named(fingerprints(rows, shingle=shingle, keep=("digest",)), radius).where("component_id < doc_id"))

@@ -1,23 +1,26 @@
 """Substring deduplication by relative Lempel-Ziv parsing against reference blocks.
 
-Every document of the corpus belongs to one reference block (by the hash of its id). The phrases that a block
-offers as references are its word windows of the least factor length: a shorter factor is never a duplicate
-span, so the parse writes it as literals. The index of all blocks is dealt by phrase hash:
+Every document of the corpus belongs to one reference block (by the hash of its id and text). What a block offers as
+references are its word windows of the least factor length, each with the document and the word where it first stands: a
+shorter factor is never a duplicate span, so the parse writes it as literals. The index of all blocks is dealt by phrase hash:
 
-1. index: a narrow map packs, for each block, its distinct phrases with the least document that holds each,
-   as sorted hashes in byte planes (about 7 bytes a phrase), dealt to buckets by hash;
+1. index: a narrow map packs, for each block, its distinct phrases with their first places, as sorted hashes in byte
+   planes, dealt to buckets by hash;
 2. look-up: each bucket sorts the phrases of every block together and tells each block which of its phrases
-   start in an earlier document of another block, and in which;
-3. parse: with that and its own index, a block factors its documents greedily from left to right. A factor runs on while
-   the next phrase has the same reference document, so it is verbatim; where the reference changes, the
-   phrases across the factor boundary are looked up like any other.
-
-A phrase that many documents share is at most one entry for each block and slice, and goes to one bucket with
-millions of others; texts move once, by block.
-
-Defined cases: null and wordless texts lose nothing; a row with a null id neither loses words nor causes a
-removal; rows that share an id are the same document to the order, so they do not shorten one another; an
-empty table gives no rows; other columns are carried (dedup_texts) or ignored, whatever their names.
+   start in an earlier document of another block, and where;
+3. parse: with that and its own index, a block factors its documents greedily from left to right. A factor is a
+   reference (document, word) and a length: it runs on while the reference does, so it is a verbatim copy of that
+   stretch. Where the reference ends, the phrases across the factor boundary are looked up like any other, and the
+   first that is found opens the next factor, which may overlap the last by up to the least length less one word.
+
+The words that a factor covers are duplicates; nothing else decides. Of all places of a phrase only the first is
+kept as a reference (the least document, then the least word), so a phrase that many documents share is
+one entry for each block and slice, and goes to one bucket with millions of others; texts move once, by block.
+
+Phrases are compared by 64-bit hashes of 64-bit word hashes. Defined cases: null and wordless texts lose nothing; a row with
+a null id neither loses words nor causes a removal; rows that share an id are the same document to the order, so they
+do not shorten one another; ids are whole numbers (a column of another type is refused); a text of any length is hashed by the
+megabyte; an empty table gives no rows; other columns are carried (dedup_texts) or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, byte_slices, cut, groups_for, pack, pack_sorted, release, rolling, unpack, unpack_sorted, word_hashes
+from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, groups_for, narrow, pack, pack_sorted, positional, release, rolling, unpack, unpack_sorted, word_hashes
 
 MIN_FACTOR = 13
 SLICE_BYTES = 6 << 20
@@ -50,146 +53,153 @@ def phrases(texts: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray
 
 
 def _index(least: int, buckets: int):  # noqa: ANN202
-    names = ["bucket", "hashes", "blocks", "firsts"]
+    names = ["bucket", "hashes", "blocks", "firsts", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b]).sort_by([("__block", "ascending"), ("id", "ascending")])
-            ids, block = t["id"].fill_null(_NONE).to_numpy(), t["__block"].to_numpy()
+            t = pa.Table.from_batches([b]).sort_by([("block", "ascending"), ("id", "ascending")])
+            ids, block = t["id"].fill_null(_NONE).to_numpy(), t["block"].to_numpy()
             for first, texts in byte_slices(t["text"].to_pylist(), SLICE_BYTES):
-                h, _, doc, _ = phrases(texts, ids[first : first + len(texts)], least)
-                order = np.argsort(h, kind="stable")  # by hash, block and id
-                h, doc = h[order], doc[order] + first
+                h, at, doc, n = phrases(texts, ids[first : first + len(texts)], least)
+                at -= (np.cumsum(n) - n)[doc]
+                order = np.argsort(h, kind="stable")  # by hash, block, id and word
+                h, at, doc = h[order], at[order], doc[order] + first
                 own = block[doc]
                 lead = np.ones(len(h), bool)
                 lead[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-                h, own, who = h[lead], own[lead], ids[doc[lead]]
+                h, own, at, who = h[lead], own[lead], at[lead], ids[doc[lead]]
                 edges = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-                rows = [(k, pack_sorted(h[x:y]), pack(own[x:y]), pack(who[x:y])) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
-                for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 64], strict=True)], names=names)
+                rows = [(k, pack_sorted(h[x:y]), pack(own[x:y]), pack(who[x:y]), pack(at[x:y])) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+                for k in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 64], strict=True)], names=names)
 
     return run
 
 
 def _look_up(_: tuple, t: pa.Table) -> pa.Table:
     h = np.concatenate([unpack_sorted(x) for x in t["hashes"].to_pylist()])
-    block = np.concatenate([unpack(x) for x in t["blocks"].to_pylist()])
-    who = np.concatenate([unpack(x) for x in t["firsts"].to_pylist()])
-    order = np.argsort(h, kind="stable")
-    h, block, who = h[order], block[order], who[order]
+    block, who, at = (np.concatenate([unpack(x) for x in t[c].to_pylist()]) for c in ("blocks", "firsts", "places"))
+    order = np.lexsort((at, who, h))
+    h, block, who, at = h[order], block[order], who[order], at[order]
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    first = np.repeat(np.minimum.reduceat(who, start), np.diff(np.r_[start, len(h)]))
+    n = np.diff(np.r_[start, len(h)])
+    first, place = np.repeat(who[start], n), np.repeat(at[start], n)
     late = who > first
-    h, block, first = h[late], block[late], first[late]
+    h, block, first, place = h[late], block[late], first[late], place[late]
     order = np.argsort(block, kind="stable")
-    h, block, first = h[order], block[order], first[order]
+    h, block, first, place = h[order], block[order], first[order], place[order]
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(h) else np.empty(0, np.int64)
     ends = [*edges[1:].tolist(), len(h)]
     pairs = list(zip(edges.tolist(), ends, strict=True)) if len(edges) else []
-    return pa.table({"block": pa.array([int(block[a]) for a, _ in pairs], pa.int64()), "hashes": pa.array([pack_sorted(h[a:b]) for a, b in pairs], pa.binary()), "firsts": pa.array([pack(first[a:b]) for a, b in pairs], pa.binary())})
+    packed = {"hashes": (pack_sorted, h), "firsts": (pack, first), "places": (pack, place)}
+    return pa.table({"block": pa.array([int(block[a]) for a, _ in pairs], pa.int64())} | {c: pa.array([f(x[a:b]) for a, b in pairs], pa.binary()) for c, (f, x) in packed.items()})
 
 
-def factors(reference: np.ndarray, at: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """The greedy parse of one document: (first word, words, reference document) of each factor.
-    reference: of each phrase, or _NONE; at: the word it starts at."""
-    k = np.flatnonzero(reference != _NONE)
-    if not k.size:
-        return []
-    new = np.r_[True, (np.diff(at[k]) != 1) | (np.diff(reference[k]) != 0)]
-    a, b = k[new], k[np.r_[new[1:], True]]
-    return list(zip(at[a].tolist(), (at[b] - at[a] + least).tolist(), reference[a].tolist(), strict=True))
+def factors(at: np.ndarray, ref_doc: np.ndarray, ref_at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy parse of the phrases that have a reference (the word each starts at, and the reference's document and
+    word): the first phrase of each factor, its words, and where its reference ends to run on."""
+    if not len(at):
+        return at, at, at
+    new = np.r_[True, (np.diff(at) != 1) | (np.diff(ref_doc) != 0) | (np.diff(ref_at) != 1)]
+    first, last = np.flatnonzero(new), np.flatnonzero(np.r_[new[1:], True])
+    return first, at[last] - at[first] + least, last
 
 
-def parse_block(texts: list[bytes], ids: np.ndarray, h_in: np.ndarray, first_in: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]:
-    """Words of each text, which of all words are covered by a duplicate factor, and the factors of each text.
-    h_in, first_in: phrases with an earlier document in other blocks."""
+def parse_block(texts: list[bytes], ids: np.ndarray, told: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Words of each text, which of all words a factor covers, and the factors: text, start, length, reference's id and word.
+    told: phrases with an earlier document in other blocks (ascending), that document and the word there."""
     h, at, doc, n = phrases(texts, ids, least)
-    order = np.lexsort((ids[doc], h))
+    base = np.cumsum(n) - n
+    own = at - base[doc]
+    order = np.lexsort((own, ids[doc], h))
     hs = h[order]
-    first = np.full(len(h), _NONE)
+    first, place = np.full(len(h), _NONE), np.zeros(len(h), np.int64)
     if len(hs):
         start = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-        least_id = ids[doc[order]][start]
-        if len(h_in):
-            k = np.minimum(np.searchsorted(h_in, hs[start]), len(h_in) - 1)
-            least_id = np.where(h_in[k] == hs[start], np.minimum(least_id, first_in[k]), least_id)
-        first[order] = np.repeat(least_id, np.diff(np.r_[start, len(hs)]))
-    reference = np.where(first < ids[doc], first, _NONE)
+        who, where = ids[doc[order]][start], own[order][start]
+        if len(told[0]):
+            k = np.minimum(np.searchsorted(told[0], hs[start]), len(told[0]) - 1)
+            better = (told[0][k] == hs[start]) & (told[1][k] < who)
+            who, where = np.where(better, told[1][k], who), np.where(better, told[2][k], where)
+        size = np.diff(np.r_[start, len(hs)])
+        first[order], place[order] = np.repeat(who, size), np.repeat(where, size)
+    k = np.flatnonzero(first < ids[doc])
+    lead, length, _ = factors(at[k], first[k], place[k], least)
+    lead = k[lead]
     covered = np.zeros(int(n.sum()) + 1, np.int64)
-    dup = at[reference != _NONE]
-    np.add.at(covered, dup, 1)
-    np.add.at(covered, dup + least, -1)
-    bounds, base = np.searchsorted(doc, np.arange(len(texts) + 1)), np.cumsum(n) - n
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for d in np.unique(doc[reference != _NONE]).tolist():
-        a, b = bounds[d], bounds[d + 1]
-        found[d] = factors(reference[a:b], at[a:b] - base[d], least)
-    return n, np.cumsum(covered[:-1]) > 0, found
-
-
-def _prepared(docs: DataFrame, doc_id: str, text: str, blocks: int) -> DataFrame:
-    return docs.withColumn("__block", F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(blocks)).cast("long"))
-
-
-def _parsed(docs: DataFrame, doc_id: str, text: str, least: int, fields: list[T.StructField], make, columns: list[str]) -> DataFrame:  # noqa: ANN001
-    """docs (columns) with the fields that make(words, keep, factors) gives for each document."""
-    blocks = groups_for(docs, text)
-    spark, base = docs.sparkSession, docs.select(*[F.col(f"`{c}`") for c in columns])
-    dealt = _prepared(base, doc_id, text, blocks)
-    keyed = dealt.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), "__block")
-    index = keyed.mapInArrow(_index(least, blocks), "bucket long, hashes binary, blocks binary, firsts binary")
-    known = cut(index.groupBy("bucket").applyInArrow(_look_up, "block long, hashes binary, firsts binary"), "phrases")
+    np.add.at(covered, at[lead], 1)
+    np.add.at(covered, at[lead] + length, -1)
+    return n, np.cumsum(covered[:-1]) > 0, (doc[lead], own[lead], length, first[lead], place[lead])
+
+
+def _parsed(base: DataFrame, at_id: int, at_text: int, least: int, fields: list[T.StructField], make) -> DataFrame:  # noqa: ANN001
+    """base (with columns c0, c1 and so on) with the fields that make(words, keep, factors) gives for each document."""
+    if not isinstance(base.schema[at_id].dataType, T.IntegralType):
+        raise TypeError("ids are whole numbers")
+    doc_id, text = F.col(f"c{at_id}"), F.col(f"c{at_text}")
+    blocks = groups_for(base, f"c{at_text}")
+    spark = base.sparkSession
+    # A row without an id takes no part, so it may be dealt anywhere, each time anew.
+    dealt = base.withColumn("block", F.when(doc_id.isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).otherwise(F.pmod(F.xxhash64(doc_id, text), F.lit(blocks))).cast("long"))
+    keyed = dealt.select(doc_id.cast("long").alias("id"), text.alias("text"), "block").where("id is not null")
+    index = keyed.mapInArrow(narrow(_index(least, blocks)), "bucket long, hashes binary, blocks binary, firsts binary, places binary")
+    known = cut(index.groupBy("bucket").applyInArrow(by_group(_look_up), "block long, hashes binary, firsts binary, places binary"), "phrases")
     release(spark)
     out = T.StructType([*base.schema.fields, *fields])
-    width, at_id, at_text = len(columns), columns.index(doc_id), columns.index(text)
+    width = len(base.columns)
 
     def parse(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out_schema.empty_table()
         h = np.concatenate([unpack_sorted(x) for x in right.column(1).to_pylist()] or [np.empty(0, np.uint64)])
-        first = np.concatenate([unpack(x) for x in right.column(2).to_pylist()] or [np.empty(0, np.int64)])
+        first, place = (np.concatenate([unpack(x) for x in right.column(k).to_pylist()] or [np.empty(0, np.int64)]) for k in (2, 3))
         order = np.argsort(h)
         texts = [(t or "").encode() for t in left.column(at_text).to_pylist()]
         ids = left.column(at_id).cast(pa.int64()).fill_null(_NONE).to_numpy()
-        n, covered, found = parse_block(texts, ids, h[order], first[order], least)
-        end = np.cumsum(n)
+        n, covered, (doc, *found) = parse_block(texts, ids, (h[order], first[order], place[order]), least)
+        end, edges = np.cumsum(n), np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
         rows = []
-        for t, a, b, f in zip(texts, (end - n).tolist(), end.tolist(), found, strict=True):
-            words = t.split()
-            rows.append(make(words, list(compress(words, ~covered[a:b])) if f else words, f))
+        for k, (t, a, b) in enumerate(zip(texts, (end - n).tolist(), end.tolist(), strict=True)):
+            words, some = t.split(), slice(edges[k], edges[k + 1])
+            cut_ = some.stop > some.start
+            rows.append(make(words, list(compress(words, ~covered[a:b])) if cut_ else words, [x[some] for x in found] if cut_ else None))
         new = [pa.array(c, type=k.type) for c, k in zip(zip(*rows, strict=True), list(out_schema)[width:], strict=True)]
         return pa.Table.from_arrays([*[left.column(i) for i in range(width)], *new], schema=out_schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out_schema = to_arrow_schema(out)
-    return dealt.groupBy("__block").cogroup(known.withColumn("__block", F.col("block")).select("block", "hashes", "firsts", "__block").groupBy("__block")).applyInArrow(parse, out)
+    right = known.select("block", "hashes", "firsts", "places")
+    return dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(by_two_groups(parse), out)
 
 
-_FACTOR = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ref_doc", T.LongType())]))
+_FACTOR = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "ref_doc", "ref_start")]))
 
 
 def duplicate_factors(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = MIN_FACTOR) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and factors (start, length, ref_doc) of each document."""
+    """doc_id, n_words, n_removed, kept_sha256 and factors (start, length, ref_doc, ref_start) of each document."""
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("factors", _FACTOR)]
+    names = _FACTOR.elementType.names
 
-    def make(words: list[bytes], kept: list[bytes], found: list) -> tuple:
-        return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": a, "length": n, "ref_doc": r} for a, n, r in found]
+    def make(words: list[bytes], kept: list[bytes], found: list[np.ndarray] | None) -> tuple:
+        spans = [dict(zip(names, x, strict=True)) for x in zip(*[c.tolist() for c in found], strict=True)] if found else []
+        return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans
 
-    return _parsed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", least, fields, make, ["doc_id", "text"]).drop("text")
+    base = docs.select(F.col(f"`{doc_id}`").alias("c0"), F.col(f"`{text}`").alias("c1"))
+    return _parsed(base, 0, 1, least, fields, make).drop("c1").withColumnRenamed("c0", "doc_id")
 
 
 def dedup_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = MIN_FACTOR, n_chars: str | None = None) -> DataFrame:
     """docs with duplicate spans cut out of their texts: the kept words, joined by one space. A text that
     loses nothing is unchanged. n_chars: a column that follows the length of the text."""
-    fields = [T.StructField("__kept", T.StringType())]
+    fields = [T.StructField("kept", T.StringType())]
 
-    def make(words: list[bytes], kept: list[bytes], found: list) -> tuple:
+    def make(words: list[bytes], kept: list[bytes], found: list[np.ndarray] | None) -> tuple:
         return (b" ".join(kept).decode() if found else None,)
 
-    out = _parsed(docs, doc_id, text, least, fields, make, docs.columns)
-    new = {text: F.coalesce("__kept", F.col(f"`{text}`"))}
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    out = _parsed(positional(docs), docs.columns.index(doc_id), docs.columns.index(text), least, fields, make)
+    new = {text: F.coalesce("kept", at[text])}
     if n_chars:
-        new[n_chars] = F.when(F.col("__kept").isNull(), F.col(f"`{n_chars}`")).otherwise(F.char_length("__kept")).cast(docs.schema[n_chars].dataType)
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        new[n_chars] = F.when(F.col("kept").isNull(), F.col(at[n_chars])).otherwise(F.char_length("kept")).cast(docs.schema[n_chars].dataType)
+    return out.select(*[new.get(c, F.col(at[c])).alias(c) for c in docs.columns])

@@ -18,10 +18,12 @@ import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, hot_keys, look_up, narrow
 from .tokenize import encoder, slices
 
 LIMIT = 512
@@ -44,10 +46,10 @@ def encode_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [len(ids) // 4 for some in slices(b.column(1).to_pylist()) for ids in encoder(tokenizer).many(some)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["content", "n_tokens"])
+            n = [encoder(tokenizer).counts(some) for some in slices(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0, np.int64), *n]))], names=["content", "n_tokens"])
 
-    return texts.select("content", "text").mapInArrow(run, "content string, n_tokens long")
+    return texts.select("content", "text").mapInArrow(narrow(run), "content string, n_tokens long")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -56,12 +58,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, doc_id: str = "
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).withColumn("content", F.sha2(F.col("text"), 256))
     known = _cached(docs, cache).where(F.col("tokenizer") == version)
-    # One document stands for each missing digest: its id is part of the key, so that the text join has no hot key.
-    missing = rows.groupBy("content").agg(F.min(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("who")).join(known.select("content"), "content", "left_anti")
-    texts = rows.withColumn("who", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(missing, ["content", "who"], "left_semi")
+    # One document stands for each digest: its id is part of the key, so that the text join has no hot key.
+    who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    digests = cut(rows.groupBy("content").agg(F.min(who).alias("who"), F.count(F.lit(1)).alias("n")), "digests")
+    missing = digests.select("content", "who").join(known.select("content"), "content", "left_anti")
+    texts = rows.withColumn("who", who).join(missing, ["content", "who"], "left_semi")
     # Rows that repeat with the same id and text are encoded alike; one count of each digest is stored.
     fresh = encode_counts(texts, tokenizer).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = _cached(docs, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    out = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(counts, "content")
+    hot = hot_keys(digests, "content", "n", digests.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    out = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
+    out = look_up(out, counts, "content", hot)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content")

@@ -11,7 +11,8 @@ with distances doubled each round, finds where the true chain enters each split;
 followed from there. Only candidates on the chain are records; the rest is payload and is put back into the
 record around it. Whole records are digested where they are read; only payloads that hold a version line are moved.
 
-Defined cases: a null payload is an empty one; a null id reads back as null, and is revisited only if no page
+Ids keep their type: they are written percent-encoded and read back as the type of the column. Heads and payloads
+may have any length. Defined cases: a null payload is an empty one; a null id reads back as null, and is revisited only if no page
 with the same payload has an id; rows with equal ids and payloads are all responses if theirs is the smallest
 id; line breaks in a URL are written as %0A and %0D; an empty table gives no rows; other columns are ignored.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_group, by_two_groups, cut, hot_keys, look_up
 
 VERSION = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -44,21 +45,24 @@ def with_roles(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     """page_id, url, html, digest, and original: the page that this one revisits, else null."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = cut(first, "repeated")
-    if first.count() <= BROADCAST_ROWS:  # about 100 bytes a row; beyond that the pages are dealt by digest
-        first = F.broadcast(first)
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "size", F.when(F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull()) & ((F.col("size") >= min_bytes)), F.col("first")).alias("original"))
+    named = first.select("digest", "first")
+    if first.count() <= BROADCAST_ROWS:  # about 100 bytes a row; beyond that the pages of all but hot digests are dealt by digest
+        joined = rows.join(F.broadcast(named), "digest", "left")
+    else:
+        joined = look_up(rows, named, "digest", hot_keys(first, "digest", "n", rows.count()), "left")
+    return joined.select("page_id", "url", "html", "digest", "size", F.when(F.coalesce(F.col("page_id") > F.col("first"), F.col("first").isNotNull()) & ((F.col("size") >= min_bytes)), F.col("first")).alias("original"))
 
 
 def _record(date: str) -> Column:
     uri = F.coalesce(F.replace(F.replace(F.col("url"), F.lit("\n"), F.lit("%0A")), F.lit("\r"), F.lit("%0D")), F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     body = F.when(F.col("original").isNull(), F.concat(http, F.col("html"))).otherwise(http)
-    again = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("original"), F.lit(">\r\n"))
+    again = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.url_encode(F.col("original").cast("string")), F.lit(">\r\n"))
     return F.concat(
         F.lit(f"{VERSION}WARC-Type: "), F.when(F.col("original").isNull(), "response").otherwise("revisit"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), uri,
+        F.lit("\r\nWARC-Record-ID: <urn:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(F.col("page_id").cast("string"))), F.lit("")), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"), F.when(F.col("original").isNotNull(), again).otherwise(""),
         F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(body), F.lit(END), body,
     )
@@ -82,21 +86,22 @@ def _parsed(df: DataFrame) -> DataFrame:
 SAID = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "stated_digest"]
 
 
-def _contents(df: DataFrame, keep: list[str]) -> DataFrame:
+def _contents(df: DataFrame, keep: list[str], kind: str) -> DataFrame:
     """keep, and what a whole record (value, header, content, head) says of its page."""
     df = df.withColumns({
         "block": F.expr("substring(cast(value as binary), cast(head + 1 as int), cast(content as int))"),
-        "http": F.expr("octet_length(substring_index(substring(value, char_length(header) + 5, 4096), '\\r\\n\\r\\n', 1)) + 4"),
+        "http": F.expr("octet_length(substring_index(substring(value, char_length(header) + 5), '\\r\\n\\r\\n', 1)) + 4"),
         "digest": F.substring_index(_field("header", "WARC-Payload-Digest"), ":", -1),
         "type": _field("header", "WARC-Type"),
     })
     whole, payload, top = F.col("type") == "response", F.expr("substring(block, http + 1)"), F.expr("cast(substring(block, 1, http) as string)")
-    page = "try_cast(regexp_extract(header, '(?i){}:[ \\t]*<urn:page:([^>]*)>', 1) as bigint)"
+    page = lambda name: F.try_url_decode(F.regexp_extract("header", f"(?i){name}:[ \\t]*<urn:page:([^>]*)>", 1)).try_cast(kind)
+    page_of = lambda name: F.when(F.col("header").rlike(f"(?i){name}:[ \\t]*<urn:page:"), page(name))
     return df.select(
-        *keep, F.expr(page.format("WARC-Record-ID")).alias("page_id"),
+        *keep, page_of("WARC-Record-ID").alias("page_id"),
         F.when(whole, F.octet_length(payload)).otherwise(F.regexp_extract(top, "(?i)\r\nContent-Length:[ \t]*([0-9]+)", 1).try_cast("bigint")).cast("long").alias("payload_bytes"),
         F.when(whole, base32_sha1(payload)).otherwise(F.col("digest")).alias("payload_digest"),
-        F.col("type").alias("record_type"), F.expr(page.format("WARC-Refers-To")).alias("refers_to"), F.col("digest").alias("stated_digest"),
+        F.col("type").alias("record_type"), page_of("WARC-Refers-To").alias("refers_to"), F.col("digest").alias("stated_digest"),
     )
 
 
@@ -131,7 +136,7 @@ def _walk(_: tuple, entries: pa.Table, t: pa.Table) -> pa.Table:
 
 def boundary_chain(candidates: DataFrame) -> DataFrame:
     """The candidates (file, split, off, nxt) that the chain from offset 0 of their file reaches."""
-    exits = cut(candidates.groupBy("file", "split").applyInArrow(_exits, "file string, off long, leaves long"), "exits")
+    exits = cut(candidates.groupBy("file", "split").applyInArrow(by_group(_exits), "file string, off long, leaves long"), "exits")
     jump = exits.select("file", "off", F.col("leaves").alias("to"))
     reached = cut(exits.where("off = 0").select("file", "off"), "reached")
     n = reached.count()
@@ -144,16 +149,16 @@ def boundary_chain(candidates: DataFrame) -> DataFrame:
         far = jump.alias("a").join(jump.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.to") == F.col("b.off")), "left")
         jump = cut(far.select("a.file", "a.off", F.coalesce("b.to", "a.to").alias("to")), "jumps")
     where = cut(candidates.select("file", "split", "off").join(reached, ["file", "off"]), "entries")
-    return where.groupBy("file", "split").cogroup(candidates.groupBy("file", "split")).applyInArrow(_walk, "file string, split long, off long, nxt long")
+    return where.groupBy("file", "split").cogroup(candidates.groupBy("file", "split")).applyInArrow(by_two_groups(_walk), "file string, split long, off long, nxt long")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """What the records say (SAID), with file and off, the offset of the record."""
+def read_warc(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
+    """What the records say (SAID), with file and off, the offset of the record. kind: the type of page ids."""
     raw = spark.read.option("lineSep", VERSION).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"))
     whole = F.coalesce(F.col("head") + F.col("content") + 4 == F.col("size"), F.lit(False))
     seg = _parsed(raw).withColumn("whole", whole).withColumn("raw", F.when(~F.col("whole"), F.col("value")))
     # One pass over the bytes keeps what a whole segment says, and the bytes of the others.
-    segs = cut(_contents(seg, ["file", "split", "seq", "size", "head", "content", "whole", "raw"]), "segments")
+    segs = cut(_contents(seg, ["file", "split", "seq", "size", "head", "content", "whole", "raw"], kind), "segments")
     step = F.col("size") + len(VERSION)
     base = segs.groupBy("file", "split").agg(F.sum(step).alias("n"))
     base = base.select("file", "split", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("base"))
@@ -173,10 +178,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     owner = F.last(F.when(F.col("nxt").isNotNull(), F.struct("off", "nxt")), ignorenulls=True).over(Window.partitionBy("file").orderBy("off"))
     parts = rest.withColumn("owner", owner).where("off < owner.nxt").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "raw"))).alias("p"))
     joined = parts.select("file", F.col("owner.off").alias("off"), F.array_join(F.transform("p", lambda x: x["raw"]), VERSION).alias("value"))
-    return easy.unionByName(_contents(_parsed(joined), ["file", "off"]))
+    return easy.unionByName(_contents(_parsed(joined), ["file", "off"], kind))
 
 
 def archive_pages(pages: DataFrame, path: str, **options) -> DataFrame:
     """Writes pages to WARC files under path and returns what their records say."""
     write_warc(pages, path, **options)
-    return read_warc(pages.sparkSession, path)
+    return read_warc(pages.sparkSession, path, pages.schema[options.get("page_id", "page_id")].dataType.simpleString())

@@ -85,7 +85,19 @@ def test_decontaminate(spark, vocabulary):
 
 def test_longest_match():
     t = decontaminate.Tests([("a", " ".join("abcdefghijklmnop"))], 10)
-    assert [x[3] for x in decontaminate.judge(["x " + " ".join("abcdefghijkl") + " q", " ".join("abcdefghijklmnop"), "a b c"], t)] == [12, 16, 0]
+    assert [x[3] for x in decontaminate.judge(["x " + " ".join("abcdefghijkl") + " q", " ".join("abcdefghijklmnop"), "a b c"], t)] == [[(1, 12, "a", 0)], [(0, 16, "a", 0)], []]
+
+
+def test_decontaminate_rows_and_names(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    long = "x " * 200_000 + item + " y" * 200_000
+    b = spark.createDataFrame([("7", item), ("8", item), ("9", "i3")], "item_id string, text string")
+    d = spark.createDataFrame([(None, f"a {item}", 1, 2, 3), (None, f"a {item}", 1, 2, 3), (5, "clean", 4, 5, 6), (6, long, 7, 8, 9)], "doc_id long, text string, __n int, n_hit int, __own_n_hit int")
+    rows = decontaminate.find_contaminated(d, b).orderBy("n_words").collect()
+    assert [(r.doc_id, r["__n"], r.n_hit, r.longest_match) for r in rows] == [(5, 4, 0, 0), (None, 1, 12, 12), (None, 1, 12, 12), (6, 7, 12, 12)]
+    assert [tuple(m) for m in rows[1].matches] == [(1, 12, "7", 0), (1, 12, "8", 0), (4, 1, "9", 0)]
+    assert rows[3].matches[0].start == 200_000
+    assert [tuple(r) for r in decontaminate.remove_contaminated(d, b).collect()] == [(5, "clean", 4, 5, 6)]
 
 
 # ---- 2 ----
@@ -115,6 +127,21 @@ def test_warc(spark):
     assert warc.archive_pages(df.where("false"), common.fresh_path(spark, "w")).count() == 0
 
 
+def test_warc_ids_and_heads(spark):
+    pages = [("b", "x" * 50), ("a", "x" * 50), ("a", "x" * 50), (None, "x" * 50), ("c d>\r\n", "y"), ("null", ""), ("\u00e9", None), (None, "z")]
+    df = spark.createDataFrame(pages, "page_id string, html string").select("page_id", F.lit("u").alias("url"), "html")
+    got = warc.archive_pages(df, common.fresh_path(spark, "w")).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    want = [("b", 50, "revisit", "a"), ("a", 50, "response", None), ("a", 50, "response", None), (None, 50, "revisit", "a"), ("c d>\r\n", 1, "response", None), ("null", 0, "response", None), ("\u00e9", 0, "response", None), (None, 1, "response", None)]
+    rest = [tuple(r) for r in got]
+    assert {r[3] for r in rest if r[0] == "\u00e9" or r[0] == "null"} == {None, "null"}  # both are empty; the smallest id answers
+    assert sorted(str(r) for r in rest if r[0] != "\u00e9") == sorted(str(w) for w in want if w[0] != "\u00e9")
+    at, head, body = common.fresh_path(spark, "w"), "HTTP/1.1 200 OK\r\nX: " + "h" * 6000 + "\r\n\r\n", "payload"
+    record = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:k>\r\nContent-Length: {len(head + body)}\r\n\r\n{head}{body}"
+    spark.createDataFrame([(record,)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(at)
+    r = warc.read_warc(spark, at).first()
+    assert (r.page_id, r.payload_bytes, r.payload_digest) == ("k", 7, base64.b32encode(hashlib.sha1(b"payload").digest()).decode())
+
+
 # ---- 3 ----
 
 
@@ -152,6 +179,22 @@ def test_near_duplicates(spark, rows, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    d = spark.createDataFrame([(1, text, 1), (2, text, 2), (2, "quite another text", 3), (None, text, 4), (4, text, 5), (4, text, 5)], "doc_id long, text string, digest int")
+    for drop in (simhash.drop_near_duplicates, jaccard.drop_similar):
+        assert sorted(str(tuple(r)) for r in drop(d).collect()) == sorted(str(x) for x in [(1, text, 1), (2, "quite another text", 3), (None, text, 4)])
+
+
+def test_hot_keys(spark):
+    rows = spark.range(20_000).selectExpr("id", "if(id % 3 = 0, 7, id) AS k", "id % 3 = 0 AS same")
+    counts = rows.groupBy("k").count()
+    hot = common.hot_keys(counts, "k", "count", 20_000)
+    assert hot == [7]
+    assert common.look_up(rows, counts, "k", hot).agg(F.count(F.lit(1)), F.sum("count")).first() == rows.join(counts, "k").agg(F.count(F.lit(1)), F.sum("count")).first()
+    assert common.look_up(rows, counts.where("k <> 7"), "k", hot, "left").where("count is null").count() == 6668
+
+
 def test_links_through_the_forest(spark):
     rng = np.random.default_rng(0)
     pts = []
@@ -235,6 +278,25 @@ def test_pieces_of_mixed_white_space():
     assert tokenize.joined_spaces({"\u0120a": 0, "a": 1}) is None
 
 
+def test_pieces_of_letters_and_signs():
+    e = tokenize.PieceEncoder(tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    some = ["a", "B", "\u00c9", "\u0301", ".", ",", "!?", "'s", "'", " ", "  ", "\n", "3", "\u03a3", "\u0130", "<|startoftext|>", "<|STARTOFTEXT|>", "-", "\u00df", "\u212b"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    for t, ids in zip(texts, e.many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_cache_is_trimmed(monkeypatch, odd_texts):
+    monkeypatch.setattr(tokenize, "CACHE_PIECES", 200)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokenize.PieceEncoder(tokenizer_path(name))
+        for k in range(0, 3000, 100):
+            some = odd_texts[k : k + 100] + odd_texts[:20]
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.many(some)] == [e.lib.encode(t, add_special_tokens=False).ids for t in some]
+        assert len(e.place) < 3000
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
@@ -387,6 +449,8 @@ def test_quality(spark, rows, docs, empty):
     want = brute_quality(more, good)
     got = [tuple(r)[:8] for r in quality.judge_quality(d, labels).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+    clash = d.select("doc_id", "text", F.lit(7).alias("q_n_words"), F.lit(8).alias("c1"), F.lit(9).alias("llr"))
+    assert {tuple(r)[2:] for r in quality.keep_quality(clash, labels).collect()} == {(7, 8, 9)}
     kept = quality.keep_quality(d, labels)
     assert kept.columns == d.columns and Counter(r.doc_id for r in kept.collect()) == Counter(w[0] for w in want if w[-1])
     assert quality.judge_quality(d, labels.where("false")).where("llr <> 0").count() == 0
@@ -479,6 +543,8 @@ def test_substring(spark, rows, docs, empty):
         covered = set()
         for f in r.factors:
             assert f.length >= 13 and f.ref_doc < r.doc_id
+            words = [w for i, t in rows if i == r.doc_id for w in [WORD.findall(t or "")] if len(w) == r.n_words][0]
+            assert any(words[f.start : f.start + f.length] == WORD.findall(t or "")[f.ref_start : f.ref_start + f.length] for i, t in rows if i == f.ref_doc)
             covered |= set(range(f.start, f.start + f.length))
         assert len(covered) == r.n_removed
     out = substring.dedup_texts(docs)
@@ -488,6 +554,19 @@ def test_substring(spark, rows, docs, empty):
     assert substring.duplicate_factors(empty).count() == 0
 
 
+def test_substring_references_and_names(spark):
+    a = " ".join(f"a{k}" for k in range(14))
+    one = " ".join([*a.split()[:13], "zz", *a.split()[1:]])
+    d = spark.createDataFrame([(1, one, "x", 7), (2, a, "y", 8), (None, a, "z", 9)], "doc_id long, text string, kept string, block int")
+    found = {r.doc_id: r for r in substring.duplicate_factors(d).collect()}
+    assert [tuple(f) for f in found[2].factors] == [(0, 13, 1, 0), (1, 13, 1, 14)]  # no stretch of document 1 holds all 14 words
+    assert (found[2].n_removed, found[1].n_removed, found[None].n_removed) == (14, 0, 0)
+    out = {r.doc_id: (r.text, r.kept, r.block) for r in substring.dedup_texts(d).collect()}
+    assert out == {1: (one, "x", 7), 2: ("", "y", 8), None: (a, "z", 9)}
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring.duplicate_factors(d.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_word_hashes_in_chunks(monkeypatch):
     monkeypatch.setattr(common, "CHUNK_BYTES", 50)
     rng = random.Random(0)

@@ -12,7 +12,7 @@ import pytest
 from lemmaweave.llm import queries as Q
 
 from ..conftest import SF, same
-from .test_operators import brute_fingerprint, brute_hits, brute_quality, brute_substring, components
+from .test_operators import brute_hits, brute_quality, brute_similar, brute_substring
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -29,11 +29,8 @@ def test_pipeline(spark, duck):
     good = {r[0] for r in duck.sql("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0").fetchall()}
     kept = {q[0] for q in brute_quality(rows, good) if q[-1]}
     rows = [r for r in rows if r[0] in kept]
-    of = components([brute_fingerprint(t) for _, t in rows], 4)
-    first: dict[int, int] = {}
-    for (i, _), c in zip(rows, of, strict=True):
-        first.setdefault(c, i)
-    rows = [(i, t) for (i, t), c in zip(rows, of, strict=True) if first[c] == i]
+    # Near-duplicates of a stage are five-word shingles of similarity 0.8 or more; op3's own query links by 4 bits.
+    rows = [(i, t) for (i, t), c in zip(rows, brute_similar(rows), strict=True) if c == i]
     rows = [(i, t if not w[2] else w[4]) for (i, t), w in zip(rows, brute_substring(rows), strict=True)]
     items = duck.sql("SELECT CAST(item_id AS VARCHAR), text FROM benchmark").fetchall()
     rows = [r for r, h in zip(rows, brute_hits([t for _, t in rows], items), strict=True) if not h[4]]
