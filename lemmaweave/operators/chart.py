@@ -1,58 +1,253 @@
-"""Chains of predicates and auxiliaries written without spaces, as paths over the segments of a word.
+"""Chains of predicates and auxiliaries written without spaces, as paths over the segments of a text.
 
-Segments are distinct texts, analysed once however many words hold them. An edge is a predicate reading of
-a segment; a path grows from the end of the word to its start, one equi-join on (word, position) a link."""
+Segments are distinct texts, analysed once however many texts hold them. An edge is a predicate reading of
+a segment. All edges of a text meet in one task, which enumerates the paths from the right, link by link,
+without any cutoff; texts are dealt to groups by hash, so no group grows with the corpus."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hangul as H
 from ..rules import auxiliaries as A
-from ..storage import cut
+from ..rules import endings as E
+from ..rules.followers import before_particle, before_particle_column
+from .predicates import LEMMA, MORPH
 
-#: Syllables of a word within which chains are sought; longer words keep their other readings and are flagged.
-MAX_CHARS = 64
+#: No auxiliary with all markers, its longest ending and a contracted negation is longer: 5 + 2 * (7 * 3) + 6 and a syllable for 잖, with particles.
+TAIL_CHARS = 64
+#: Particles that a connective may carry before the next predicate.
+INNER = ("들", "도", "만", "는", "야", "나", "가", "를", "로")
+_ALLOWED = set(A.link_rows())
+_STEMS = set(A.auxiliary_stems())
+READING = f"text string, stem string, form string, connector boolean, copula_only boolean, ha boolean, dap boolean, morphemes array<{MORPH}>, following array<{LEMMA}>, rules array<string>, spellings array<string>"
+COLUMNS = [c.split()[0] for c in READING.split(", ")]
 
 
-def segments(words: DataFrame, text: str = "text") -> DataFrame:
-    """word, start, stop and segment for each split part that an auxiliary chain could use.
+def segments(texts: DataFrame, text: str = "text") -> DataFrame:
+    """text, start, stop, n and segment for each part that a chain could use.
 
-    A part after the first starts with an auxiliary's initial consonant; a first part may be any prefix."""
-    initials = sorted({H.split_char(s[0])[0] for s in A.auxiliary_stems()})
+    A part after the first starts with the initial of an auxiliary, of 말다 or of 되다; a first part may be any prefix before such a place."""
+    initials = sorted({H.split_char(s[0])[0] for s in [*A.auxiliary_stems(), "되", "말", "안"]})
     w, n = F.col(text), F.char_length(text)
-    ok = words.where(H.has_hangul(w) & (n > 1) & (n <= MAX_CHARS))
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | H.initial(H.index(F.substring(w, i + 1, F.lit(1)))).isin(*initials))
-    df = ok.select(w.alias("word"), n.alias("n"), starts.alias("starts"))
-    df = df.where(F.size("starts") > 1).select("word", "n", "starts", F.explode("starts").alias("start"))
-    ends = F.filter(F.array_append("starts", F.col("n")), lambda j: j > F.col("start"))
-    df = df.select("word", "n", "start", F.explode(ends).alias("stop"))
-    return df.where((F.col("start") > 0) | (F.col("stop") < F.col("n"))).select("word", "n", "start", "stop", F.substring("word", F.col("start") + 1, F.col("stop") - F.col("start")).alias("segment"))
-
-
-def edges(parts: DataFrame, readings: DataFrame) -> DataFrame:
-    """parts with the predicate readings (by text) that may stand there."""
-    df = parts.join(readings, parts["segment"] == readings["text"])
-    aux = F.col("stem").isin(*A.auxiliary_stems())
-    return df.where(((F.col("start") == 0) | (aux & ~F.col("copula_only"))) & ((F.col("stop") == F.col("n")) | F.col("connector")))
-
-
-def chains(edge: DataFrame) -> DataFrame:
-    """word, lemmas (structs), morphemes and rules of complete paths with at least one auxiliary; the first predicate's own readings stay apart (stem, copula_only)."""
-    spark = edge.sparkSession
-    cols = ["word", "start", "stop", "n", "stem", "form", "morphemes", "rules", "copula_only"]
-    edge = edge.select(*cols)
-    frontier = edge.where("stop = n and start > 0").select("word", F.col("start").alias("at"), F.col("stem").alias("aux"), F.array(F.struct(F.concat("stem", F.lit("다")).alias("text"), F.lit("Auxiliary").alias("kind"))).alias("tail"), F.col("morphemes").alias("after"), F.concat("rules", F.array(F.lit("auxiliary"))).alias("why"))
-    links = A.auxiliary_links(spark)
-    done: DataFrame | None = None
-    inner = edge.where("stop < n").select("word", "start", F.col("stop").alias("at"), "stem", "form", "morphemes", "rules", "copula_only")
-    while True:
-        grown = inner.join(frontier, ["word", "at"]).join(F.broadcast(links.withColumnRenamed("connector", "form")), ["form", "aux"])
-        grown = grown.select("word", "start", "stem", "copula_only", F.col("tail"), F.concat("morphemes", "after").alias("after"), F.concat("rules", "why").alias("why"), F.size("morphemes").alias("own"))
-        grown = cut(grown, "chains")
-        whole = grown.where("start = 0").select("word", "stem", "copula_only", "tail", F.col("after").alias("morphemes"), F.col("why").alias("rules"))
-        done = whole if done is None else done.unionByName(whole)
-        frontier = grown.where(F.col("start") > 0).select("word", F.col("start").alias("at"), F.col("stem").alias("aux"), F.concat(F.array(F.struct(F.concat("stem", F.lit("다")).alias("text"), F.lit("Auxiliary").alias("kind"))), "tail").alias("tail"), "after", F.concat("why", F.array(F.lit("auxiliary"))).alias("why"))
-        if frontier.isEmpty():
-            return done
+    ok = texts.where(H.has_hangul(w) & (n > 1))
+    starts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: H.initial(H.index(F.substring(w, i + 1, F.lit(1)))).isin(*initials))
+    df = ok.select(w.alias("text"), n.alias("n"), starts.alias("starts")).where(F.size("starts") > 0)
+    df = df.select("text", "n", "starts", F.explode(F.array_append("starts", F.lit(0))).alias("start"))
+    ends = F.filter(F.array_append("starts", F.col("n")), lambda j: (j > F.col("start")) & ((F.col("start") == 0) | (j <= F.col("start") + TAIL_CHARS)) & ((F.col("start") > 0) | (j < F.col("n"))))
+    df = df.select("text", "n", "start", F.explode(ends).alias("stop"))
+    return df.select("text", "n", "start", "stop", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("segment"))
+
+
+def inner_variants(parts: DataFrame) -> DataFrame:
+    """segment, base, particle and rule of each way to read a segment as a connective clause with a particle; and 안 taken off."""
+    s, n = F.col("segment"), F.char_length("segment")
+    i = H.index(H.last_char(s))
+    cut = lambda k: F.left(s, n - k)
+    none = F.array().cast("array<string>")
+    way = lambda when, base, particle, need, rules, bridge=False: F.when(when & (n > 1), F.struct(base.alias("base"), F.lit(particle).alias("particle"), F.lit(need).alias("need"), (F.array(*map(F.lit, rules)) if rules else none).alias("why"), F.lit(bridge).alias("bridge")))
+    ways = [way(s.endswith(p), cut(1), p, None, ("particle",)) for p in INNER]
+    ways += [way(s.endswith(short), F.concat(cut(1), F.lit(full)), "는", full, ("particle", "particle.contraction.n")) for short, full in (("곤", "고"), ("진", "지"))]
+    ways.append(way(H.coda(i) == 8, H.replace_last(s, H.vowel(i), F.lit(0)), "를", None, ("particle", "particle.contraction.l")))
+    return parts.select("segment").distinct().select("segment", F.inline(F.filter(F.array(*ways), lambda x: x.isNotNull())))
+
+
+def with_particles(variants: DataFrame, readings: DataFrame) -> DataFrame:
+    """Readings of segments that end in an internal particle."""
+    df = variants.join(readings, variants["base"] == readings["text"]).where("connector")
+    ending = F.col("form")
+    contracted = F.col("need").isNotNull()
+    ok = F.when(contracted, ending == F.col("need")).when(F.array_contains("why", "particle.contraction.l"), before_particle_column(ending, F.lit("를")))
+    ok = ok.when(F.col("particle") == "로", ending == "기").otherwise((ending == "기") | before_particle_column(ending, F.col("particle")))
+    morphs = F.concat("morphemes", F.array(F.struct(F.col("particle").alias("form"), F.lit("Particle").alias("kind"))))
+    return df.where(ok).select(F.col("segment").alias("text"), *[morphs.alias("morphemes") if c == "morphemes" else F.array_distinct(F.concat("rules", "why")).alias("rules") if c == "rules" else F.col(c) for c in COLUMNS[1:]])
+
+
+@dataclass(slots=True)
+class Piece:
+    """A predicate reading at a place of a text; leading: the adverb 안 before it."""
+
+    stem: str
+    connector: bool
+    copula_only: bool
+    ha: bool
+    dap: bool
+    morphs: list[tuple[str, str]]
+    following: list[tuple[str, str]]
+    rules: frozenset[str]
+    spellings: list[str]
+    leading: bool = False
+
+    def ending(self) -> int:
+        """The place of the last ending."""
+        return max(k for k, (_, kind) in enumerate(self.morphs) if kind == "Ending")
+
+    def own_markers(self) -> list[str]:
+        """The markers of the predicate that the last ending belongs to."""
+        end, out = self.ending(), []
+        for form, kind in reversed(self.morphs[:end]):
+            if kind == "Ending":
+                break
+            if kind == "Prefinal":
+                out.append(form)
+        return out
+
+
+def _paired(form: str, with_: str) -> bool:
+    form = form.removesuffix("요")
+    if with_ in ("을까", "든지", "든", "거나", "거니", "건"):
+        return form == with_
+    return form == "지" if with_ == "을지" else with_ in ("나", "으나") and form in ("나", "으나")
+
+
+def _mal(left: Piece, right: Piece, branch: str | None) -> bool:
+    """Whether right is lexical 말다 behind left: a break off, or the second of two alternatives."""
+    if right.stem != "말" or right.leading or "irregular.mal" in right.rules or left.morphs[-1][1] != "Ending":
+        return False
+    last = left.morphs[-1][0]
+    if last in ("다", "다가", "으려다", "으려다가"):
+        return True
+    if last == "어":
+        return left.stem == "슬프" and not left.following
+    form, kind = right.morphs[-1]
+    pair = kind == "Ending" and _paired(form, last)
+    own = pair and all(k == "Prefinal" for _, k in right.morphs[:-1]) and (form.removesuffix("요") != "으나" or (len(right.morphs) > 1 and right.morphs[-2][0] in E.TENSE))
+    return own or (right.connector and not pair and branch is not None and _paired(branch, last))
+
+
+def _doeda(left: Piece, right: Piece) -> tuple[str, str] | None:
+    if right.stem != "되":
+        return None
+    at = left.ending()
+    form, particles = left.morphs[at][0], [p for p, _ in left.morphs[at + 1 :]]
+    if (form == "도록" and not particles) or (form == "기" and particles == ["로"]):
+        return "Predicate", "lexical.doeda.extended"
+    if (form in ("어야", "으면", "어도") and not particles) or (form == "어" and particles in (["야"], ["도"])) or (right.leading and ((form == "어서" and particles == ["는"]) or (form == "어서는" and not particles))):
+        return "Auxiliary", "auxiliary.doeda.extended"
+    return None
+
+
+def _finite(right: Piece) -> bool:
+    ends = [k for k, (_, kind) in enumerate(right.morphs) if kind == "Ending"]
+    form = right.morphs[ends[0]][0]
+    return right.stem in ("하", "들") and (form in ("는다", "다", "어요", "습니다") or (form == "어" and right.morphs[ends[0] + 1 : ends[0] + 2] == [("요", "Particle")]))
+
+
+def _particle_joins(form: str, particle: str, stem: str) -> bool:
+    listed = (form, stem) in _ALLOWED
+    if particle in ("도", "만", "들"):
+        return (form == "기" and stem == "하" and particle != "들") or (listed and before_particle(form, particle))
+    if particle == "는":
+        return (stem == "하" and form in ("고", "기")) or (stem == "싶" and form == "고") or (stem in ("있", "계시") and form in ("고", "어")) or (form == "지" and listed)
+    if particle == "나":
+        return stem == "하" and form == "기"
+    if particle in ("가", "를"):
+        return listed and before_particle(form, particle)
+    return particle == "야" and ((stem == "하" and form == "기") or (stem == "말" and form == "고"))
+
+
+def _auxiliary(left: Piece, right: Piece) -> bool:
+    at = left.ending()
+    form, particles = left.morphs[at][0], [p for p, _ in left.morphs[at + 1 :]]
+    if len(particles) > 1 or not (_particle_joins(form, particles[0], right.stem) if particles else (form, right.stem) in _ALLOWED):
+        return False
+    markers = left.own_markers()
+    if form == "으려고" and _finite(right) and any(m not in E.HONORIFIC for m in markers):
+        return False
+    if form == "고" and right.stem in ("있", "계시") and "어야겠" in markers:
+        return False
+    if "irregular.mal" in right.rules and form != "지":
+        return False
+    if form == "으면" and ("었", "Prefinal") not in left.morphs[:at]:
+        return False
+    forms = [f for f, _ in right.morphs]
+    if right.stem in ("가지", "갖"):
+        return forms == ["고"]
+    if right.stem == "달":
+        return len(forms) == 1 and forms[0] in A.REQUESTS.split()
+    if right.stem == "보" and form in ("다", "다가", "으려다", "으려다가"):
+        return forms in (["으니"], ["으면"])
+    return True
+
+
+def link(left: Piece, right: Piece, branch: str | None) -> tuple[str, list[str]] | None:
+    """The role of right behind left and the rules that say so."""
+    if _mal(left, right, branch):
+        return "Predicate", ["lexical.mal.complement"] + ([] if _mal(left, right, None) else ["lexical.mal.paired_branch"])
+    if found := _doeda(left, right):
+        return found[0], [found[1]]
+    return ("Auxiliary", ["auxiliary"]) if not right.leading and _auxiliary(left, right) else None
+
+
+def paths(n: int, bases: dict[int, list[Piece]], tails: dict[int, list[tuple[int, Piece]]]) -> Iterator[list[Piece]]:
+    """All chains of two pieces or more over a text of n characters: bases by where they stop, tails by where they stop, with their start."""
+    todo: list[tuple[int, tuple[Piece, ...]]] = [(n, ())]
+    while todo:
+        stop, path = todo.pop()
+        branch = path[-1].morphs[-1][0] if path and path[-1].morphs[-1][1] == "Ending" else None
+        if path:
+            for base in bases.get(stop, ()):
+                if base.connector and link(base, path[0], branch):
+                    yield [base, *path]
+        for start, tail in tails.get(stop, ()):
+            if (tail.connector and link(tail, path[0], branch)) if path else tail.morphs[-1][1] == "Ending":
+                todo.append((start, (tail, *path)))
+
+
+def joined(path: list[Piece]) -> tuple:
+    """A chain as one reading: stem, form, connector, copula_only, ha, dap, morphemes, following, rules, spellings."""
+    base, last = path[0], path[-1].morphs[-1][0]
+    morphs, following, rules, spellings = list(base.morphs), list(base.following), set(base.rules), list(base.spellings)
+    for left, right in zip(path, path[1:], strict=False):
+        role, why = link(left, right, last)
+        rules |= right.rules | set(why) | ({"auxiliary"} if role == "Auxiliary" else set()) | ({"auxiliary.internal_particle"} if left.morphs[-1][1] == "Particle" else set())
+        following += [*([("안", "Adverbial")] if right.leading else []), (right.stem + "다", role), *right.following]
+        morphs += right.morphs
+        spellings += right.spellings
+    pair = lambda xs, a: [{a: x, "kind": k} for x, k in xs]
+    return base.stem, last, path[-1].connector, base.copula_only, base.ha, base.dap, pair(morphs, "form"), pair(following, "text"), sorted(rules), spellings
+
+
+def _enumerate(kind: pa.Schema):  # noqa: ANN202
+    def run(_: tuple, t: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        by: dict[str, tuple[int, dict, dict]] = {}
+        for r in t.to_pylist():
+            p = Piece(r["stem"], r["connector"], r["copula_only"], r["ha"], r["dap"], [(m["form"], m["kind"]) for m in r["morphemes"]], [(x["text"], x["kind"]) for x in r["following"]], frozenset(r["rules"]), r["spellings"], r["leading"])
+            n, bases, tails = by.setdefault(r["text"], (r["n"], {}, {}))
+            if r["start"]:
+                tails.setdefault(r["stop"], []).append((r["start"], p))
+            else:
+                bases.setdefault(r["stop"], []).append(p)
+        for text, (n, bases, tails) in by.items():
+            rows += [(text, *joined(path)) for path in paths(n, bases, tails)]
+        return pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind) if rows else kind.empty_table()
+
+    return run
+
+
+def chains(parts: DataFrame, readings: DataFrame) -> DataFrame:
+    """Readings (see READING) of the texts of parts as chains of two predicates or more. readings: those of all segments, internal particles included."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    end = F.col("stop") == F.col("n")
+    closed = F.try_element_at("morphemes", F.lit(-1))["kind"] == "Ending"
+    body = [F.col(c) for c in COLUMNS[1:]]
+    r = readings.withColumnRenamed("text", "segment")
+    plain = parts.join(r, "segment").select("text", "n", "start", "stop", *body, F.lit(False).alias("leading"))
+    # 안 before 되다 belongs to the segment that starts with it.
+    an = parts.where(F.col("segment").startswith("안") & (F.col("start") > 0)).withColumn("segment", F.expr("substring(segment, 2)"))
+    bridge = an.join(r.where("stem = '되'"), "segment").select("text", "n", "start", "stop", *[F.array_append("rules", F.lit("doeda.negative_bridge")).alias("rules") if c == "rules" else F.col(c) for c in COLUMNS[1:]], F.lit(True).alias("leading"))
+    edge = plain.unionByName(bridge)
+    tail = (F.col("start") > 0) & (F.col("leading") | F.col("stem").isin("되", "말", *_STEMS)) & F.when(end, closed).otherwise(F.col("connector"))
+    edge = edge.where(((F.col("start") == 0) & F.col("connector")) | tail)
+    width = F.pmod(F.xxhash64("text"), F.lit(8 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # Texts without a last edge have no chain.
+    open_ = edge.where(end).select("text").distinct()
+    schema = parts.sparkSession.createDataFrame([], READING).schema
+    return edge.join(open_, "text", "left_semi").groupBy(width.alias("deal")).applyInArrow(_enumerate(to_arrow_schema(schema)), schema)

@@ -5,12 +5,11 @@ syllables. No row leaves its task."""
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hangul as H
+from ..rules import once_each
 
 # Whole surfaces and their stems.
 FINITE = {"가냘파": "가냘프", "크나커": "크나크", "동터": "동트", "못써": "못쓰", "받아써": "받아쓰", "본떠": "본뜨", "손써": "손쓰", "싹터": "싹트", "악써": "악쓰", "약아": "약", "얇아": "얇", "얕아": "얕", "어째": "어쩌"}
@@ -42,7 +41,7 @@ def _to(v: Column, pairs: dict[int, int]) -> Column:
     return out
 
 
-@cache
+@once_each
 def _hypotheses() -> Column:
     """All hypotheses over the columns base, suffix, boundary, attached and the syllables __n, __h, __p; built once, as a Column names its inputs."""
     base, n, head, p = F.col("base"), F.col("__n"), F.col("__h"), F.col("__p")
@@ -118,7 +117,7 @@ def _hypotheses() -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-@cache
+@once_each
 def _with_bieup() -> Column:
     """A hypothesis __r, and the one with ㅂ behind an 우/오 that 아/어 left."""
     stem = F.col("__r.stem")
@@ -130,13 +129,13 @@ def _with_bieup() -> Column:
     return F.filter(F.array(F.col("__r"), F.when(again, bieup)), lambda x: x.isNotNull())
 
 
-@cache
+@once_each
 def _syllables() -> dict[str, Column]:
     head = H.but_last(F.col("base"))
     return {"__n": H.index(H.last_char(F.col("base"))), "__h": head, "__p": H.index(H.last_char(head))}
 
 
-@cache
+@once_each
 def _spelling() -> Column:
     return spelling_class(F.col("__r.stem"), F.element_at("__r.rules", 1), F.col("boundary"))
 

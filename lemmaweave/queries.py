@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .dictionary import TableDictionary, annotate, compatible_filter, headword_filter, pos_compatibility
 from .functions import hangul as H
-from .functions.tokens import tokenize
+from .functions.tokens import spread, tokenize
 from .operators.merge import lemma_strings
 from .operators.nominals import assumed
 from .plans.analyze import Session, analyze_words
@@ -121,12 +121,12 @@ TOKENS_CTE = f"WITH tok AS (SELECT *, {KIND_SQL} AS kind FROM (SELECT doc_id, la
 
 
 def tokens_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokenize(read(spark, sf_dir, "documents"), keys=("doc_id", "lang"))
-    return t.groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_bytes"))
+    t = tokenize(spread(read(spark, sf_dir, "documents")), keys=("doc_id", "lang"), spans=False)
+    return t.groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.octet_length("surface")).cast("long").alias("n_bytes"))
 
 
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokenize(read(spark, sf_dir, "documents"))
+    t = tokenize(spread(read(spark, sf_dir, "documents")))
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.max("end").cast("long").alias("n_bytes"), F.sum(F.col("start") % 1009 * (F.col("ordinal") % 97)).cast("long").alias("position_sum"))
 
 
@@ -138,8 +138,8 @@ SELECT doc_id, count(*) AS n_tokens, CAST(max(e) AS BIGINT) AS n_bytes, CAST(sum
 
 def lossless_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text against its tokens put together again."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    t = tokenize(docs).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "surface"))), lambda x: x["surface"]), "").alias("again"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = tokenize(docs, spans=False).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "surface"))), lambda x: x["surface"]), "").alias("again"))
     return docs.join(t, "doc_id").select("doc_id", (F.col("text") == F.col("again")).alias("lossless"), F.md5("again").alias("digest"))
 
 
@@ -147,14 +147,14 @@ def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 most frequent words of each language (a report)."""
     from pyspark.sql import Window
 
-    t = tokenize(read(spark, sf_dir, "documents"), keys=("doc_id", "lang")).where("kind = 'word'")
+    t = tokenize(spread(read(spark, sf_dir, "documents")), keys=("doc_id", "lang"), spans=False).where("kind = 'word'")
     n = t.groupBy("lang", F.col("surface").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return n.withColumn("place", rank.cast("long")).where("place <= 20")
 
 
 def word_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokenize(read(spark, sf_dir, "documents"), keys=("doc_id", "lang")).where("kind = 'word'")
+    t = tokenize(spread(read(spark, sf_dir, "documents")), keys=("doc_id", "lang"), spans=False).where("kind = 'word'")
     return t.groupBy("lang").agg(F.countDistinct("surface").alias("n_types"), F.count(F.lit(1)).alias("n_tokens"))
 
 
@@ -166,7 +166,7 @@ def identity_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokenize(read(spark, sf_dir, "conversations"), keys=("conv_id", "turn", "role"))
+    t = tokenize(spread(read(spark, sf_dir, "conversations")), keys=("conv_id", "turn", "role"), spans=False)
     return t.groupBy("role").agg(F.count_if(F.col("kind") == "word").alias("n_words"), F.count_if(F.col("kind") == "punctuation").alias("n_marks"), F.countDistinct("conv_id").alias("n_conversations"))
 
 

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, name: str, rows: list[tuple], schema: str) -> DataFrame:
-    """A rule table of the session; its size is that of the literals in this package."""
-    key = (id(spark), name)
+    """A rule table of the application; its size is that of the literals in this package."""
+    key = (spark.sparkContext.applicationId, name)
     if key not in _TABLES:
         _TABLES[key] = spark.createDataFrame(rows, schema)
     return _TABLES[key]
+
+
+def once_each(build: Callable) -> Callable:
+    """build() once for each application, as Columns live in its JVM."""
+    made: dict[str, object] = {}
+
+    @wraps(build)
+    def held():  # noqa: ANN202
+        key = SparkContext._active_spark_context.applicationId
+        if key not in made:
+            made.clear()
+            made[key] = build()
+        return made[key]
+
+    return held

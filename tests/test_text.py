@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lemmaweave.functions import hangul as H
 from lemmaweave.functions.tokens import tokenize
-from lemmaweave.rules.endings import ending_rows, join_tail
+from lemmaweave.rules.endings import ending_rows
 from lemmaweave.sources.text import read_bytes, read_text, text_lines, write_jsonl
 
 
@@ -59,7 +59,17 @@ def test_ending_rows():
     have = {(s, f, b, c) for s, f, b, c, _ in rows}
     for want in (("요", "어요", "Aeo", None), ("면", "으면", "EuZero", None), ("니다", "습니다", "Attached", 17), ("케", "게", "HaAspiration", None), ("", "을", "Attached", 8), ("단다", "단다", "Literal", None), ("까", "을까", "OmittedCopula", 8)):
         assert want in have
-    assert join_tail("다", "ㄴ다") == "단다" and join_tail("더라", "ㅐ") == "더래" and join_tail("자", "ㄴ") == "잔"
+    assert {"단다", "더래", "잔", "느냬"} <= {f for _, f, _, _, _ in rows}
+
+
+def test_licences_name_endings():
+    from lemmaweave.rules import endings as E
+
+    forms = {f for _, f, _, _, _ in ending_rows()}
+    lists = [*E.ONLY.values(), *E.NEVER.values(), E.NO_COPULA_ENDING, E.ADJECTIVAL_QUESTION, E.FACTUAL]
+    assert all(set(x.split()) <= forms for x in lists)
+    only = [f for x in E.ONLY.values() for f in x.split()]
+    assert len(only) == len(set(only))
 
 
 def test_text_sources_and_sinks(spark, tmp_path):
