@@ -8,6 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Parts of speech of the dictionary, by the lemma kinds that they fit.
 ACCEPTED = {
@@ -16,6 +17,10 @@ ACCEPTED = {
     "Auxiliary": ("보조 동사", "보조 형용사"),
     "Adverbial": ("부사",),
 }
+NOUNS = ("명사", "대명사", "수사", "의존 명사")
+#: The class that a part of speech gives a predicate, and entries whose part of speech another source corrects.
+CLASSES = {"동사": "V", "보조 동사": "V", "형용사": "A", "보조 형용사": "A"}
+POS_OVERRIDES = {"krdict:600930": "형용사"}
 KNOWN = ("명사", "대명사", "수사", "의존 명사", "동사", "형용사", "보조 동사", "보조 형용사", "조사", "관형사", "부사", "감탄사", "접사", "어미", "PROPN")
 
 
@@ -71,7 +76,8 @@ def all_status(statuses: Column) -> Column:
 def lemma_matches(analyses: DataFrame, dictionary: Dictionary) -> DataFrame:
     """word, lemma_text, lemma_kind and the matching entries with their compatibility, once for each distinct lemma of a word."""
     lemmas = analyses.select("word", F.explode("lemmas").alias("l")).select("word", F.col("l.text").alias("lemma_text"), F.col("l.kind").alias("lemma_kind")).distinct()
-    e = dictionary.entries().select("id", "headword", "homonym", "pos", "lookup")
+    override = F.create_map(*[F.lit(x) for kv in POS_OVERRIDES.items() for x in kv])
+    e = dictionary.entries().select("id", "headword", "homonym", F.coalesce(F.try_element_at(override, F.col("id")), F.col("pos")).alias("pos"), "lookup")
     df = lemmas.join(e, lemmas["lemma_text"] == e["lookup"])
     return df.select("word", "lemma_text", "lemma_kind", F.col("id").alias("entry_id"), "headword", "homonym", "pos", pos_compatibility(F.col("lemma_kind"), F.col("headword"), F.col("pos")).alias("pos_compatibility"))
 
@@ -87,6 +93,54 @@ def annotate(analyses: DataFrame, dictionary: Dictionary) -> DataFrame:
     return keyed.join(by, ["word", "__a"], "left").drop("__a").withColumn("status", all_status(F.coalesce("lemma_status", none)))
 
 
+def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | None = None) -> DataFrame:
+    """annotate(), with a status that also asks what each entry says of the reading, and conflicts: entries with the reason.
+
+    An entry's part of speech gives its predicate a class, with which the endings and auxiliaries of the reading must
+    agree. evidence (stem and class, see spelling_evidence): paradigms that written forms show; a reading that needs
+    another one is refused, and one without evidence is left open. Alternatives are folded by entry, then parts by reading."""
+    known = annotate(analyses, dictionary)
+    key = F.xxhash64("word", F.col("lemmas").cast("string"), F.col("morphemes").cast("string"), "unchanged")
+    keyed = known.withColumn("__a", key)
+    parts = keyed.where("all_listed and not unchanged").select("word", "__a", "lemmas", "morphemes", "rules", "spelling_paths", F.posexplode("lemmas").alias("i", "l"))
+    m = lemma_matches(analyses.where("not unchanged"), dictionary).select("word", F.col("lemma_text"), F.col("lemma_kind"), "entry_id", "pos", "pos_compatibility")
+    rows = parts.join(m, (parts["word"] == m["word"]) & (F.col("l.text") == F.col("lemma_text")) & (F.col("l.kind") == F.col("lemma_kind"))).drop(m["word"])
+    classes = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
+    rows = rows.withColumn("class", F.try_element_at(classes, F.col("pos")))
+    judged = rows.withColumn("refused", F.when(F.col("class").isNotNull() & (F.col("lemma_kind") == "Predicate"), conflict("lemmas", "morphemes", "rules", "i", "class")))
+    if evidence is None:
+        judged = judged.withColumn("spelled", F.lit("compatible"))
+    else:
+        shown = evidence.groupBy(F.concat("stem", F.lit("다")).alias("lemma_text")).agg(F.collect_set("class").alias("shown"))
+        judged = judged.join(shown, "lemma_text", "left")
+        meets = lambda path: F.when(F.forall(path, lambda x: F.array_contains("shown", x)), "compatible").otherwise("incompatible")
+        own = F.when((F.col("i") > 0) | (F.size("spelling_paths") == 0), "compatible").when(F.col("shown").isNull(), "unknown").otherwise(any_status(F.transform("spelling_paths", meets)))
+        judged = judged.withColumn("spelled", own)
+    status = all_status(F.array("pos_compatibility", F.when(F.col("refused").isNull(), "compatible").otherwise("incompatible"), "spelled"))
+    reason = F.when(F.col("refused").isNotNull(), F.struct(F.col("entry_id").alias("entry_id"), F.col("refused").alias("rule"))).when(F.col("spelled") == "incompatible", F.struct(F.col("entry_id").alias("entry_id"), F.lit("lexical_spelling").alias("rule")))
+    by_lemma = judged.groupBy("__a", "i").agg(any_status(F.collect_set(status)).alias("s"), F.collect_set(reason).alias("c"))
+    by = by_lemma.groupBy("__a").agg(F.collect_list("s").alias("s"), F.flatten(F.collect_list("c")).alias("conflicts"))
+    out = keyed.join(by, "__a", "left").drop("__a")
+    return out.withColumn("status", F.when(F.col("s").isNull(), F.col("status")).otherwise(all_status(F.col("s")))).drop("s")
+
+
+@F.udf(T.StringType())
+def conflict(lemmas, morphemes, rules, i, kind):  # noqa: ANN001, ANN201
+    """The ending that conflicts with the class of lemma i, if any."""
+    from .operators.classes import classes_allow
+
+    pairs = [(x.text, x.kind) for x in lemmas], [(x.form, x.kind) for x in morphemes]
+    if classes_allow(*pairs, list(rules), known={i: kind}) is not None:
+        return None
+    return next((f for f, k in pairs[1] if k == "Ending"), "class")
+
+
+def origin_status(expected: Column, recorded: Column) -> Column:
+    """What the origins that an entry records say of the base that a formation presumes."""
+    none = F.size(F.coalesce(recorded, F.expr("cast(array() as array<string>)"))) == 0
+    return F.when(none, "unknown").when(F.arrays_overlap(expected, recorded), "recorded_match").otherwise("recorded_difference")
+
+
 def headword_filter(annotated: DataFrame) -> DataFrame:
     """Readings whose every lemma has an entry, whatever its part of speech."""
     return annotated.where("all_listed")
@@ -109,14 +163,21 @@ def has_match(analyses: DataFrame, dictionary: Dictionary, *, require_pos: bool
 
 
 def spelling_evidence(dictionary: DataFrame) -> DataFrame:
-    """headword, class: what written conjugated forms (forms.kind 활용) show of the ㅂ, ㄷ, ㅅ and ㅎ paradigms."""
+    """id, stem and class: what written conjugated forms (forms.kind 활용) show of the ㅂ, ㄷ, ㅅ, ㅎ and 르 paradigms, and of stems in ㅡ and ㅑ."""
     from .functions import hangul as H
 
     df = dictionary.select("id", F.col("headword"), F.explode("forms").alias("f")).where(F.col("f.kind") == "활용").select("id", H.but_last(F.col("headword")).alias("stem"), F.col("f.written").alias("written"))
     t = H.text_coda(F.col("stem"))
     name = F.when(t == 17, "Bieup").when(t == 7, "Digeut").when(t == 19, "Siot").when(t == 27, "Hieut")
+    # 르 stems and stems in other ㅡ or ㅑ show theirs in 아/어 forms.
+    vowel = df.where(F.col("stem").rlike("[가-힣]$") & H.vowel(H.index(H.last_char(F.col("stem")))).isin(2, 18) & (t == 0))
+    reu, w, head = F.col("stem").endswith("르"), F.col("written"), H.but_last(F.col("stem"))
+    lead = F.substring(w, F.char_length("stem"), F.lit(1))  # the syllable in the place of the stem's last
+    shown = F.when(reu & w.startswith(F.concat("stem", F.lit("러"))), "ReoAddition").when(reu & lead.isin("라", "러") & ~w.startswith(head), "ReuDoubling").when(reu & lead.isin("라", "러"), "ReuEuDeletion")
+    shown = shown.when(~reu & w.startswith(F.concat("stem", F.lit("어"))), "WrittenUncontracted").when(~reu & (H.vowel(H.index(lead)) == 4), "WrittenEo").when(~reu & (H.vowel(H.index(lead)) == 0), "WrittenA")
+    vowels = vowel.select("id", "stem", shown.alias("class")).where("class is not null").distinct()
     plain = F.col("written").startswith(F.col("stem")) & F.col("written").endswith("으니")
-    return df.where(name.isNotNull() & F.col("written").rlike("니$")).select("id", "stem", F.concat(name, F.when(plain, "Regular").otherwise("Irregular")).alias("class")).distinct()
+    return df.where(name.isNotNull() & F.col("written").rlike("니$")).select("id", "stem", F.concat(name, F.when(plain, "Regular").otherwise("Irregular")).alias("class")).distinct().unionByName(vowels)
 
 
 def coverage(tokens: DataFrame, annotated: DataFrame) -> DataFrame:

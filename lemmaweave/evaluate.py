@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .dictionary import Dictionary
 
 # Tags of the KAIST treebank by their part in a gold group.
 LEXICAL = ("nbn", "nbu", "ncn", "ncpa", "ncps", "nnc", "nno", "npd", "npp", "nq", "mad", "mag", "maj", "mma", "mmd", "f", "ii", "xp")
@@ -83,3 +86,56 @@ def preferred_readings(annotated: DataFrame) -> DataFrame:
     """Of the compatible readings of a word, the one with the fewest morphemes, then the first in order."""
     w = Window.partitionBy("word").orderBy((F.col("status") != "compatible").cast("int"), F.size("morphemes"), F.col("lemmas").cast("string"), F.col("morphemes").cast("string"))
     return annotated.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+# ---- what a viewer of analyses asks for ----------------------------------------------------------
+
+#: Written shape of an affix headword, and the parts of speech it has, by kind of morpheme.
+AFFIX = {"Ending": ("-{}", "어미"), "Prefinal": ("-{}-", "어미"), "Suffix": ("-{}", "접사"), "Prefix": ("{}-", "접사"), "Particle": ("{}", "조사")}
+#: Pairs of neighbouring morphemes that a dictionary lists as one.
+BUNDLED_LABELS = {("었", "었"): "-었었-", ("으리", "으니라"): "-으리니라"}
+
+
+@F.udf(T.ArrayType(T.StructType([T.StructField("part", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("text", T.StringType())])))
+def _breakdown(lemmas, morphemes):  # noqa: ANN001, ANN202
+    from .operators.projections import reading_order
+
+    order = reading_order([(x.text, x.kind) for x in lemmas], [(x.form, x.kind) for x in morphemes])
+    return None if order is None else [(what, k, lemmas[k].text if what == "lemma" else morphemes[k].form) for what, k in order]
+
+
+def breakdown(analyses: DataFrame) -> DataFrame:
+    """analyses with breakdown: lemmas and morphemes as they stand in the word (part, place, text), or null if they do not fit together."""
+    return analyses.withColumn("breakdown", _breakdown("lemmas", "morphemes"))
+
+
+def grammar_labels(analyses: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """word, kind, form, headword and entry_id of the dictionary entries for each morpheme, and for pairs that are listed as one."""
+    m = analyses.select("word", "morphemes")
+    one = m.select("word", F.explode("morphemes").alias("m")).select("word", F.col("m.kind").alias("kind"), F.col("m.form").alias("form"))
+    shapes = [F.when(F.col("kind") == k, F.format_string(shape.replace("{}", "%s"), F.col("form"))) for k, (shape, _) in AFFIX.items()]
+    one = one.withColumn("headword", F.coalesce(*shapes))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size("morphemes") - 2), lambda i: i >= 0), lambda i: F.struct(F.get("morphemes", i)["form"].alias("a"), F.get("morphemes", i + 1)["form"].alias("b")))
+    both = m.where(F.size("morphemes") > 1).select("word", F.explode(pairs).alias("p"))
+    listed = F.coalesce(*[F.when((F.col("p.a") == a) & (F.col("p.b") == b), F.lit(h)) for (a, b), h in BUNDLED_LABELS.items()])
+    both = both.select("word", F.lit("Prefinal").alias("kind"), F.concat("p.a", "p.b").alias("form"), listed.alias("headword")).where("headword is not null")
+    want = one.unionByName(both).distinct()
+    pos = F.coalesce(*[F.when(F.col("kind") == k, F.lit(p)) for k, (_, p) in AFFIX.items()])
+    e = dictionary.entries().select(F.col("headword").alias("head"), F.col("id").alias("entry_id"), "pos")
+    return want.withColumn("want", pos).join(e, (F.col("headword") == F.col("head")) & (F.col("pos") == F.col("want"))).select("word", "kind", "form", "headword", "entry_id")
+
+
+def glosses(entries: DataFrame, language: str = "영어") -> DataFrame:
+    """id and gloss: the first non-empty translation of an entry (senses with translations) in a language, or null."""
+    all_ = F.flatten(F.transform("senses", lambda s: s["translations"]))
+    found = F.filter(all_, lambda t: (t["language"] == language) & (t["lemma"] != ""))
+    return entries.select("id", F.get(found, F.lit(0))["lemma"].alias("gloss"))
+
+
+def combinations(parts: DataFrame, choices: str = "choices", limit: int = 20) -> DataFrame:
+    """parts with n_combinations (the exact product of the sizes of an array of arrays) and, where that is 1 to limit, all combinations."""
+    sizes = F.transform(choices, F.size)
+    n = F.when(F.size(choices) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(F.aggregate(sizes, F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)")))
+    kind = parts.schema[choices].dataType.elementType.simpleString()
+    grow = F.aggregate(choices, F.array(F.expr(f"cast(array() as {kind})")), lambda a, xs: F.flatten(F.transform(a, lambda y: F.transform(xs, lambda x: F.array_append(y, x)))))
+    return parts.withColumn("n_combinations", n).withColumn("combinations", F.when(F.col("n_combinations").between(1, limit), grow))

@@ -91,11 +91,12 @@ def _refuses(text: str, kind: str | None, form: str, bare: bool, stative: bool,
     return False
 
 
-def classes_allow(lemmas: list[Pair], morphemes: list[Pair], rules: list[str], forced: tuple[int, str] | None = None) -> list[str] | None:
-    """Rules to add to an analysis, or None if some ending or auxiliary conflicts with a known class."""
+def classes_allow(lemmas: list[Pair], morphemes: list[Pair], rules: list[str], forced: tuple[int, str] | None = None, known: dict[int, str] | None = None) -> list[str] | None:
+    """Rules to add to an analysis, or None if some ending or auxiliary conflicts with a known class. forced: a formation under test; known: classes of lexical predicates; both by lemma."""
     held = set(rules)
     derived = {_DERIVED[r] for r in held & _DERIVED.keys()}
-    if not derived and not any(k == "Auxiliary" for _, k in lemmas) and not held & {"lexical.doeda.complement", "lexical.doeda.extended", "compound.predicate.well_doeda"}:
+    known = known or {}
+    if not known and not derived and not any(k == "Auxiliary" for _, k in lemmas) and not held & {"lexical.doeda.complement", "lexical.doeda.extended", "compound.predicate.well_doeda"}:
         return []
     at, before, extra = 0, Owner(), []
     for i, (text, role) in enumerate(lemmas):
@@ -111,7 +112,7 @@ def classes_allow(lemmas: list[Pair], morphemes: list[Pair], rules: list[str], f
         formation = kind or (min(by_suffix) if len(by_suffix) == 1 else None)
         extended = role == "Predicate" and text == "되다" and ((before.connector in ("게", "게끔") and "lexical.doeda.complement" in held) or (before.connector in ("도록", "기", "어야", "으면", "어도", "어", "어서", "어서는") and "lexical.doeda.extended" in held))
         well = i > 0 and lemmas[i - 1] == ("잘", "Adverbial") and "compound.predicate.well_doeda" in held
-        kind = formation or (auxiliary_class(text.removesuffix("다"), before.connector, before.kind) if role == "Auxiliary" else "C" if role == "Copula" else "V" if extended or well else None)
+        kind = formation or (auxiliary_class(text.removesuffix("다"), before.connector, before.kind) if role == "Auxiliary" else "C" if role == "Copula" else "V" if extended or well else known.get(i))
         own.relational_copula = kind == "C" and ((role == "Copula" and before.relational_nominal) or (role == "Auxiliary" and before.relational_copula))
         own.relational_nominal = role == "Nominal" and len(text) > 1 and text.endswith("적")
         own.stative = role == "Auxiliary" and (text in ("있다", "계시다") or (text in _NEGATIVE and before.stative))

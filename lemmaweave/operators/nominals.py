@@ -12,7 +12,7 @@ from ..storage import cut
 from .predicates import LEMMA, MORPH, lemma, morph
 
 #: Particles that are peeled in one plan; a longer chain takes another.
-LEVELS = 5
+LEVELS = 3
 RULES = "array<string>"
 #: Nominal suffixes: the inner ones, and one outer.
 INNER = {"님": "suffix.honorific", "적": "suffix.relational", "들": "suffix.plural"}
@@ -82,12 +82,20 @@ def peel_particles(words: DataFrame, text: str = "text", *, stage: int = 7) -> D
             level += 1
         grown = cut(grown, "particles")
         done = grown if done is None else done.unionByName(grown)
-        start = grown.where((F.col("depth") == level) & ~F.col("closed") & (F.char_length("base") > 1))
+        start = grown.where((F.col("depth") == level) & ~F.col("closed") & (F.char_length("base") > 1) & _may_go_on())
         if start.isEmpty():
             break
     return done.where(F.size("chain") > 0).drop("stage", "after_case", "closed", "depth").distinct()
 
 
+def _may_go_on() -> Column:
+    """Whether some particle ends the base at all, and the order of classes or a link could let it."""
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.char_length("base") - 1, F.lit(5))), lambda k: F.right(F.col("base"), k))
+    some = F.exists(ends, lambda x: x.isin(*sorted({f for f, _, _ in P.particle_rows()}))) | H.text_coda(F.col("base")).isin(4, 8)
+    outer = F.get("chain", F.lit(0))
+    return some & ((F.col("stage") > 1) | F.col("after_case") | outer.isin("의", *sorted({b for _, b in P.LINKS})))
+
+
 def _peel_level(df: DataFrame, own: list[str], level: int) -> DataFrame:
     """Rows of the last level with one more particle, and all rows as they are."""
     spark, n = df.sparkSession, F.char_length("base")

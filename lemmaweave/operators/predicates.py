@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import hangul as H
 from ..rules import endings as E
 from ..rules import once_each
+from ..storage import cut
 from .recovery import SONORANTS, match_suffixes, recover
 
-#: The longest stack that the stages allow: 더, 겠, 었, 으옵시, 겠, 었 and 시.
-LEVELS = 7
+#: Markers that are peeled in one plan; a longer stack takes another.
+LEVELS = 3
 JAOP = ("자옵", "잡", "자옵시")
 #: Markers with which a vowel stands before what they follow.
 VOWEL_MARKERS = ("시", "었", "어야겠")
@@ -68,27 +69,40 @@ def _level_columns() -> dict[str, Column]:
     }
 
 
-def peel_prefinals(states: DataFrame, levels: int = LEVELS) -> DataFrame:
+def peel_prefinals(states: DataFrame) -> DataFrame:
     """Each state itself, and each way to read its stem as another stem and markers (pre, left to right).
 
     Stages fall from 5, so that markers come in their order; 었 may stand twice. A row that takes no further
-    marker passes through by a rule with an impossible suffix, so one explode and one join serve a level."""
+    marker passes through by a rule with an impossible suffix, so one explode and one join serve a level. Rows
+    with as many markers as one plan has levels go on in another."""
     spark, own = states.sparkSession, states.columns
     conjectural = F.col("end.conjectural")
     df = states.withColumns({"pre": F.when(conjectural, F.array(F.lit("으리"))).otherwise(F.expr("cast(array() as array<string>)")), "stage": F.when(conjectural, 3).otherwise(5), "pasts": F.lit(0), "polite": F.lit(False), "depth": F.lit(0)})
     keep = "\u0000"
     rules = E.markers(spark).union(spark.createDataFrame([("었", "", "Past", None, 2, 2, False, "prefinal.past", "any"), (None, keep, "Keep", None, -9, 0, False, None, "any")], E.markers(spark).schema))
-    rules = rules.withColumnRenamed("polite", "takes_polite")
+    rules = F.broadcast(rules.withColumnRenamed("polite", "takes_polite"))
+    done, level = None, 0
+    while True:
+        for _ in range(LEVELS):
+            df = _peel_marker(df, rules, own, level, keep)
+            level += 1
+        df = cut(df, "markers")
+        done = df if done is None else done.unionByName(df)
+        df = df.where(F.col("depth") == level)
+        if df.isEmpty():
+            return done.drop("stage", "pasts", "polite", "depth", "open", "consonant").distinct()
+
+
+def _peel_marker(df: DataFrame, rules: DataFrame, own: list[str], level: int, keep: str) -> DataFrame:
+    """Rows of the last level with one more marker, and all rows as they are."""
     steps = _level_columns()
     changed = ("rules", "copula_only", "spellings", "pre", "stage", "pasts", "polite", "open", "consonant")
-    for level in range(levels):
-        k = F.least(F.char_length("stem") - 1, F.lit(3))
-        ends = F.when(F.col("depth") == level, F.transform(F.sequence(F.lit(0), k), lambda x: F.right(F.col("stem"), x))).otherwise(F.expr("cast(array() as array<string>)"))
-        df = df.withColumn("suffix", F.explode(F.array_append(ends, F.lit(keep)))).join(F.broadcast(rules), "suffix").where(steps["fits"])
-        df = df.withColumns({"base": steps["base"], "__was": F.col("stem"), "boundary": steps["boundary"]})
-        df = recover_or_keep(df).where(steps["owner"])
-        df = df.select(*[c for c in own if c not in ("stem", *changed)], "stem", *[steps[c].alias(c) for c in changed], F.when(steps["new"], F.lit(level + 1)).otherwise(F.col("depth")).alias("depth"))
-    return df.drop("stage", "pasts", "polite", "depth", "open", "consonant")
+    k = F.least(F.char_length("stem") - 1, F.lit(3))
+    ends = F.when(F.col("depth") == level, F.transform(F.sequence(F.lit(0), k), lambda x: F.right(F.col("stem"), x))).otherwise(F.expr("cast(array() as array<string>)"))
+    df = df.withColumn("suffix", F.explode(F.array_append(ends, F.lit(keep)))).join(rules, "suffix").where(steps["fits"])
+    df = df.withColumns({"base": steps["base"], "__was": F.col("stem"), "boundary": steps["boundary"]})
+    df = recover_or_keep(df).where(steps["owner"])
+    return df.select(*[c for c in own if c not in ("stem", *changed)], "stem", *[steps[c].alias(c) for c in changed], F.when(steps["new"], F.lit(level + 1)).otherwise(F.col("depth")).alias("depth"))
 
 
 def recover_or_keep(df: DataFrame) -> DataFrame:

@@ -218,6 +218,8 @@ def analyze_words(words: DataFrame, text: str = "text", *, formations: list[D.Fo
     w = normalized(words.select(F.col(text).alias("text")), "text").where(word_errors(F.col("text")).isNull()).distinct()
     w = cut(w, "words")
     korean = w.where(H.has_hangul(F.col("text")))
+    if korean.isEmpty():
+        return merge(identity(w))
     chain = peel_particles(korean)
     polite = cut(_polite_bases(korean), "polite")
     mal = _mal_places(korean).select(F.col("right").alias("text"))

@@ -35,3 +35,10 @@ def token_lines(tokens: DataFrame) -> DataFrame:
     """value: span, quoted surface and lemmas of each token."""
     lemmas = F.concat_ws(" | ", F.col("lemma_strings")) if "lemma_strings" in tokens.columns else F.lit("")
     return tokens.select(F.concat(F.col("start"), F.lit(".."), F.col("end"), F.lit('\t"'), F.col("surface"), F.lit('"\t'), lemmas).alias("value"))
+
+
+def register_http(spark: SparkSession) -> None:
+    """Makes spark.read.format("lemmaweave_http").option("urls", "one per line") read texts over HTTP: doc_id (the URL), text and error, a partition a URL."""
+    from .http import HttpTexts
+
+    spark.dataSource.register(HttpTexts)

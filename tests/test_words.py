@@ -132,8 +132,49 @@ def test_every_rule_is_explained(analyses):
     assert [r.rule for r in explain(analyses).where("explanation is null").collect()] == []
 
 
-def test_spacing(spark):
-    from lemmaweave.queries import SPACED, spacing_case
+def test_counts_of_repeated_syllables(spark):
+    from lemmaweave.plans.analyze import analyze_words
 
-    got = {(r.word, r.spaced, r.at) for r in spacing_case(spark, "").collect()}
-    assert got == {(w, s, len(s.split(" ")[0].encode())) for w, s in SPACED if s}
+    words = spark.createDataFrame([("가" * n,) for n in (2, 8, 64)], "text string")
+    got = {r.word: r["count"] for r in analyze_words(words).groupBy("word").count().collect()}
+    assert got == {"가" * n: 2 * n + 1 for n in (2, 8, 64)}
+
+
+def test_forbidden_readings(groups):
+    from lemmaweave.queries import WORDS as ALL
+    from lemmaweave.queries import judgments
+
+    for n in ALL:
+        for surface, group, is_reading in judgments(n):
+            if surface in groups:
+                assert (group in {g for g, _ in groups[surface]}) == is_reading, (surface, group)
+
+
+def test_glosses_and_http(spark):
+    entries = spark.createDataFrame([("1", [([("영어", ""), ("영어", "eat")],)]), ("2", [([("일본어", "x")],)])], "id string, senses array<struct<translations:array<struct<language:string,lemma:string>>>>")
+    assert {r.id: r.gloss for r in V.glosses(entries).collect()} == {"1": "eat", "2": None}
+    from lemmaweave.sources.text import register_http
+
+    register_http(spark)
+    r = spark.read.format("lemmaweave_http").option("urls", "http://127.0.0.1:9/x\nnot a url").load().collect()
+    assert len(r) == 2 and all(x.text is None and x.error for x in r)
+
+
+def test_formations_of_a_caller(spark):
+    from lemmaweave.plans.analyze import analyze_words
+
+    words = spark.createDataFrame([("연구되었다",)], "text string")
+    more = [("연구되다", "Predicate", "연구", "Nominal", "되다", "suffix.verb.doeda")]
+    group = lambda df: {(tuple(x.text for x in r.lemmas), tuple(m.form for m in r.morphemes)) for r in df.collect()}
+    assert group(analyze_words(words, formations=more)) - group(analyze_words(words)) == {(("연구",), ("되다", "었", "다"))}
+
+
+def test_assessment_by_spelling(spark):
+    from lemmaweave.dictionary import assess
+    from lemmaweave.plans.analyze import analyze_words
+
+    d = TableDictionary(spark.createDataFrame([("1", "돕다", "0", "동사"), ("2", "입다", "0", "동사")], "id string, headword string, homonym string, pos string"))
+    shown = spark.createDataFrame([("1", "돕", "BieupIrregular"), ("2", "입", "BieupRegular")], "id string, stem string, class string")
+    a = analyze_words(spark.createDataFrame([("도와서",), ("이워서",), ("입어서",)], "text string"))
+    got = {(r.word, r.lemmas[0].text): r.status for r in assess(a, d, shown).where("all_listed and not unchanged").collect()}
+    assert got == {("도와서", "돕다"): "compatible", ("이워서", "입다"): "incompatible", ("입어서", "입다"): "compatible"}
