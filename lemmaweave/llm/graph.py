@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step replaces edges by edges to the smallest neighbour; it is one aggregation with map-side combine and
-one join, so a hub never meets in one task. The state is written to shared storage after each round.
+one join. Nodes with a thousandth of all edges or more (at most a thousand) are joined where their edges are, so a hub
+never meets in one task. The state is written to shared storage after each round.
 """
 
 from __future__ import annotations
@@ -9,19 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, hot_keys, look_up
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least neighbour of u."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return look_up(edges, least.select("u", "m"), "u", hot_keys(least, "u", "n", total))
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v) in both directions (large) or from the greater to the smaller end."""
     if large:
-        near = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = _joined(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))))
+        out = near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        down = _joined(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        out = down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
