@@ -4,12 +4,11 @@ Documents are tokenized in one narrow map that keeps lengths and checksums only.
 are sequences by themselves. The other pieces are dealt to partitions of bounded size by their row number;
 each partition packs them best-fit decreasing and computes a lower bound of its bin count from families of
 dual feasible functions. A partition that meets its bound is certified and final. The others keep their full
-bins, which waste nothing, and exchange the documents of their open bins: these are dealt anew to fewer
-partitions, so that each meets documents of others, and packed again, until the bound is met, or one
-partition is left, or ROUNDS are over.
+bins, which waste nothing, and exchange the documents of their open bins: these are dealt anew,
+so that each meets documents of others, and packed again, until all bounds are met or an exchange saves no bin.
 
 Defined cases: a null text is an empty one and gives the end token alone; every row is a document of its own
-even if rows repeat or share an id; an empty table gives no rows; other columns are ignored.
+even if rows repeat or share an id; of equal lengths the first row is packed first; a text of any length is cut into as many pieces as it needs; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +27,8 @@ from .tokenize import encoder, slices
 
 CAPACITY = 1024
 PART_ITEMS = 100_000
-ROUNDS = 4
+#: Stands for the level in the numbers of sequences that one piece fills.
+FULL = 127
 
 
 def cut_pieces(n_tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,26 +125,28 @@ def _pack_group(capacity: int, level: int):  # noqa: ANN202
 PACKED = "row long, bucket long, bin long, offset long, final boolean, bins long, bound long"
 
 
-def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
     """pieces (with a column length) plus sequence_id and offset; certified is true where the partition met its bound."""
     cols = pieces.columns
     rows = cut(pieces.select("*", F.monotonically_increasing_id().alias("row")), "pieces")
     open_ = rows.where(F.col("length") < capacity).select("row", "length")
-    n, done = open_.count(), []
-    for level in range(rounds):
-        parts = max(1, -(-n // part_items)) if level == 0 else max(1, parts // 2)
+    n, bins, level, done = open_.count(), None, 0, []
+    while n:
+        parts = -(-n // part_items)
         dealt = open_.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(parts)))
         packed = cut(dealt.groupBy("bucket").applyInArrow(by_group(_pack_group(capacity, level)), PACKED), "packed")
-        last = level == rounds - 1 or (level > 0 and parts == 1)
+        made = packed.groupBy("bucket").agg(F.max("bins").alias("bins")).agg(F.sum("bins")).first()[0]
+        rest = packed.where("not final")
+        again = rest.select("bin").distinct().count()
+        # An exchange that saves no sequence ends the search; so does a single partition, which has no one to exchange with.
+        last = not again or parts == 1 or (bins is not None and made >= bins)
         final = packed if last else packed.where("final")
         done.append(final.select("row", F.col("bin").alias("sequence_id"), "offset", (F.col("bins") <= F.col("bound")).alias("certified")))
         if last:
             break
-        rest = packed.where("not final").select("row")
-        if not (n := rest.count()):
-            break
-        open_ = cut(rest.join(rows.select("row", "length"), "row"), "open")
-    full = rows.where(F.col("length") >= capacity).select("row", (F.lit(rounds).cast("long") * F.lit(1 << 56) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+        open_ = cut(rest.select("row").join(rows.select("row", "length"), "row"), "open")
+        n, bins, level = open_.count(), again, level + 1
+    full = rows.where(F.col("length") >= capacity).select("row", (F.lit(FULL << 56) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     placed = reduce(DataFrame.unionByName, done, full)
     return rows.join(placed, "row").select(*cols, "sequence_id", "offset", "certified")
 
