@@ -3,8 +3,10 @@
 Every word and every pair of neighbouring words of a text falls into one of BUCKETS buckets of its order. The
 raw-corpus multinomials count the buckets over all documents; the trusted-target multinomials over the trusted
 ones, a deterministic sample of at most TRUSTED labelled rows. A document's score is the mean over its n-grams
-of log(p_target / p_raw), with one added to each count, in units of 1 / SCALE and rounded for each bucket, so
-that sums are whole numbers and the verdict does not depend on their order. A document is kept if it
+of log(p_target / p_raw), in units of 1 / SCALE and rounded for each bucket, so
+that sums are whole numbers and the verdict does not depend on their order. One is added to each raw count; the target
+has PRIOR more n-grams that are dealt as the raw corpus is, so that a bucket that few trusted documents speak of is neutral, in a small
+corpus as in a large one. A document is kept if it
 passes the base rules, its score is at least THRESHOLD and it has fewer than TOXIC_WORDS distinct toxic words.
 
 A mean over a whole text hides a few telling words, so toxic words are learned apart, each by itself, from a
@@ -31,6 +33,8 @@ from .common import positional
 BUCKETS = 8192
 TRUSTED = 20_000
 SCALE = 10_000
+#: N-grams of the raw corpus that the target has besides its own.
+PRIOR = 50_000
 THRESHOLD = -0.05
 TOXIC_DOCS = 5
 TOXIC_RATIO = 20
@@ -73,8 +77,10 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     out = []
     for a in (0, BUCKETS):
         r, t = raw[a : a + BUCKETS], target[a : a + BUCKETS]
-        n, m = sum(r) + BUCKETS, sum(t) + BUCKETS
-        out += [round(SCALE * (math.log((y + 1) / m) - math.log((x + 1) / n))) for x, y in zip(r, t, strict=True)]
+        n, m = sum(r) + BUCKETS, sum(t) + PRIOR
+        for x, y in zip(r, t, strict=True):
+            p = (x + 1) / n
+            out.append(round(SCALE * (math.log((y + PRIOR * p) / m) - math.log(p))))
     return out
 
 

@@ -429,8 +429,9 @@ def brute_quality(rows, good) -> list[tuple]:
     raw, target = Counter(x for y in f for x in y), Counter(x for (i, _), y in zip(rows, f, strict=True) if i in good for x in y)
     out = []
     size = lambda c, k: sum(v for x, v in c.items() if x // quality.BUCKETS == k) + quality.BUCKETS
-    n, m = [size(raw, k) for k in (0, 1)], [size(target, k) for k in (0, 1)]
-    ratio = lambda x: round(quality.SCALE * (math.log((target[x] + 1) / m[x // quality.BUCKETS]) - math.log((raw[x] + 1) / n[x // quality.BUCKETS]))) if target else 0
+    n, m = [size(raw, k) for k in (0, 1)], [size(target, k) - quality.BUCKETS + quality.PRIOR for k in (0, 1)]
+    p = lambda x: (raw[x] + 1) / n[x // quality.BUCKETS]
+    ratio = lambda x: round(quality.SCALE * (math.log((target[x] + quality.PRIOR * p(x)) / m[x // quality.BUCKETS]) - math.log(p(x)))) if target else 0
     for (i, t), y in zip(rows, f, strict=True):
         base = brute_base(t)
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
@@ -607,3 +608,44 @@ def test_lm(spark, rows, docs, empty):
     assert lm.score_documents(empty).count() == 0
     none = lm.score_documents(docs.where("doc_id = 100"), held_out_of=1, held_out=0).first()
     assert (none.held_out, none.n_known, none.train_tokens) == (True, 0, 0)
+
+
+# ---- very long texts ----
+
+
+def test_very_long_texts(spark):
+    """One text of 3 MB, and one without a space, among short ones."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(500_000))
+    rows = [(1, long), (2, "x" * 2_000_000), (3, long), (4, "short text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fp = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(d).collect()}
+    assert fp[1] == fp[3] == (brute_fingerprint(long), 1) and fp[2][0] == brute_fingerprint(rows[1][1])
+    from tokenizers import Tokenizer
+
+    for name, end in (("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 1)):
+        path = tokenizer_path(name)
+        lib = Tokenizer.from_file(path)
+        n = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows if i != 2}
+        counted = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(d, path, common.fresh_path(spark, "cache")).collect()}
+        assert {i: counted[i] for i in n} == n
+        packed: dict[int, int] = Counter()
+        for r in packing.pack_documents(d, path, end_id=end).collect():
+            packed[r.doc_id] += r.length
+        assert {i: packed[i] for i in n} == {i: k + 1 for i, k in n.items()}
+        kept = {r.doc_id: r.n_tokens for r in records.token_records(d, path, common.fresh_path(spark, "records"), end_id=end).collect()}
+        assert {i: kept[i] for i in n} == {i: k + 1 for i, k in n.items()}
+    cut_ = {r.doc_id: (r.n_words, r.n_removed) for r in substring.duplicate_factors(d).select("doc_id", "n_words", "n_removed").collect()}
+    assert cut_ == {1: (500_000, 0), 2: (1, 0), 3: (500_000, 500_000), 4: (2, 0)}
+    assert {r.doc_id: r.n_tokens for r in lm.score_documents(d).collect()} == {1: 500_001, 2: 2, 3: 500_001, 4: 3}
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: (r.n_words, r.word_chars) for r in quality.judge_quality(d, labels).collect()} == {i: (len(t.split()), sum(map(len, t.split()))) for i, t in rows}
+    assert Counter(r.size for r in sharding.shard_documents(d).collect()) == Counter(len(t) + 1 for _, t in rows)
+
+
+def test_components_with_a_hub(spark):
+    from lemmaweave.llm.graph import connected_components
+
+    edges = [(0, k) for k in range(1, 4000)] + [(5000 + k, 5001 + k) for k in range(40)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(4000)} | {5000 + k: 5000 for k in range(41)}
