@@ -516,6 +516,25 @@ def test_similar(spark, docs):
     assert by_radius - want, "pairs that a radius of 4 bits leaves apart"
 
 
+def test_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(12)
+    rows = []
+    for _ in range(3):  # chains: each text is near the one before it, the ends are not near
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for k in range(12):
+            w = list(w)
+            for _ in range(3):
+                w[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = {i for (i, _), c in zip(rows, brute_similar(rows), strict=True) if c == i}
+    assert 3 <= len(want) < 20
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.drop_similar(d).collect()} == want
+
+
 # ---- 8 ----
 
 
