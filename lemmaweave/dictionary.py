@@ -185,3 +185,10 @@ def coverage(tokens: DataFrame, annotated: DataFrame) -> DataFrame:
     by = annotated.groupBy("word").agg(F.bool_or(F.exists("lemma_status", lambda s: s == "compatible")).alias("any"), F.bool_or("all_listed").alias("whole"))
     df = tokens.where("kind = 'word'").select(F.col("surface").alias("word")).groupBy("word").count().join(by, "word", "left")
     return df.agg(F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("types"), F.sum(F.when(F.col("any"), F.col("count")).otherwise(0)).alias("tokens_any"), F.sum(F.when(F.col("whole"), F.col("count")).otherwise(0)).alias("tokens_whole"), F.count_if("any").alias("types_any"), F.count_if("whole").alias("types_whole"))
+
+
+def unmatched(tokens: DataFrame, annotated: DataFrame, top: int = 50) -> DataFrame:
+    """The most frequent words without a listed lemma, with their counts (a report)."""
+    some = annotated.where(F.exists("lemma_status", lambda s: s == "compatible")).select("word").distinct()
+    counts = tokens.where("kind = 'word'").groupBy(F.col("surface").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(some, "word", "left_anti").orderBy(F.desc("n"), "word").limit(top)

@@ -8,33 +8,46 @@ from pyspark.sql import types as T
 
 from .dictionary import Dictionary
 
-# Tags of the KAIST treebank by their part in a gold group.
-LEXICAL = ("nbn", "nbu", "ncn", "ncpa", "ncps", "nnc", "nno", "npd", "npp", "nq", "mad", "mag", "maj", "mma", "mmd", "f", "ii", "xp")
-ROOTS = ("pvg", "pvd", "paa", "pad", "px")
-DERIVED = ("xsv", "xsm")
-COPULA = "jp"
+# Tags of the two treebanks by their part in a gold group.
+TAGS = {
+    "lexical": "nbn nbu ncn ncpa ncps nnc nno npd npp nq mad mag maj mma mmd f ii xp NNG NNP NNB NNC NP NR SN SL SH MAG MAJ MM IC XR XPN",
+    "root": "pvg pvd paa pad px VV VA VX VCN",
+    "derived": "xsv xsm XSV XSA",
+    "copula": "jp VCP",
+    "nominal_suffix": "xsn xsa XSN",
+    "function": "ecc ecs ecx ef ep etm etn jca jcc jcj jcm jco jcr jcs jct jcv jxc jxf jxt EC EF EP ETM ETN JC JKB JKC JKG JKO JKQ JKS JKV JX",
+}
 
 
 def gold_groups(rows: DataFrame) -> DataFrame:
     """rows of read_conllu with kind (converted, excluded or why not) and gold, the lemmas in order.
 
-    Predicates and derived predicates end in 다; the copula is 이다; a suffix that derives a predicate extends the word before it."""
+    Predicates and derived predicates end in 다; the copula is 이다; a suffix extends the word before it."""
     parts, tags = F.split("lemma", r"\+"), F.split("xpos", r"\+")
+    part_of = F.create_map(*[F.lit(x) for name, tags_ in TAGS.items() for t in tags_.split() for x in (t, name)])
+    pairs = F.arrays_zip(parts.alias("p"), F.transform(tags, lambda t: F.coalesce(F.try_element_at(part_of, t), F.lit("other"))).alias("t"))
+    no_text = F.lit(None).cast("string")
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("open"), F.lit(False).alias("predicate"), no_text.alias("error"))
+
+    def closed(a):  # noqa: ANN001, ANN202
+        return F.when(a["open"] == "", a["out"]).otherwise(F.array_append(a["out"], F.concat(a["open"], F.when(a["predicate"], "다").otherwise(""))))
+
+    def step(a, x):  # noqa: ANN001, ANN202
+        p, t = x["p"], x["t"]
+        opens, ends = t.isin("root", "copula"), t.isin("root", "copula", "function")
+        orphan = (a["open"] == "") | a["predicate"]
+        error = F.when((t == "lexical") & a["predicate"], "unsegmented_predicate_nominal").when((t == "derived") & orphan, "orphan_derivational_suffix").when((t == "nominal_suffix") & orphan, "orphan_nominal_suffix").when(t == "other", "unsupported_tag")
+        text = F.when(t == "copula", "이").when(t == "root", p).when(t == "function", "").otherwise(F.concat(a["open"], p))
+        return F.struct(F.when(ends, closed(a)).otherwise(a["out"]).alias("out"), text.alias("open"), (opens | (t == "derived") | (a["predicate"] & ~ends)).alias("predicate"), F.coalesce(a["error"], error).alias("error"))
+
+    read = F.aggregate(pairs, start, step, lambda a: F.struct(closed(a).alias("gold"), a["error"].alias("error")))
+    df = rows.withColumn("__r", read)
     kind = (
         F.when(~F.col("well_formed"), "column_count").when(F.col("upos").isin("PUNCT", "SYM") | ~F.col("form").rlike("[가-힣]"), "excluded")
-        .when((F.col("lemma") == "_") | (F.col("xpos") == "_"), "missing_morphology").when(F.size(parts) != F.size(tags), "morpheme_tag_alignment").when(F.array_contains(parts, ""), "empty_morpheme").otherwise("converted")
+        .when((F.col("lemma") == "_") | (F.col("xpos") == "_"), "missing_morphology").when(F.size(parts) != F.size(tags), "morpheme_tag_alignment").when(F.array_contains(parts, ""), "empty_morpheme")
+        .when(F.col("__r.error").isNotNull(), F.col("__r.error")).when(F.size("__r.gold") == 0, "no_lexical_component").otherwise("converted")
     )
-    pairs = F.arrays_zip(parts.alias("p"), tags.alias("t"))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("open"))
-
-    def step(a, x):  # noqa: ANN001, ANN202
-        lexical, root, derived, copula = x["t"].isin(*LEXICAL), x["t"].isin(*ROOTS), x["t"].isin(*DERIVED), x["t"] == COPULA
-        closed = F.when(a["open"] != "", F.array_append(a["out"], a["open"])).otherwise(a["out"])
-        out = F.when(root, F.array_append(closed, F.concat(x["p"], F.lit("다")))).when(derived, F.array_append(a["out"], F.concat(a["open"], x["p"], F.lit("다")))).when(copula, F.array_append(closed, F.lit("이다"))).when(lexical, a["out"]).otherwise(closed)
-        return F.struct(out.alias("out"), F.when(lexical, F.concat(a["open"], x["p"])).otherwise("").alias("open"))
-
-    gold = F.aggregate(pairs, start, step, lambda a: F.when(a["open"] != "", F.array_append(a["out"], a["open"])).otherwise(a["out"]))
-    return rows.withColumn("kind", kind).withColumn("gold", F.when(F.col("kind") == "converted", gold))
+    return df.withColumn("kind", kind).withColumn("gold", F.when(F.col("kind") == "converted", F.col("__r.gold"))).drop("__r")
 
 
 def recall_report(gold: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -44,7 +57,10 @@ def recall_report(gold: DataFrame, analyses: DataFrame) -> DataFrame:
     hit = F.col("on") & F.coalesce(F.array_contains("groups", F.col("gold")), F.lit(False))
     best = F.coalesce(F.array_max(F.transform("groups", lambda g: F.size(F.array_intersect(g, "gold")))), F.lit(0))
     changed = F.col("on") & (F.array_join("gold", "+") != F.col("form"))
-    ranked = df.where("on").agg(F.array_sort(F.collect_list("n")).alias("s")).select(F.get("s", F.floor(F.size("s") * 95 / 100).cast("int")).alias("p95_candidates"))
+    # A row for each number of candidates there is, not for each word.
+    tally = df.where("on").groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    upto = tally.select("n", F.sum("k").over(Window.orderBy("n")).alias("upto"), F.sum("k").over(Window.partitionBy(F.lit(0))).alias("all"))
+    ranked = upto.where(F.col("upto") > F.floor(F.col("all") * 95 / 100)).agg(F.min("n").alias("p95_candidates"))
     total = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kind") == "excluded").alias("excluded_rows"), F.count_if("on").alias("converted_rows"), F.count_if(hit).alias("grouped_matches"), F.sum(F.when(F.col("on"), F.size("gold"))).alias("gold_lemmas"), F.sum(F.when(F.col("on"), best)).alias("recovered_gold_lemmas"), F.count_if(changed).alias("transformed_rows"), F.count_if(changed & hit).alias("transformed_matches"), F.avg(F.when(F.col("on"), F.col("n"))).alias("mean_candidates"), F.max(F.when(F.col("on"), F.col("n"))).alias("max_candidates"))
     return total.withColumn("grouped_lemma_recall", F.col("grouped_matches") / F.col("converted_rows")).join(F.broadcast(ranked))
 

@@ -23,7 +23,7 @@ LEMMA = "struct<text:string,kind:string>"
 def match_endings(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with form, stem and the other columns of a recovered ending."""
     found = recover(match_suffixes(texts, text, E.endings(texts.sparkSession)))
-    rules = F.concat(F.col("found"), F.when(F.col("conjectural"), F.array(F.lit("prefinal.conjectural"), F.lit("ending"))).otherwise(F.array(F.lit("ending"))))
+    rules = F.concat(F.col("found"), F.col("why"), F.array(F.lit("ending")))
     n = H.index(F.left("suffix", F.lit(1)))
     vowel = F.col("boundary").isin("Aeo", "EuFull", "EuZero", "Attached")
     literary = F.col("form").isin("나이다", "나이까")

@@ -19,33 +19,39 @@ VERBAL_SUFFIXES = ("답다", "되다", "하다")
 
 
 def reading_order(lemmas: list[Pair], morphemes: list[Pair]) -> list[tuple[str, int]] | None:
-    """The parts of an analysis as they stand in the word: ("lemma" or "morpheme", place) of each, or None if they do not fit together."""
-    out, at = [], 0
+    """The parts of an analysis as they stand in the word: ("lemma" or "morpheme", place) of each, or None if they do not fit together.
 
-    def take(*kinds: str) -> list[str]:
-        nonlocal at
-        forms = []
+    A suffix belongs to the lemma before it, or, if that leaves a later one without what it needs, to the compound that both make."""
+
+    def run_of(at: int, *kinds: str) -> int:
         while at < len(morphemes) and morphemes[at][1] in kinds:
-            out.append(("morpheme", at))
-            forms.append(morphemes[at][0])
             at += 1
-        return forms
-
-    for i, (_, kind) in enumerate(lemmas):
-        take("Prefix")
-        out.append(("lemma", i))
-        forms = take("Suffix")
-        joined = i + 1 < len(lemmas) and lemmas[i + 1][1] in ("Predicate", "Root", "Nominal") and not forms
-        if kind in INFLECTED or any(f in VERBAL_SUFFIXES for f in forms):
-            take("Prefinal")
-            if at < len(morphemes) and morphemes[at][1] == "Ending":
-                out.append(("morpheme", at))
-                at += 1
-                take("Suffix")
-            elif not forms and not joined:
-                return None
-        take("Particle")
-    return out if at == len(morphemes) else None
+        return at
+
+    def endings_of(i: int, start: int, end: int) -> list[int]:
+        """Where the markers and the ending behind the suffixes of lemma i may stop."""
+        forms = [f for f, _ in morphemes[start:end]]
+        verbal = any(f in VERBAL_SUFFIXES for f in forms)
+        if not verbal and lemmas[i][1] not in INFLECTED:
+            return [end]
+        stop = run_of(end, "Prefinal")
+        ended = [run_of(stop + 1, "Suffix")] if stop < len(morphemes) and morphemes[stop][1] == "Ending" else []
+        compound = i + 1 < len(lemmas) and lemmas[i + 1][1] in ("Predicate", "Root", "Nominal")
+        return ended + ([end] if (forms and not verbal) or compound else [])
+
+    def place(i: int, at: int) -> list[tuple[str, int]] | None:
+        if i == len(lemmas):
+            return [] if at == len(morphemes) else None
+        start = run_of(at, "Prefix")
+        most = run_of(start, "Suffix")
+        for end in (most, start) if most > start else (start,):
+            for stop in endings_of(i, start, end):
+                stop = run_of(stop, "Particle")
+                if (rest := place(i + 1, stop)) is not None:
+                    return [*[("morpheme", k) for k in range(at, start)], ("lemma", i), *[("morpheme", k) for k in range(start, stop)], *rest]
+        return None
+
+    return place(0, 0)
 
 
 def _owners(a: Analysis, of: Callable[[Pair], tuple | None]) -> list[tuple[int, int, tuple]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from threading import Lock
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -243,24 +245,40 @@ def analyze_words(words: DataFrame, text: str = "text", *, formations: list[D.Fo
 
 
 class Session:
-    """A word cache: each distinct word is analysed once, by the first call that brings it; later calls join."""
+    """A word cache: each distinct word is analysed once, by the first call that brings it; later calls join.
+
+    A batch counts from when it is written whole, so a failed call leaves nothing behind. Calls from several threads wait
+    for each other. forget() drops all batches, which is the way to bound the cache of a long-lived session."""
 
     def __init__(self, spark) -> None:  # noqa: ANN001
-        self.spark, self.path, self.batches = spark, fresh_path(spark, "analyses"), 0
+        self.spark, self.path, self.written, self.lock = spark, fresh_path(spark, "analyses"), [], Lock()
+
+    @property
+    def batches(self) -> int:
+        return len(self.written)
 
     def cached(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if self.batches else None
+        return self.spark.read.parquet(*self.written) if self.written else None
 
     def analyze(self, words: DataFrame, text: str = "text") -> DataFrame:
         """Analyses of the words, most from the cache."""
         w = normalized(words.select(F.col(text).alias("text")).distinct(), "text").distinct()
-        known = self.cached()
-        new = w if known is None else w.join(known.select(F.col("word").alias("text")).distinct(), "text", "left_anti")
-        new = cut(new, "new-words")
-        if known is None or not new.isEmpty():
-            analyze_words(new).write.mode("append").parquet(self.path)
-            self.batches += 1
-        return self.cached().join(w.withColumnRenamed("text", "word"), "word", "left_semi")
+        with self.lock:
+            known = self.cached()
+            new = w if known is None else w.join(known.select(F.col("word").alias("text")).distinct(), "text", "left_anti")
+            new = cut(new, "new-words")
+            if known is None or not new.isEmpty():
+                path = f"{self.path}/{len(self.written)}-{uuid4().hex}"
+                analyze_words(new).write.parquet(path)
+                self.written.append(path)
+            found = self.cached()
+        return found.join(w.withColumnRenamed("text", "word"), "word", "left_semi")
+
+    def forget(self) -> None:
+        with self.lock:
+            self.written = []
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def analyze_text(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import table
+from .provenance import FAMILIES
 
 EXPLANATIONS = {
     "identity": "the word as it stands, unclassified",
@@ -78,7 +79,16 @@ EXPLANATIONS = {
     "copula.connective_seo": "이다 on a clause in 어서",
     "copula.intention_relational": "a copula on 적 before an intention",
     "nominal.colloquial_geot": "거 for 것",
-    "prefinal.conjectural": "으리",
+    "prefinal.conjectural_ni": "으리 before 니",
+    "prefinal.conjectural_quotation": "으리 before 란",
+    "prefinal.conjectural_ra": "으리 before the endings of a fact",
+    "ending.factual_ra": "an ending of a fact",
+    "ending.exclamation_variant": "구만 for 구먼",
+    "formal_b.attested_stem_b": "아름답네, whose stem keeps its ㅂ",
+    "copula.omitted_ppundeoreo": "이 is left out before 을뿐더러",
+    "copula.omitted_geona": "이 is left out before 을거나",
+    "copula.omitted_kko": "이 is left out before 을꼬",
+    "copula.omitted_rya": "이 is left out before 으랴",
     "prefinal.lexical_jaop": "자옵 after four stems",
     "prefinal.lexical_jap": "잡 after four stems",
     "prefinal.lexical_jaopsi": "자옵시 after four stems",
@@ -147,7 +157,8 @@ EXPLANATIONS = {
 
 
 def explanations(spark: SparkSession) -> DataFrame:
-    return table(spark, "explanations", sorted(EXPLANATIONS.items()), "rule string, explanation string")
+    rows = EXPLANATIONS | {rule: said for rule, said, _ in FAMILIES}
+    return table(spark, "explanations", sorted(rows.items()), "rule string, explanation string")
 
 
 def explain(analyses: DataFrame) -> DataFrame:

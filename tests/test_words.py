@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaweave import evaluate as V
-from lemmaweave.dictionary import TableDictionary, all_status, annotate, any_status, compatible_filter, coverage, filtered, has_match, headword_filter
+from lemmaweave.dictionary import TableDictionary, all_status, annotate, any_status, compatible_filter, coverage, filtered, has_match, headword_filter, unmatched
 from lemmaweave.plans.analyze import Session, analyze_text, identity
 from lemmaweave.queries import WORDS, family
 from lemmaweave.sources.conllu import read_conllu
@@ -74,6 +74,7 @@ def test_dictionary_annotation_and_filters(spark, analyses):
     assert d.entry("2").first().headword == "날다" and d.fingerprint().first().entries == 4
     tokens = spark.createDataFrame([("나는", "word"), ("나는", "word"), ("x", "word"), (".", "punctuation")], "surface string, kind string")
     assert coverage(tokens, a).first().asDict() == {"tokens": 3, "types": 2, "tokens_any": 2, "tokens_whole": 2, "types_any": 1, "types_whole": 1}
+    assert [(r.word, r.n) for r in unmatched(tokens, a).collect()] == [("x", 1)]
 
 
 def test_status_folds(spark):
