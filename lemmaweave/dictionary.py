@@ -97,7 +97,7 @@ def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | No
     """annotate(), with a status that also asks what each entry says of the reading, and conflicts: entries with the reason.
 
     An entry's part of speech gives its predicate a class, with which the endings and auxiliaries of the reading must
-    agree. evidence (stem and class, see spelling_evidence): paradigms that written forms show; a reading that needs
+    agree (see rules.attachment). evidence (stem and class, see spelling_evidence): paradigms that written forms show; a reading that needs
     another one is refused, and one without evidence is left open. Alternatives are folded by entry, then parts by reading."""
     known = annotate(analyses, dictionary)
     key = F.xxhash64("word", F.col("lemmas").cast("string"), F.col("morphemes").cast("string"), "unchanged")
@@ -107,7 +107,7 @@ def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | No
     rows = parts.join(m, (parts["word"] == m["word"]) & (F.col("l.text") == F.col("lemma_text")) & (F.col("l.kind") == F.col("lemma_kind"))).drop(m["word"])
     classes = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
     rows = rows.withColumn("class", F.try_element_at(classes, F.col("pos")))
-    judged = rows.withColumn("refused", F.when(F.col("class").isNotNull() & (F.col("lemma_kind") == "Predicate"), conflict("lemmas", "morphemes", "rules", "i", "class")))
+    judged = rows.withColumn("refused", F.when(F.col("lemma_kind").isin("Predicate", "Auxiliary"), conflict("lemmas", "morphemes", "i", "class", "entry_id")))
     if evidence is None:
         judged = judged.withColumn("spelled", F.lit("compatible"))
     else:
@@ -117,7 +117,7 @@ def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | No
         own = F.when((F.col("i") > 0) | (F.size("spelling_paths") == 0), "compatible").when(F.col("shown").isNull(), "unknown").otherwise(any_status(F.transform("spelling_paths", meets)))
         judged = judged.withColumn("spelled", own)
     status = all_status(F.array("pos_compatibility", F.when(F.col("refused").isNull(), "compatible").otherwise("incompatible"), "spelled"))
-    reason = F.when(F.col("refused").isNotNull(), F.struct(F.col("entry_id").alias("entry_id"), F.col("refused").alias("rule"))).when(F.col("spelled") == "incompatible", F.struct(F.col("entry_id").alias("entry_id"), F.lit("lexical_spelling").alias("rule")))
+    reason = F.when(F.col("refused").isNotNull(), F.struct(F.col("entry_id").alias("entry_id"), F.col("refused").alias("rule"))).when(F.col("spelled") == "incompatible", F.struct(F.col("entry_id").alias("entry_id"), F.lit("LexicalSpelling").alias("rule")))
     by_lemma = judged.groupBy("__a", "i").agg(any_status(F.collect_set(status)).alias("s"), F.collect_set(reason).alias("c"))
     by = by_lemma.groupBy("__a").agg(F.collect_list("s").alias("s"), F.flatten(F.collect_list("c")).alias("conflicts"))
     out = keyed.join(by, "__a", "left").drop("__a")
@@ -125,14 +125,11 @@ def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | No
 
 
 @F.udf(T.StringType())
-def conflict(lemmas, morphemes, rules, i, kind):  # noqa: ANN001, ANN201
-    """The ending that conflicts with the class of lemma i, if any."""
-    from .operators.classes import classes_allow
-
-    pairs = [(x.text, x.kind) for x in lemmas], [(x.form, x.kind) for x in morphemes]
-    if classes_allow(*pairs, list(rules), known={i: kind}) is not None:
-        return None
-    return next((f for f, k in pairs[1] if k == "Ending"), "class")
+def conflict(lemmas, morphemes, i, kind, entry):  # noqa: ANN001, ANN201
+    """The attachment rule by which an entry cannot be lemma i of a reading, if any."""
+    from .operators.attachment import conflict_of
+
+    return conflict_of([(x.text, x.kind) for x in lemmas], [(x.form, x.kind) for x in morphemes], i, kind, entry)
 
 
 def origin_status(expected: Column, recorded: Column) -> Column:

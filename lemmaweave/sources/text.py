@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_text(spark: SparkSession, path: str, *, whole: bool = True) -> DataFrame:
@@ -13,11 +14,23 @@ def read_text(spark: SparkSession, path: str, *, whole: bool = True) -> DataFram
     return spark.read.text(path).select(F.concat_ws(":", F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("doc_id"), F.col("value").alias("text"))
 
 
+@F.udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.LongType())]))
+def _valid_prefix(content):  # noqa: ANN001, ANN202
+    """What a faulty text holds before its first fault, and the byte where that is."""
+    raw = bytes(content)
+    try:
+        return raw.decode(), None
+    except UnicodeDecodeError as e:
+        return raw[: e.start].decode(), e.start
+
+
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text of files that are valid UTF-8, and error for the others."""
-    raw = spark.read.format("binaryFile").load(path)
-    ok = F.is_valid_utf8(F.col("content").cast("string"))
-    return raw.select(F.col("path").alias("doc_id"), F.when(ok, F.col("content").cast("string")).alias("text"), F.when(~ok, "invalid UTF-8").alias("error"))
+    """doc_id, text and error of each file. Of a file that is not UTF-8 the text before the fault is kept, and the error says where it is."""
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    good = raw.where(valid).select("doc_id", F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
+    bad = raw.where(~valid).withColumn("r", _valid_prefix("content"))
+    return good.unionByName(bad.select("doc_id", F.col("r.text").alias("text"), F.concat(F.lit("invalid UTF-8 at byte "), F.col("r.at")).alias("error")))
 
 
 def write_jsonl(analyses: DataFrame, path: str, *, mode: str = "errorifexists") -> None:

@@ -74,10 +74,10 @@ def test_licences_name_endings():
 
 def test_text_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("한국어\ntext", encoding="utf-8")
-    (tmp_path / "b.txt").write_bytes(b"\xff\xfe bad")
+    (tmp_path / "b.txt").write_bytes("가 ".encode() + b"\xff\xfe bad")
     assert [r.text for r in read_text(spark, f"{tmp_path}/a.txt").collect()] == ["한국어\ntext"]
-    kinds = {r.doc_id.rsplit("/", 1)[-1]: r.error for r in read_bytes(spark, str(tmp_path)).collect()}
-    assert kinds == {"a.txt": None, "b.txt": "invalid UTF-8"}
+    read = {r.doc_id.rsplit("/", 1)[-1]: (r.text, r.error) for r in read_bytes(spark, str(tmp_path)).collect()}
+    assert read == {"a.txt": ("한국어\ntext", None), "b.txt": ("가 ", "invalid UTF-8 at byte 4")}
     df = spark.createDataFrame([("w", [("먹다", "Predicate")], [("고", "Ending")], ["ending"])], "word string, lemmas array<struct<text:string,kind:string>>, morphemes array<struct<form:string,kind:string>>, rules array<string>")
     assert text_lines(df).first().value == "먹다\t고\tending"
     write_jsonl(df, f"{tmp_path}/out")

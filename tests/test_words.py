@@ -170,6 +170,22 @@ def test_formations_of_a_caller(spark):
     assert group(analyze_words(words, formations=more)) - group(analyze_words(words)) == {(("연구",), ("되다", "었", "다"))}
 
 
+def test_attachment_rules():
+    from lemmaweave.operators.attachment import conflict_of
+
+    p = lambda *forms: [(f, "Prefinal" if f in ("시", "었", "겠") else "Particle" if f == "요" else "Ending") for f in forms]
+    verb, aux = (lambda x: (x, "Predicate")), (lambda x: (x, "Auxiliary"))
+    cases = [
+        ([verb("예쁘다")], p("는다"), 0, "A", "PresentDeclarativeVerb"), ([verb("먹다")], p("는다"), 0, "V", None), ([verb("예쁘다")], p("는"), 0, "A", "BarePresentAdnominalClass"), ([verb("맛있다")], p("는"), 0, "A", None),
+        ([verb("예쁘다")], p("었", "는"), 0, "A", None), ([verb("먹다")], p("으냐"), 0, "V", "BareAdjectivalQuestion"), ([verb("먹다")], p("군"), 0, "V", "BareExclamationAdjective"), ([verb("아니다")], p("으라"), 0, "A", "NegativeCopulaCommand"),
+        ([verb("예쁘다"), aux("대다")], p("어", "다"), 0, "A", "RepetitiveVerb"), ([verb("예쁘다"), aux("나다")], p("고", "다"), 0, "A", "ContinuationVerb"), ([verb("먹다"), aux("나다")], p("었", "고", "다"), 1, "V", "ContinuationLeftTense"),
+        ([verb("먹다"), aux("나다")], p("고", "시", "다"), 1, "V", "GoNadaHonorific"), ([verb("먹다"), aux("나다")], p("고", "는다"), 1, "V", "GoNadaFinalEnding"), ([verb("먹다"), aux("싶다")], p("고", "다"), 1, "V", "AuxiliaryClass"),
+        ([verb("예쁘다"), aux("듯하다")], p("는", "다"), 0, "A", "BarePresentAdnominalClass"),
+    ]
+    assert [conflict_of(ls, ms, i, k) for ls, ms, i, k, _ in cases] == [x for *_, x in cases]
+    assert conflict_of([verb("머물다")], p("어"), 0, "V", "krdict:15980") == "ShortStemEnding" and conflict_of([verb("머물다")], p("으니"), 0, "V", "krdict:15980") is None
+
+
 def test_assessment_by_spelling(spark):
     from lemmaweave.dictionary import assess
     from lemmaweave.plans.analyze import analyze_words
