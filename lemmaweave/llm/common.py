@@ -31,6 +31,19 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+#: Rows of an Arrow batch, unless the session says otherwise: a batch of whole documents is some MB on both sides.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches are bounded, if they are at Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 # ---- worker memory -----------------------------------------------------------------------------
 
 #: What workers hold beyond a task: each is called with the stage that begins, and gives back what is of others.

@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, groups_for, narrow, pack, pack_sorted, release, rolling, unpack, unpack_sorted, word_hashes
+from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, groups_for, narrow, pack, pack_sorted, release, rolling, small_batches, unpack, unpack_sorted, word_hashes
 
-SLICE_BYTES = 6 << 20
+#: Text that is counted at once: a batch, unless it holds very long documents.
+SLICE_BYTES = 12 << 20
 #: Text of a block; its automaton takes about 60 times as much memory.
 BLOCK_BYTES = 6 << 20
 PRIOR = 2000.0
@@ -162,7 +163,7 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = keyed.withColumn("train", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % held_out_of != held_out)
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    counted = keyed.select("text", "train", "block").mapInArrow(narrow(_count(blocks)), "kind long, bucket long, hashes binary, blocks binary, counts binary")
+    counted = small_batches(keyed.select("text", "train", "block")).mapInArrow(narrow(_count(blocks)), "kind long, bucket long, hashes binary, blocks binary, counts binary")
     told = cut(counted.groupBy("kind", "bucket").applyInArrow(by_group(_merge), "block long, kind long, hashes binary, counts binary, n long, v long, n1 long"), "ngrams")
     release(spark)
     n_all, v_all, n1 = (x or 0 for x in told.where("block = -1 and kind = 0").agg(F.sum("n"), F.sum("v"), F.sum("n1")).first())

@@ -35,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, groups_for, narrow, pack, pack_sorted, positional, release, rolling, unpack, unpack_sorted, word_hashes
+from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, groups_for, narrow, pack, pack_sorted, positional, release, rolling, small_batches, unpack, unpack_sorted, word_hashes
 
 MIN_FACTOR = 13
-SLICE_BYTES = 6 << 20
+#: Text that is indexed at once: a batch, unless it holds very long documents. More and smaller slices take more disk.
+SLICE_BYTES = 12 << 20
+#: Text of a block; its parse takes about 30 times as much memory.
+BLOCK_BYTES = 6 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -137,12 +140,12 @@ def _parsed(base: DataFrame, at_id: int, at_text: int, least: int, fields: list[
     if not isinstance(base.schema[at_id].dataType, T.IntegralType):
         raise TypeError("ids are whole numbers")
     doc_id, text = F.col(f"c{at_id}"), F.col(f"c{at_text}")
-    blocks = groups_for(base, f"c{at_text}")
+    blocks = groups_for(base, f"c{at_text}", BLOCK_BYTES)
     spark = base.sparkSession
     # A row without an id takes no part, so it may be dealt anywhere, each time anew.
     dealt = base.withColumn("block", F.when(doc_id.isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).otherwise(F.pmod(F.xxhash64(doc_id, text), F.lit(blocks))).cast("long"))
     keyed = dealt.select(doc_id.cast("long").alias("id"), text.alias("text"), "block").where("id is not null")
-    index = keyed.mapInArrow(narrow(_index(least, blocks)), "bucket long, hashes binary, blocks binary, firsts binary, places binary")
+    index = small_batches(keyed).mapInArrow(narrow(_index(least, blocks)), "bucket long, hashes binary, blocks binary, firsts binary, places binary")
     known = cut(index.groupBy("bucket").applyInArrow(by_group(_look_up), "block long, hashes binary, firsts binary, places binary"), "phrases")
     release(spark)
     out = T.StructType([*base.schema.fields, *fields])
