@@ -31,6 +31,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that are run inside have at most so many rows an Arrow batch; the session's setting is put back after them."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 #: Rows of an Arrow batch, unless the session says otherwise: a batch of whole documents is some MB on both sides.
 BATCH_ROWS = 2_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

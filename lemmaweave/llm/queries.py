@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_path
 from .decontaminate import find_contaminated
+from .html_text import extract_text
 from .lm import score_documents
 from .oracle import ORACLES
 from .packing import pack_documents
 from .quality import judge_quality
 from .records import token_records
+from .search import search_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .substring import duplicate_factors
 from .token_counts import count_tokens
+from .vector_codes import compress_vectors
 from .warc import archive_pages
 
 
@@ -75,8 +78,20 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_warc, op3_simhash, op4_sharding, op5_packing, op6_token_counts, op7_quality, op8_substring, op9_lm, op10_records)
+    own = (op1_decontaminate, op2_warc, op3_simhash, op4_sharding, op5_packing, op6_token_counts, op7_quality, op8_substring, op9_lm, op10_records, op11_html, op12_search, op13_codes)
     return {f.__name__: f for f in own}
 
 
