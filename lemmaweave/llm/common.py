@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,7 +68,6 @@ def at_stage(give_back: Callable[[int], None]) -> None:
 
 def _tidy() -> None:
     """Gives free memory back to the system, as idle workers stay beside the executor and other workers."""
-    _powers.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -193,27 +193,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so that its powers have inverses modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[bool, np.ndarray] = {}
-
-
-def _power(n: int, inverse: bool = False) -> np.ndarray:
-    have = _powers.get(inverse)
-    if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 20), _INVERSE if inverse else _BASE, np.uint64)
-        p[0] = 1
-        _powers[inverse] = have = np.cumprod(p, dtype=np.uint64)
-    return have[:n]
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order; both are mixed, so no sum or power of one makes up for the other."""
+    return mix(mix(a ^ _M1) + b)
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of each n consecutive values, from prefix sums of a polynomial."""
+    """Hashes of each n consecutive values, from those of runs of 1, 2, 4 and so on."""
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _power(len(h)), dtype=np.uint64)])
-    return mix((s[n:] - s[:-n]) * _power(m, True))
+    out, done, run, size = None, 0, h, 1
+    while True:
+        if n & size:
+            out = run[:m] if out is None else joined(out, run[done : done + m])
+            done += size
+        if done == n:
+            return mix(out) if n == 1 else out
+        run, size = joined(run[:-size], run[size:]), 2 * size
 
 
 _SPACE = np.zeros(256, bool)
@@ -223,37 +220,84 @@ _LOWER[65:91] += 32
 
 
 #: Bytes of text hashed at once, but for a longer word.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 20
+
 
+_KEY = 0x5851F42D4C957F2D
 
-def _hash_words(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of bytes that end in a separator."""
+
+def _hash_words(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes and the starts of the words of bytes that end in a separator."""
     word = ~_SPACE[data]
     before = np.concatenate([[False], word[:-1]])
     start, end = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
-    if lower:
-        data = _LOWER[data]
-    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(len(data)), dtype=np.uint64)])
-    return mix((s[end] - s[start]) * _power(len(data), True)[start] + (end - start).astype(np.uint64)), start
-
-
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of other than ASCII white space) of all texts in turn, and each text's number of words.
-    Works through the bytes in chunks that end between words, so memory does not follow the length of a text."""
+    packed = data[word]
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - start)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[packed] if lower else packed)])
+    coded = words.dictionary_encode()  # equal words by their bytes; each is hashed once
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, _KEY) for w in coded.dictionary.to_pylist()), "<u8").reshape(-1, 2)
+    at = coded.indices.to_numpy()
+    return digests[at, 0], digests[at, 1], start
+
+
+def word_keys(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes (the halves of a keyed XXH3) of the words (runs of other than ASCII white space) of all texts in turn,
+    and each text's number of words. Works through the bytes in chunks that end between words, so memory does not follow the length of a text."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # a separator after each text
-    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    first, second, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(data):
         stop = at + CHUNK_BYTES
         while stop < len(data) and not (gap := np.flatnonzero(_SPACE[data[stop : stop + CHUNK_BYTES]])[:1]).size:
             stop += CHUNK_BYTES
         stop = min(stop + int(gap[0]) + 1, len(data)) if stop < len(data) else len(data)
-        h, s = _hash_words(data[at:stop], lower)
-        hashes.append(h)
+        h, g, s = _hash_words(data[at:stop], lower)
+        first.append(h)
+        second.append(g)
         starts.append(s + at)
         at = stop
-    h, start = np.concatenate(hashes), np.concatenate(starts)
+    start = np.concatenate(starts)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return h, np.diff(np.searchsorted(start, ends), prepend=0)
+    return np.concatenate(first), np.concatenate(second), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The first hashes of word_keys, and each text's number of words."""
+    h, _, n = word_keys(texts, lower)
+    return h, n
+
+
+def order_of(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """A stable order by h, then g: a second sort is needed only where two keys share their first half."""
+    order = np.argsort(h, kind="stable")
+    hs, gs = h[order], g[order]
+    if ((hs[1:] == hs[:-1]) & (gs[1:] != gs[:-1])).any():
+        order = np.lexsort((g, h))
+    return order
+
+
+def leads(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Where a new key begins in ordered keys."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return new
+
+
+def find(th: np.ndarray, tg: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The place of each key (h, g) in the ordered distinct keys (th, tg), or -1."""
+    out = np.full(len(h), -1)
+    if not len(th):
+        return out
+    at = np.searchsorted(th, h)
+    live = np.arange(len(h))
+    while live.size:
+        inside = at[live] < len(th)
+        live = live[inside]
+        live = live[th[at[live]] == h[live]]
+        hit = tg[at[live]] == g[live]
+        out[live[hit]] = at[live[hit]]
+        live = live[~hit]
+        at[live] += 1
+    return out
 
 
 def byte_slices(texts: list[str | None], limit: int) -> list[tuple[int, list[bytes]]]:
@@ -298,6 +342,15 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(_unplanes(b, np.uint64), dtype=np.uint64)
 
 
+def pack_checks(g: np.ndarray) -> bytes:
+    """Values of 32 bits as they are: hashes hold nothing to compress."""
+    return g.astype("<u4").tobytes()
+
+
+def unpack_checks(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u4").astype(np.uint64)
+
+
 def pack(values: np.ndarray) -> bytes:
     """64-bit integers as byte planes of what they exceed their minimum by."""
     v = values.astype(np.int64, copy=False)

@@ -12,6 +12,9 @@ narrow map packs the distinct n-grams of each block with their training counts,
 them up and tells each block the counts of those of its n-grams that also occur in other blocks (the others'
 counts it knows). So each block builds the part of the automaton that its documents can reach.
 
+Words are told apart by 96 bits of a keyed XXH3 (of 10^10 distinct words two share them with a probability of 6e-10), so the counts of words are
+exact; pairs by 64 bits mixed from two words: a pair that shares them with another has the sum of their counts.
+
 Defined cases: a null or wordless text is the end token alone; a null id reads as an empty string when
 documents are dealt to training; repeated rows are documents of their own (blocks follow id and text, so that only
 rows equal in both meet for certain); equal counts need no order; a text of any length is hashed by the megabyte; without training documents every
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, groups_for, narrow, pack, pack_sorted, release, rolling, small_batches, unpack, unpack_sorted, word_hashes
+from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, find, groups_for, leads, narrow, order_of, pack, pack_checks, pack_sorted, release, rolling, small_batches, unpack, unpack_checks, unpack_sorted, word_keys
 
 #: Text that is counted at once: a batch, unless it holds very long documents.
 SLICE_BYTES = 12 << 20
@@ -35,14 +38,16 @@ SLICE_BYTES = 12 << 20
 BLOCK_BYTES = 6 << 20
 PRIOR = 2000.0
 END = np.uint64(0x5851F42D4C957F2D)
+_UPPER = np.uint64(32)
 
 
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, each with its end token, and the tokens of each text."""
-    h, n = word_hashes(texts, lower=True)
-    out = np.full(len(h) + len(n), END, np.uint64)
-    out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
-    return out, n + 1
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (64 bits, and 32 more) of the tokens of all texts, each with its end token, and the tokens of each text."""
+    h, g, n = word_keys(texts, lower=True)
+    at = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
+    out, checks = np.full(len(h) + len(n), END, np.uint64), np.full(len(h) + len(n), END >> _UPPER, np.uint64)
+    out[at], checks[at] = h, g >> _UPPER
+    return out, checks, n + 1
 
 
 def bigrams(tokens: np.ndarray) -> np.ndarray:
@@ -51,24 +56,27 @@ def bigrams(tokens: np.ndarray) -> np.ndarray:
 
 
 def _count(buckets: int):  # noqa: ANN202
-    names = ["kind", "bucket", "hashes", "blocks", "counts"]
+    names = ["kind", "bucket", "hashes", "checks", "blocks", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b]).sort_by("block")
             block, train = t["block"].to_numpy(), t["train"].to_numpy(zero_copy_only=False)
             for first, texts in byte_slices(t["text"].to_pylist(), SLICE_BYTES):
-                tokens, n = token_hashes(texts)
+                tokens, checks, n = token_hashes(texts)
                 own = np.repeat(block[first : first + len(texts)], n)
                 weight = np.repeat(train[first : first + len(texts)], n).astype(np.int64)
-                for kind, h in enumerate((tokens, bigrams(tokens))):
-                    order = np.argsort(h, kind="stable")
-                    hs, os = h[order], own[order]
-                    start = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (os[1:] != os[:-1])])
+                pairs = bigrams(tokens)
+                for kind, (h, g) in enumerate(((tokens, checks), (pairs, np.zeros_like(pairs)))):
+                    order = order_of(h, g)
+                    hs, gs, os = h[order], g[order], own[order]
+                    new = leads(hs, gs)
+                    new[1:] |= os[1:] != os[:-1]
+                    start = np.flatnonzero(new)
                     c = np.add.reduceat(weight[order], start)
-                    hs, os = hs[start], os[start]
+                    hs, gs, os = hs[start], gs[start], os[start]
                     edges = np.searchsorted(bucket_of(hs, buckets), np.arange(buckets + 1)).tolist()
-                    rows = [(kind, k, pack_sorted(hs[x:y]), pack(os[x:y]), pack(c[x:y])) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+                    rows = [(kind, k, pack_sorted(hs[x:y]), b"" if kind else pack_checks(gs[x:y]), pack(os[x:y]), pack(c[x:y])) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
                     for at in range(0, len(rows), 64):
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows[at : at + 64], strict=True))], names=names)
 
@@ -79,25 +87,28 @@ def _merge(key: tuple, t: pa.Table) -> pa.Table:
     """For each block, the total counts of its n-grams that differ from its own; the statistics in a row of block -1."""
     kind = key[0].as_py()
     h = np.concatenate([unpack_sorted(x) for x in t["hashes"].to_pylist()])
+    g = np.zeros_like(h) if kind else np.concatenate([unpack_checks(x) for x in t["checks"].to_pylist()])
     block = np.concatenate([unpack(x) for x in t["blocks"].to_pylist()])
     c = np.concatenate([unpack(x) for x in t["counts"].to_pylist()])
-    order = np.lexsort((block, h))
-    h, block, c = h[order], block[order], c[order]
-    start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (block[1:] != block[:-1])])
-    own, h, block = np.add.reduceat(c, start), h[start], block[start]
-    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    order = np.lexsort((block, h) if kind else (block, g, h))
+    h, g, block, c = h[order], g[order], block[order], c[order]
+    new = leads(h, g)
+    new[1:] |= block[1:] != block[:-1]
+    start = np.flatnonzero(new)
+    own, h, g, block = np.add.reduceat(c, start), h[start], g[start], block[start]
+    start = np.flatnonzero(leads(h, g))
     totals = np.add.reduceat(own, start)
     total = np.repeat(totals, np.diff(np.r_[start, len(h)]))
     tell = total != own
-    h, block, total = h[tell], block[tell], total[tell]
+    h, g, block, total = h[tell], g[tell], block[tell], total[tell]
     order = np.argsort(block, kind="stable")
-    h, block, total = h[order], block[order], total[order]
+    h, g, block, total = h[order], g[order], block[order], total[order]
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() if len(h) else []
     pairs = list(zip(edges, [*edges[1:], len(h)], strict=True)) if edges else []
-    rows = [(int(block[a]), kind, pack_sorted(h[a:b]), pack(total[a:b]), 0, 0, 0) for a, b in pairs]
-    rows.append((-1, kind, b"", b"", int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum())))
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    return pa.Table.from_arrays([pa.array(col, k) for col, k in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "kind", "hashes", "counts", "n", "v", "n1"])
+    rows = [(int(block[a]), kind, pack_sorted(h[a:b]), b"" if kind else pack_checks(g[a:b]), pack(total[a:b]), 0, 0, 0) for a, b in pairs]
+    rows.append((-1, kind, b"", b"", b"", int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum())))
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([pa.array(col, k) for col, k in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "kind", "hashes", "checks", "counts", "n", "v", "n1"])
 
 
 class BackoffAutomaton:
@@ -116,30 +127,35 @@ class BackoffAutomaton:
         return total
 
 
-def _totals(h: np.ndarray, local: np.ndarray, told: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """Total counts of the distinct hashes h: those told, else the local ones."""
+Told = list[tuple[bytes, bytes, bytes]]
+
+
+def _totals(h: np.ndarray, g: np.ndarray, local: np.ndarray, told: Told) -> np.ndarray:
+    """Total counts of the distinct hashes (h, g): those told, else the local ones."""
     if not told:
         return local
-    th = np.concatenate([unpack_sorted(a) for a, _ in told])
-    tc = np.concatenate([unpack(b) for _, b in told])
-    order = np.argsort(th)
-    th, tc = th[order], tc[order]
-    if not len(th):
-        return local
-    k = np.minimum(np.searchsorted(th, h), len(th) - 1)
-    return np.where(th[k] == h, tc[k], local)
+    th = np.concatenate([unpack_sorted(a) for a, _, _ in told])
+    tg = np.concatenate([unpack_checks(b) if b else np.zeros(len(unpack_sorted(a)), np.uint64) for a, b, _ in told])
+    tc = np.concatenate([unpack(c) for _, _, c in told])
+    order = order_of(th, tg)
+    k = find(th[order], tg[order], h, g)
+    return np.where(k >= 0, tc[order][k], local) if len(tc) else local
 
 
-def score_block(texts: list[bytes], train: np.ndarray, told: tuple[list, list], n_all: int, v_all: int, n1: int, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def score_block(texts: list[bytes], train: np.ndarray, told: tuple[Told, Told], n_all: int, v_all: int, n1: int, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """n_tokens, n_known, base score and score of each text."""
-    tokens, n = token_hashes(texts)
+    tokens, checks, n = token_hashes(texts)
     weight = np.repeat(train, n).astype(np.int64)
     end = np.cumsum(n)
-    words, word = np.unique(np.append(tokens, END), return_inverse=True)
-    start, word = int(word[-1]), word[:-1]
-    c1 = _totals(words, np.bincount(word, weight, len(words)).astype(np.int64), told[0])
+    order = order_of(tokens, checks)
+    new = leads(tokens[order], checks[order])
+    word = np.empty(len(tokens), np.int64)
+    word[order] = np.cumsum(new) - 1
+    words, marks = tokens[order][new], checks[order][new]
+    start = int(word[end[0] - 1])  # every text closes with the end token
+    c1 = _totals(words, marks, np.bincount(word, weight, len(words)).astype(np.int64), told[0])
     pairs, at, pair = np.unique(bigrams(tokens), return_index=True, return_inverse=True)
-    c2 = _totals(pairs, np.bincount(pair, weight, len(pairs)).astype(np.int64), told[1])
+    c2 = _totals(pairs, np.zeros_like(pairs), np.bincount(pair, weight, len(pairs)).astype(np.int64), told[1])
     unseen = max(n1, 1)
     p = np.where(c1 > 0, c1, unseen) / (n_all + unseen)
     before = np.concatenate([[start], word[:-1]])
@@ -163,14 +179,14 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = keyed.withColumn("train", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % held_out_of != held_out)
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    counted = small_batches(keyed.select("text", "train", "block")).mapInArrow(narrow(_count(blocks)), "kind long, bucket long, hashes binary, blocks binary, counts binary")
-    told = cut(counted.groupBy("kind", "bucket").applyInArrow(by_group(_merge), "block long, kind long, hashes binary, counts binary, n long, v long, n1 long"), "ngrams")
+    counted = small_batches(keyed.select("text", "train", "block")).mapInArrow(narrow(_count(blocks)), "kind long, bucket long, hashes binary, checks binary, blocks binary, counts binary")
+    told = cut(counted.groupBy("kind", "bucket").applyInArrow(by_group(_merge), "block long, kind long, hashes binary, checks binary, counts binary, n long, v long, n1 long"), "ngrams")
     release(spark)
     n_all, v_all, n1 = (x or 0 for x in told.where("block = -1 and kind = 0").agg(F.sum("n"), F.sum("v"), F.sum("n1")).first())
 
     def score(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = list(zip(right["kind"].to_pylist(), right["hashes"].to_pylist(), right["counts"].to_pylist(), strict=True))
-        told_of = tuple([(a, b) for k, a, b in rows if k == kind] for kind in (0, 1))
+        rows = list(zip(right["kind"].to_pylist(), right["hashes"].to_pylist(), right["checks"].to_pylist(), right["counts"].to_pylist(), strict=True))
+        told_of = tuple([tuple(r) for k, *r in rows if k == kind] for kind in (0, 1))
         train = left["train"].to_numpy().astype(bool)
         if not len(train):
             n = known = np.empty(0, np.int64)
@@ -179,5 +195,5 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             n, known, base, score = score_block([(t or "").encode() for t in left["text"].to_pylist()], train, told_of, n_all, v_all, n1, prior)
         return pa.Table.from_arrays([left["doc_id"], pa.array(~train), pa.array(n), pa.array(known), pa.array(np.full(len(train), n_all, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    slices = told.where("block >= 0").select("block", "kind", "hashes", "counts")
+    slices = told.where("block >= 0").select("block", "kind", "hashes", "checks", "counts")
     return keyed.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(by_two_groups(score), OUT.format(docs.schema[doc_id].dataType.simpleString()))

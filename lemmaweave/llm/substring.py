@@ -17,7 +17,8 @@ The words that a factor covers are duplicates; nothing else decides. Of all plac
 kept as a reference (the least document, then the least word), so a phrase that many documents share is
 one entry for each block and slice, and goes to one bucket with millions of others; texts move once, by block.
 
-Phrases are compared by 64-bit hashes of 64-bit word hashes. Defined cases: null and wordless texts lose nothing; a row with
+Phrases are told apart by 96 bits, made of both halves of a keyed XXH3 of each word by mixing: of 10^13 distinct phrases (100 TB), two share
+them with a probability of about 6e-4. Defined cases: null and wordless texts lose nothing; a row with
 a null id neither loses words nor causes a removal; rows that share an id are the same document to the order, so they
 do not shorten one another; ids are whole numbers (a column of another type is refused); a text of any length is hashed by the
 megabyte; an empty table gives no rows; other columns are carried (dedup_texts) or ignored, whatever their names.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, groups_for, narrow, pack, pack_sorted, positional, release, rolling, small_batches, unpack, unpack_sorted, word_hashes
+from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, find, groups_for, leads, narrow, order_of, pack, pack_checks, pack_sorted, positional, release, rolling, small_batches, unpack, unpack_checks, unpack_sorted, word_keys
 
 MIN_FACTOR = 13
 #: Text that is indexed at once: a batch, unless it holds very long documents. More and smaller slices take more disk.
@@ -45,34 +46,34 @@ BLOCK_BYTES = 6 << 20
 _NONE = np.iinfo(np.int64).max
 
 
-def phrases(texts: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase hashes, the word each starts at, the index of its text, and the words of each text. Texts with id _NONE have none."""
-    h, n = word_hashes(texts)
+def phrases(texts: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase hashes (64 bits, and 32 more), the word each starts at, the index of its text, and the words of each text. Texts with id _NONE have none."""
+    h, g, n = word_keys(texts)
     stop = np.cumsum(n)
     count = np.where(ids == _NONE, 0, np.maximum(n - least + 1, 0))
     doc = np.repeat(np.arange(len(texts)), count)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + (stop - n)[doc]
-    return rolling(h, least)[at], at, doc, n
+    return rolling(h, least)[at], (rolling(g, least) >> np.uint64(32))[at], at, doc, n
 
 
 def _index(least: int, buckets: int):  # noqa: ANN202
-    names = ["bucket", "hashes", "blocks", "firsts", "places"]
+    names = ["bucket", "hashes", "checks", "blocks", "firsts", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b]).sort_by([("block", "ascending"), ("id", "ascending")])
             ids, block = t["id"].fill_null(_NONE).to_numpy(), t["block"].to_numpy()
             for first, texts in byte_slices(t["text"].to_pylist(), SLICE_BYTES):
-                h, at, doc, n = phrases(texts, ids[first : first + len(texts)], least)
+                h, g, at, doc, n = phrases(texts, ids[first : first + len(texts)], least)
                 at -= (np.cumsum(n) - n)[doc]
-                order = np.argsort(h, kind="stable")  # by hash, block, id and word
-                h, at, doc = h[order], at[order], doc[order] + first
+                order = order_of(h, g)  # by phrase, block, id and word
+                h, g, at, doc = h[order], g[order], at[order], doc[order] + first
                 own = block[doc]
-                lead = np.ones(len(h), bool)
-                lead[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-                h, own, at, who = h[lead], own[lead], at[lead], ids[doc[lead]]
+                lead = leads(h, g)
+                lead[1:] |= own[1:] != own[:-1]
+                h, g, own, at, who = h[lead], g[lead], own[lead], at[lead], ids[doc[lead]]
                 edges = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-                rows = [(k, pack_sorted(h[x:y]), pack(own[x:y]), pack(who[x:y]), pack(at[x:y])) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+                rows = [(k, pack_sorted(h[x:y]), pack_checks(g[x:y]), pack(own[x:y]), pack(who[x:y]), pack(at[x:y])) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
                 for k in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 64], strict=True)], names=names)
 
@@ -81,20 +82,21 @@ def _index(least: int, buckets: int):  # noqa: ANN202
 
 def _look_up(_: tuple, t: pa.Table) -> pa.Table:
     h = np.concatenate([unpack_sorted(x) for x in t["hashes"].to_pylist()])
+    g = np.concatenate([unpack_checks(x) for x in t["checks"].to_pylist()])
     block, who, at = (np.concatenate([unpack(x) for x in t[c].to_pylist()]) for c in ("blocks", "firsts", "places"))
-    order = np.lexsort((at, who, h))
-    h, block, who, at = h[order], block[order], who[order], at[order]
-    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    order = np.lexsort((at, who, g, h))
+    h, g, block, who, at = h[order], g[order], block[order], who[order], at[order]
+    start = np.flatnonzero(leads(h, g))
     n = np.diff(np.r_[start, len(h)])
     first, place = np.repeat(who[start], n), np.repeat(at[start], n)
     late = who > first
-    h, block, first, place = h[late], block[late], first[late], place[late]
+    h, g, block, first, place = h[late], g[late], block[late], first[late], place[late]
     order = np.argsort(block, kind="stable")
-    h, block, first, place = h[order], block[order], first[order], place[order]
+    h, g, block, first, place = h[order], g[order], block[order], first[order], place[order]
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(h) else np.empty(0, np.int64)
     ends = [*edges[1:].tolist(), len(h)]
     pairs = list(zip(edges.tolist(), ends, strict=True)) if len(edges) else []
-    packed = {"hashes": (pack_sorted, h), "firsts": (pack, first), "places": (pack, place)}
+    packed = {"hashes": (pack_sorted, h), "checks": (pack_checks, g), "firsts": (pack, first), "places": (pack, place)}
     return pa.table({"block": pa.array([int(block[a]) for a, _ in pairs], pa.int64())} | {c: pa.array([f(x[a:b]) for a, b in pairs], pa.binary()) for c, (f, x) in packed.items()})
 
 
@@ -108,22 +110,22 @@ def factors(at: np.ndarray, ref_doc: np.ndarray, ref_at: np.ndarray, least: int)
     return first, at[last] - at[first] + least, last
 
 
-def parse_block(texts: list[bytes], ids: np.ndarray, told: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+def parse_block(texts: list[bytes], ids: np.ndarray, told: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """Words of each text, which of all words a factor covers, and the factors: text, start, length, reference's id and word.
     told: phrases with an earlier document in other blocks (ascending), that document and the word there."""
-    h, at, doc, n = phrases(texts, ids, least)
+    h, g, at, doc, n = phrases(texts, ids, least)
     base = np.cumsum(n) - n
     own = at - base[doc]
-    order = np.lexsort((own, ids[doc], h))
-    hs = h[order]
+    order = np.lexsort((own, ids[doc], g, h))
+    hs, gs = h[order], g[order]
     first, place = np.full(len(h), _NONE), np.zeros(len(h), np.int64)
     if len(hs):
-        start = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
+        start = np.flatnonzero(leads(hs, gs))
         who, where = ids[doc[order]][start], own[order][start]
         if len(told[0]):
-            k = np.minimum(np.searchsorted(told[0], hs[start]), len(told[0]) - 1)
-            better = (told[0][k] == hs[start]) & (told[1][k] < who)
-            who, where = np.where(better, told[1][k], who), np.where(better, told[2][k], where)
+            k = find(told[0], told[1], hs[start], gs[start])
+            better = (k >= 0) & (told[2][k] < who)
+            who, where = np.where(better, told[2][k], who), np.where(better, told[3][k], where)
         size = np.diff(np.r_[start, len(hs)])
         first[order], place[order] = np.repeat(who, size), np.repeat(where, size)
     k = np.flatnonzero(first < ids[doc])
@@ -145,8 +147,8 @@ def _parsed(base: DataFrame, at_id: int, at_text: int, least: int, fields: list[
     # A row without an id takes no part, so it may be dealt anywhere, each time anew.
     dealt = base.withColumn("block", F.when(doc_id.isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).otherwise(F.pmod(F.xxhash64(doc_id, text), F.lit(blocks))).cast("long"))
     keyed = dealt.select(doc_id.cast("long").alias("id"), text.alias("text"), "block").where("id is not null")
-    index = small_batches(keyed).mapInArrow(narrow(_index(least, blocks)), "bucket long, hashes binary, blocks binary, firsts binary, places binary")
-    known = cut(index.groupBy("bucket").applyInArrow(by_group(_look_up), "block long, hashes binary, firsts binary, places binary"), "phrases")
+    index = small_batches(keyed).mapInArrow(narrow(_index(least, blocks)), "bucket long, hashes binary, checks binary, blocks binary, firsts binary, places binary")
+    known = cut(index.groupBy("bucket").applyInArrow(by_group(_look_up), "block long, hashes binary, checks binary, firsts binary, places binary"), "phrases")
     release(spark)
     out = T.StructType([*base.schema.fields, *fields])
     width = len(base.columns)
@@ -155,11 +157,12 @@ def _parsed(base: DataFrame, at_id: int, at_text: int, least: int, fields: list[
         if not left.num_rows:
             return out_schema.empty_table()
         h = np.concatenate([unpack_sorted(x) for x in right.column(1).to_pylist()] or [np.empty(0, np.uint64)])
-        first, place = (np.concatenate([unpack(x) for x in right.column(k).to_pylist()] or [np.empty(0, np.int64)]) for k in (2, 3))
-        order = np.argsort(h)
+        g = np.concatenate([unpack_checks(x) for x in right.column(2).to_pylist()] or [np.empty(0, np.uint64)])
+        first, place = (np.concatenate([unpack(x) for x in right.column(k).to_pylist()] or [np.empty(0, np.int64)]) for k in (3, 4))
+        order = order_of(h, g)
         texts = [(t or "").encode() for t in left.column(at_text).to_pylist()]
         ids = left.column(at_id).cast(pa.int64()).fill_null(_NONE).to_numpy()
-        n, covered, (doc, *found) = parse_block(texts, ids, (h[order], first[order], place[order]), least)
+        n, covered, (doc, *found) = parse_block(texts, ids, (h[order], g[order], first[order], place[order]), least)
         end, edges = np.cumsum(n), np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
         rows = []
         for k, (t, a, b) in enumerate(zip(texts, (end - n).tolist(), end.tolist(), strict=True)):
@@ -172,7 +175,7 @@ def _parsed(base: DataFrame, at_id: int, at_text: int, least: int, fields: list[
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out_schema = to_arrow_schema(out)
-    right = known.select("block", "hashes", "firsts", "places")
+    right = known.select("block", "hashes", "checks", "firsts", "places")
     return dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(by_two_groups(parse), out)
 
 

@@ -668,3 +668,37 @@ def test_components_with_a_hub(spark):
     edges = [(0, k) for k in range(1, 4000)] + [(5000 + k, 5001 + k) for k in range(40)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(4000)} | {5000 + k: 5000 for k in range(41)}
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """n letters, and their complement: alike to any polynomial modulo 2**64 with an odd base from n = 1,024 on."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    a, b = thue_morse(1024)
+    same = " ".join(f"s{k}" for k in range(12))
+    d = spark.createDataFrame([(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"{same} {b}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.duplicate_factors(d).collect()} == {1: 0, 2: 0, 3: 13}
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [(held, f"x {a}"), (train, f"x {b}")]
+    got = {r.doc_id: r.n_known for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {held: 2, train: 3}
+    texts = [f"{same} {x} {same}".encode() for x in (a, b)]
+    one, two = jaccard.shingle_sets(texts)
+    assert len(np.intersect1d(one, two)) == 8 + 0
+
+
+def test_keys_that_share_a_half():
+    """Keys whose first halves are equal are ordered and found by their second."""
+    h, g = np.array([5, 5, 5, 2, 5], np.uint64), np.array([9, 1, 9, 3, 4], np.uint64)
+    order = common.order_of(h, g)
+    assert order.tolist() == [3, 1, 4, 0, 2] and common.leads(h[order], g[order]).tolist() == [True, True, True, True, False]
+    th, tg = np.array([2, 5, 5, 5], np.uint64), np.array([3, 1, 4, 9], np.uint64)
+    assert common.find(th, tg, np.array([5, 5, 2, 2, 7], np.uint64), np.array([9, 2, 3, 4, 1], np.uint64)).tolist() == [3, -1, 0, -1, -1]
+    values = np.arange(40, dtype=np.uint64)
+    assert all(len(set(common.rolling(values, n).tolist())) == 41 - n for n in range(1, 14))
+    for n in (1, 2, 5, 13):  # a run's hash is its own, wherever it stands
+        assert common.rolling(values[7 : 7 + n], n)[0] == common.rolling(values, n)[7]
