@@ -14,7 +14,7 @@ record around it. Whole records are digested where they are read; only payloads
 Ids keep their type: they are written percent-encoded and read back as the type of the column. Heads and payloads
 may have any length. Defined cases: a null payload is an empty one; a null id reads back as null, and is revisited only if no page
 with the same payload has an id; rows with equal ids and payloads are all responses if theirs is the smallest
-id; line breaks in a URL are written as %0A and %0D; an empty table gives no rows; other columns are ignored.
+id; a record whose block has not its stated length, or whose payload not its stated SHA-1, is an error; line breaks in a URL are written as %0A and %0D; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ SAID = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
 
 
 def _contents(df: DataFrame, keep: list[str], kind: str) -> DataFrame:
-    """keep, and what a whole record (value, header, content, head) says of its page."""
+    """keep, and what a whole record (value, header, content, head) says of its page, and in what it is not as its header says (fault)."""
     df = df.withColumns({
         "block": F.expr("substring(cast(value as binary), cast(head + 1 as int), cast(content as int))"),
         "http": F.expr("octet_length(substring_index(substring(value, char_length(header) + 5), '\\r\\n\\r\\n', 1)) + 4"),
@@ -95,12 +95,16 @@ def _contents(df: DataFrame, keep: list[str], kind: str) -> DataFrame:
         "type": _field("header", "WARC-Type"),
     })
     whole, payload, top = F.col("type") == "response", F.expr("substring(block, http + 1)"), F.expr("cast(substring(block, 1, http) as string)")
+    found = F.when(whole, base32_sha1(payload)).otherwise(F.col("digest"))
+    short = F.octet_length("block") != F.col("content")
+    wrong = whole & (F.upper(F.substring_index(_field("header", "WARC-Payload-Digest"), ":", 1)) == "SHA1") & (found != F.upper("digest"))
+    fault = F.when(short, "a record's block is not of its stated length: ").when(wrong, "a payload has not its stated digest: ")
     page = lambda name: F.try_url_decode(F.regexp_extract("header", f"(?i){name}:[ \\t]*<urn:page:([^>]*)>", 1)).try_cast(kind)
     page_of = lambda name: F.when(F.col("header").rlike(f"(?i){name}:[ \\t]*<urn:page:"), page(name))
     return df.select(
         *keep, page_of("WARC-Record-ID").alias("page_id"),
         F.when(whole, F.octet_length(payload)).otherwise(F.regexp_extract(top, "(?i)\r\nContent-Length:[ \t]*([0-9]+)", 1).try_cast("bigint")).cast("long").alias("payload_bytes"),
-        F.when(whole, base32_sha1(payload)).otherwise(F.col("digest")).alias("payload_digest"),
+        found.alias("payload_digest"), F.concat(fault, F.col("header")).alias("fault"),
         F.col("type").alias("record_type"), page_of("WARC-Refers-To").alias("refers_to"), F.col("digest").alias("stated_digest"),
     )
 
@@ -155,10 +159,12 @@ def boundary_chain(candidates: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
     """What the records say (SAID), with file and off, the offset of the record. kind: the type of page ids."""
     raw = spark.read.option("lineSep", VERSION).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"))
+    # Splits and their order hold for one scan only. Bytes that are read anew are found by what they are.
+    sha = F.sha2(F.col("value").cast("binary"), 256)
     whole = F.coalesce(F.col("head") + F.col("content") + 4 == F.col("size"), F.lit(False))
-    seg = _parsed(raw).withColumn("whole", whole).withColumn("raw", F.when(~F.col("whole"), F.col("value")))
+    seg = _parsed(raw).withColumn("whole", whole).withColumn("raw", F.when(~F.col("whole"), F.col("value"))).withColumn("sha", F.when(F.col("whole"), sha))
     # One pass over the bytes keeps what a whole segment says, and the bytes of the others.
-    segs = cut(_contents(seg, ["file", "split", "seq", "size", "head", "content", "whole", "raw"], kind), "segments")
+    segs = cut(_contents(seg, ["file", "split", "seq", "size", "head", "content", "whole", "raw", "sha"], kind), "segments")
     step = F.col("size") + len(VERSION)
     base = segs.groupBy("file", "split").agg(F.sum(step).alias("n"))
     base = base.select("file", "split", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("base"))
@@ -168,17 +174,20 @@ def read_warc(spark: SparkSession, path: str, kind: str = "string") -> DataFrame
     cand = placed.where("content is not null").select("file", "split", "off", (F.col("off") + len(VERSION) + F.col("head") + F.col("content") + 4).alias("nxt"))
     records = cut(boundary_chain(cand), "records").select("file", "off", "nxt")
     rows = cut(placed.join(records, ["file", "off"], "left"), "rows")
-    easy = rows.where("whole and nxt is not null").select("file", "off", *SAID)
+    easy = rows.where("whole and nxt is not null")
     # Records around version lines in their payloads are put together from their segments.
-    rest = rows.where("not whole or nxt is null").select("file", "split", "seq", "off", "nxt", "raw")
-    inner = rest.where("raw is null").select("file", "split", "seq")
-    if not inner.isEmpty():  # complete records inside a payload: their bytes are read anew
-        again = raw.join(inner, ["file", "split", "seq"]).select("file", "split", "seq", F.col("value").alias("bytes"))
-        rest = rest.join(again, ["file", "split", "seq"], "left").withColumn("raw", F.coalesce("raw", "bytes"))
+    rest = rows.where("not whole or nxt is null").select("file", "off", "nxt", "raw", "sha")
     owner = F.last(F.when(F.col("nxt").isNotNull(), F.struct("off", "nxt")), ignorenulls=True).over(Window.partitionBy("file").orderBy("off"))
-    parts = rest.withColumn("owner", owner).where("off < owner.nxt").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "raw"))).alias("p"))
+    rest = cut(rest.withColumn("owner", owner).where("off < owner.nxt"), "nested")
+    inner = rest.where("raw is null").select("sha").distinct()
+    if not inner.isEmpty():  # complete records inside a payload
+        again = raw.select("value").withColumn("sha", sha).join(inner, "sha", "left_semi").groupBy("sha").agg(F.any_value("value").alias("bytes"))
+        rest = rest.join(again, "sha", "left").withColumn("raw", F.coalesce("raw", "bytes", F.raise_error(F.concat(F.lit("bytes of a record were not found again: "), F.col("file")))))
+    parts = rest.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "raw"))).alias("p"))
     joined = parts.select("file", F.col("owner.off").alias("off"), F.array_join(F.transform("p", lambda x: x["raw"]), VERSION).alias("value"))
-    return easy.unionByName(_contents(_parsed(joined), ["file", "off"], kind))
+    found = easy.select("file", "off", *SAID, "fault").unionByName(_contents(_parsed(joined), ["file", "off"], kind))
+    told = F.when(F.col("fault").isNotNull(), F.raise_error(F.concat("fault", F.lit(" at "), F.col("off").cast("string"), F.lit(" of "), "file"))).otherwise(F.col("payload_digest"))
+    return found.withColumn("payload_digest", told).drop("fault")
 
 
 def archive_pages(pages: DataFrame, path: str, **options) -> DataFrame:

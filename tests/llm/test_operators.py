@@ -140,6 +140,33 @@ def test_warc_ids_and_heads(spark):
     spark.createDataFrame([(record,)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(at)
     r = warc.read_warc(spark, at).first()
     assert (r.page_id, r.payload_bytes, r.payload_digest) == ("k", 7, base64.b32encode(hashlib.sha1(b"payload").digest()).decode())
+    wrong = record.replace("Content-Length: ", "WARC-Payload-Digest: sha1:AAAA\r\nContent-Length: ", 1)
+    at = common.fresh_path(spark, "w")
+    spark.createDataFrame([(wrong,)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(at)
+    with pytest.raises(Exception, match="stated digest"):
+        warc.read_warc(spark, at).collect()
+
+
+def test_warc_when_splits_move(spark, monkeypatch):
+    """Split bounds differ between the scans, as when executors come or go."""
+    rec = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    html = {i: f"{rec}{rec}{i}" if i % 3 == 0 else f"page {i} " * (i % 11) for i in range(120)}
+    pages = spark.createDataFrame([(i, "u", h) for i, h in html.items()], "page_id long, url string, html string").repartition(2)
+    sizes, plain = iter(["700b", "1100b", "2500b", "900b", "1500b", "3000b"] * 10), warc.cut
+
+    def moving(df, what="cut"):
+        out = plain(df, what)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    monkeypatch.setattr(warc, "cut", moving)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.archive_pages(pages, common.fresh_path(spark, "w")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {i: (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, h in html.items()}
 
 
 # ---- 3 ----
