@@ -1,13 +1,18 @@
 """Chains of predicates and auxiliaries written without spaces, as paths over the segments of a text.
 
 Segments are distinct texts, analysed once however many texts hold them. An edge is a predicate reading of
-a segment. All edges of a text meet in one task, which enumerates the paths from the right, link by link,
-without any cutoff; texts are dealt to groups by hash, so no group grows with the corpus."""
+a segment at a place of a text. The edges of a text are a packed forest: each edge knows the edges that it may follow
+and how many chains end in it, so that no dead end is walked, and chains are written out one by one without any cutoff.
+
+Edges are sorted by text within their partition and read as a stream: a task holds the edges of one text and a bounded
+batch of chains, however many texts it has."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +24,11 @@ from ..rules import endings as E
 from ..rules.followers import before_particle, before_particle_column
 from .predicates import LEMMA, MORPH
 
-#: No auxiliary with all markers, its longest ending and a contracted negation is longer: 5 + 2 * (7 * 3) + 6 and a syllable for 잖, with particles.
-TAIL_CHARS = 64
+#: Characters of a later predicate before its markers (안 and the longest stem) and after them (the longest ending, with a particle).
+HEAD_CHARS = 1 + max(map(len, [*A.auxiliary_stems(), "되", "말"]))
+ENDING_CHARS = 1 + max(len(r[0]) for r in E.ending_rows())
+#: Morphemes of the chains that are written out together.
+BATCH_MORPHEMES = 200_000
 #: Particles that a connective may carry before the next predicate.
 INNER = ("들", "도", "만", "는", "야", "나", "가", "를", "로")
 _ALLOWED = set(A.link_rows())
@@ -29,17 +37,29 @@ READING = f"text string, stem string, form string, connector boolean, copula_onl
 COLUMNS = [c.split()[0] for c in READING.split(", ")]
 
 
+def marker_class() -> str:
+    """A regular expression for the syllables that can stand between the stem and the ending of one predicate: those of markers, with
+    whatever final consonant the next marker or the ending gives them; those in 었 as it is written on a vowel; and shortened negations with their clauses."""
+    own = {H.split_char(c)[:2] for row in E.MARKERS for c in row[1]} | {H.split_char(c)[:2] for c in "지하"}
+    blocks = [chr(0xAC00 + (i * 21 + v) * 28) + "-" + chr(0xAC00 + (i * 21 + v) * 28 + 27) for i, v in sorted(own)]
+    past = [chr(0xAC00 + k * 28 + 20) for k in range(19 * 21)]
+    return f"[{''.join(blocks)}{''.join(past)}잖찮]"
+
+
 def segments(texts: DataFrame, text: str = "text") -> DataFrame:
     """text, start, stop, n and segment for each part that a chain could use.
 
-    A part after the first starts with the initial of an auxiliary, of 말다 or of 되다; a first part may be any prefix before such a place."""
+    A part after the first starts with the initial of an auxiliary, of 말다 or of 되다, and between its head and its ending it has nothing but
+    syllables of markers, so that it may be of any length; a first part may be any prefix before such a place."""
     initials = sorted({H.split_char(s[0])[0] for s in [*A.auxiliary_stems(), "되", "말", "안"]})
     w, n = F.col(text), F.char_length(text)
     ok = texts.where(H.has_hangul(w) & (n > 1))
     starts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: H.initial(H.index(F.substring(w, i + 1, F.lit(1)))).isin(*initials))
     df = ok.select(w.alias("text"), n.alias("n"), starts.alias("starts")).where(F.size("starts") > 0)
     df = df.select("text", "n", "starts", F.explode(F.array_append("starts", F.lit(0))).alias("start"))
-    ends = F.filter(F.array_append("starts", F.col("n")), lambda j: (j > F.col("start")) & ((F.col("start") == 0) | (j <= F.col("start") + TAIL_CHARS)) & ((F.col("start") > 0) | (j < F.col("n"))))
+    marked = F.char_length(F.regexp_extract(F.substring("text", F.col("start") + 1 + HEAD_CHARS, F.col("n")), f"^{marker_class()}*", 0))
+    df = df.withColumn("reach", F.col("start") + HEAD_CHARS + ENDING_CHARS + F.when(F.col("start") > 0, marked).otherwise(0))
+    ends = F.filter(F.array_append("starts", F.col("n")), lambda j: (j > F.col("start")) & ((F.col("start") == 0) | (j <= F.col("reach"))) & ((F.col("start") > 0) | (j < F.col("n"))))
     df = df.select("text", "n", "start", F.explode(ends).alias("stop"))
     return df.select("text", "n", "start", "stop", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")).alias("segment"))
 
@@ -184,49 +204,102 @@ def link(left: Piece, right: Piece, branch: str | None) -> tuple[str, list[str]]
     return ("Auxiliary", ["auxiliary"]) if not right.leading and _auxiliary(left, right) else None
 
 
-def paths(n: int, bases: dict[int, list[Piece]], tails: dict[int, list[tuple[int, Piece]]]) -> Iterator[list[Piece]]:
-    """All chains of two pieces or more over a text of n characters: bases by where they stop, tails by where they stop, with their start."""
-    todo: list[tuple[int, tuple[Piece, ...]]] = [(n, ())]
-    while todo:
-        stop, path = todo.pop()
-        branch = path[-1].morphs[-1][0] if path and path[-1].morphs[-1][1] == "Ending" else None
-        if path:
-            for base in bases.get(stop, ()):
-                if base.connector and link(base, path[0], branch):
-                    yield [base, *path]
-        for start, tail in tails.get(stop, ()):
-            if (tail.connector and link(tail, path[0], branch)) if path else tail.morphs[-1][1] == "Ending":
-                todo.append((start, (tail, *path)))
+Link = tuple[str, list[str]]
+
+
+class Forest:
+    """The packed chains over a text of n characters. edges: (start, stop, piece); those at 0 are bases.
+
+    A node is an edge under the last form of its chain, which decides on the branches of 말다; left has, for each node,
+    the nodes that it may follow with the link, and count the chains that end in it."""
+
+    def __init__(self, n: int, edges: list[tuple[int, int, Piece]]) -> None:
+        self.edges = edges
+        by_stop: dict[int, list[int]] = defaultdict(list)
+        for k, (_, stop, piece) in enumerate(edges):
+            if piece.connector:
+                by_stop[stop].append(k)
+        last = lambda piece: piece.morphs[-1]
+        self.roots = [(k, last(p)[0]) for k, (start, stop, p) in enumerate(edges) if stop == n and start and last(p)[1] == "Ending"]
+        self.left: dict[tuple[int, str], list[tuple[tuple[int, str], Link]]] = {}
+        todo = list(self.roots)
+        while todo:
+            node = todo.pop()
+            if node in self.left:
+                continue
+            k, branch = node
+            start, _, piece = edges[k]
+            found = self.left[node] = [((j, branch), how) for j in by_stop[start] if (how := link(edges[j][2], piece, branch))] if start else []
+            todo += [other for other, _ in found if other not in self.left]
+        self.count: dict[tuple[int, str], int] = {}
+        for node in sorted(self.left, key=lambda x: edges[x[0]][0]):  # what a node follows starts before it
+            self.count[node] = sum(self.count[other] for other, _ in self.left[node]) if edges[node[0]][0] else 1
+        for node, found in self.left.items():
+            self.left[node] = [x for x in found if self.count[x[0]]]
+
+    def size(self) -> int:
+        """The number of chains of two pieces or more."""
+        return sum(self.count[r] for r in self.roots)
+
+    def chains(self) -> Iterator[tuple[list[Piece], list[Link]]]:
+        """Each chain, its pieces and the links between them."""
+        todo: list[tuple] = [(root, None) for root in self.roots if self.count[root]]
+        while todo:
+            node, rest = todo.pop()
+            if not self.edges[node[0]][0]:
+                pieces, links = [self.edges[node[0]][2]], []
+                while rest is not None:
+                    right, how, rest = rest
+                    pieces.append(self.edges[right][2])
+                    links.append(how)
+                yield pieces, links
+            else:
+                todo += [(other, (node[0], how, rest)) for other, how in self.left[node]]
 
 
-def joined(path: list[Piece]) -> tuple:
+def joined(pieces: list[Piece], links: list[Link]) -> tuple:
     """A chain as one reading: stem, form, connector, copula_only, ha, dap, morphemes, following, rules, spellings."""
-    base, last = path[0], path[-1].morphs[-1][0]
+    base, last = pieces[0], pieces[-1].morphs[-1][0]
     morphs, following, rules, spellings = list(base.morphs), list(base.following), set(base.rules), list(base.spellings)
-    for left, right in zip(path, path[1:], strict=False):
-        role, why = link(left, right, last)
+    for left, right, (role, why) in zip(pieces, pieces[1:], links, strict=False):
         rules |= right.rules | set(why) | ({"auxiliary"} if role == "Auxiliary" else set()) | ({"auxiliary.internal_particle"} if left.morphs[-1][1] == "Particle" else set())
         following += [*([("안", "Adverbial")] if right.leading else []), (right.stem + "다", role), *right.following]
         morphs += right.morphs
         spellings += right.spellings
     pair = lambda xs, a: [{a: x, "kind": k} for x, k in xs]
-    return base.stem, last, path[-1].connector, base.copula_only, base.ha, base.dap, pair(morphs, "form"), pair(following, "text"), sorted(rules), spellings
+    return base.stem, last, pieces[-1].connector, base.copula_only, base.ha, base.dap, pair(morphs, "form"), pair(following, "text"), sorted(rules), spellings
 
 
-def _enumerate(kind: pa.Schema):  # noqa: ANN202
-    def run(_: tuple, t: pa.Table) -> pa.Table:
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, tuple[int, int, Piece]]]:
+    """The edges in their order, each distinct reading as one object for a batch."""
+    for b in batches:
+        made: dict[str, Piece] = {}
+        columns = {c: b.column(c) for c in b.schema.names}
+        places = [columns[c].to_pylist() for c in ("text", "n", "start", "stop", "reading")]
+        body = [c for c in columns if c not in ("text", "n", "start", "stop", "reading")]
+        for k, (text, n, start, stop, reading) in enumerate(zip(*places, strict=True)):
+            if (piece := made.get(reading)) is None:
+                r = {c: columns[c][k].as_py() for c in body}
+                piece = made[reading] = Piece(r["stem"], r["connector"], r["copula_only"], r["ha"], r["dap"], [(m["form"], m["kind"]) for m in r["morphemes"]], [(x["text"], x["kind"]) for x in r["following"]], frozenset(r["rules"]), r["spellings"], r["leading"])
+            yield text, n, (start, stop, piece)
+
+
+def _write_out(schema: pa.Schema):  # noqa: ANN202
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        by: dict[str, tuple[int, dict, dict]] = {}
-        for r in t.to_pylist():
-            p = Piece(r["stem"], r["connector"], r["copula_only"], r["ha"], r["dap"], [(m["form"], m["kind"]) for m in r["morphemes"]], [(x["text"], x["kind"]) for x in r["following"]], frozenset(r["rules"]), r["spellings"], r["leading"])
-            n, bases, tails = by.setdefault(r["text"], (r["n"], {}, {}))
-            if r["start"]:
-                tails.setdefault(r["stop"], []).append((r["start"], p))
-            else:
-                bases.setdefault(r["stop"], []).append(p)
-        for text, (n, bases, tails) in by.items():
-            rows += [(text, *joined(path)) for path in paths(n, bases, tails)]
-        return pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind) if rows else kind.empty_table()
+        size = 0
+        for (text, n), own in groupby(_edges(batches), lambda x: x[:2]):
+            for pieces, links in Forest(n, [e for _, _, e in own]).chains():
+                rows.append((text, *joined(pieces, links)))
+                size += len(rows[-1][7])
+                if size >= BATCH_MORPHEMES or len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch(rows)
 
     return run
 
@@ -246,8 +319,8 @@ def chains(parts: DataFrame, readings: DataFrame) -> DataFrame:
     edge = plain.unionByName(bridge)
     tail = (F.col("start") > 0) & (F.col("leading") | F.col("stem").isin("되", "말", *_STEMS)) & F.when(end, closed).otherwise(F.col("connector"))
     edge = edge.where(((F.col("start") == 0) & F.col("connector")) | tail)
-    width = F.pmod(F.xxhash64("text"), F.lit(8 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Texts without a last edge have no chain.
     open_ = edge.where(end).select("text").distinct()
     schema = parts.sparkSession.createDataFrame([], READING).schema
-    return edge.join(open_, "text", "left_semi").groupBy(width.alias("deal")).applyInArrow(_enumerate(to_arrow_schema(schema)), schema)
+    told = edge.withColumn("reading", F.concat_ws(":", F.xxhash64(*body, "leading"), F.hash(*body, "leading"))).join(open_, "text", "left_semi")
+    return told.repartition("text").sortWithinPartitions("text").mapInArrow(_write_out(to_arrow_schema(schema)), schema)
