@@ -6,10 +6,16 @@ have their own."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from ..rules import auxiliaries as A
 from ..rules import endings as E
+from ..rules import once_each
 
 Pair = tuple[str, str]
 
@@ -141,3 +147,115 @@ def classes_allow(lemmas: list[Pair], morphemes: list[Pair], rules: list[str], f
         own.kind = kind
         before = own
     return extra
+
+
+# ---- the same scan over columns ------------------------------------------------------------------
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+@once_each
+def _tables() -> dict[str, Column]:
+    """The transition tables as constants: classes by stem, by stem and connector, and what endings refuse."""
+    refused = {form: [{"kinds": k, "bare": b, "whole": [x for x in but if x[0] != "*"], "tails": [x[1:] for x in but if x[0] == "*"], "stative": s} for k, b, but, s in rows] for form, rows in _REFUSED.items()}
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x, ensure_ascii=False)), kind)
+    return {
+        "class": constant(_CLASS, "map<string,string>"),
+        "joined": constant({f"{s} {c}": k for (s, c), k in _BY_CONNECTOR.items()}, "map<string,string>"),
+        "refused": constant(refused, "map<string,array<struct<kinds:string,bare:boolean,whole:array<string>,tails:array<string>,stative:boolean>>>"),
+        "derived": constant({r: {"suffix": s, "kind": k} for r, (s, k) in _DERIVED.items()}, "map<string,struct<suffix:string,kind:string>>"),
+    }
+
+
+_STATE = {"at": "int", "kind": "string", "connector": "string", "stative": "boolean", "nominal": "boolean", "copula": "boolean", "marked": "boolean", "past": "boolean", "ok": "boolean", "intends": "boolean"}
+
+
+def _state(**values: Column) -> Column:
+    return F.struct(*[values[k].cast(t).alias(k) for k, t in _STATE.items()])
+
+
+def class_scan() -> Column:
+    """classes_allow() without further knowledge, over the columns lemmas, morphemes and rules: a fold over the lemmas whose state is what is
+    known of the last predicate and the morphemes that are used up. Its fields ok and intends say whether the analysis stands, and whether it
+    gains the rule of a relational copula with an intention."""
+    t, morphs, held = _tables(), F.col("morphemes"), F.col("rules")
+    has = lambda rule: F.array_contains(held, rule)
+    yes, no = F.lit(True), F.lit(False)
+    sure = lambda c: F.coalesce(c, no)
+    form_at = lambda k: F.get(morphs, k)["form"]
+    kind_at = lambda k: F.get(morphs, k)["kind"]
+    letters = F.array_join(F.transform(morphs, lambda m: F.when(m["kind"] == "Ending", "E").when(m["kind"] == "Prefinal", "P").when(m["kind"] == "Particle", "Q").otherwise("S")), "")
+    items = F.transform("lemmas", lambda x, i: F.struct(x["text"].alias("text"), x["kind"].alias("role"), F.get("lemmas", i + 1)["text"].alias("next"), sure((F.get("lemmas", i - 1)["text"] == "잘") & (F.get("lemmas", i - 1)["kind"] == "Adverbial")).alias("well")))
+    row = F.struct(
+        letters.alias("letters"), F.array_distinct(F.filter(F.transform(held, lambda r: F.try_element_at(t["derived"], r)), lambda d: d.isNotNull())).alias("derived"),
+        has("compound.predicate.well_doeda").alias("well"), has("doeda.negative_bridge").alias("bridge"), has("lexical.doeda.complement").alias("complement"), has("lexical.doeda.extended").alias("extended"),
+    )
+
+    def step(const: Column, s: Column, x: Column) -> Column:
+        run = lambda at, letter: F.length(F.regexp_extract(F.substring(const["letters"], at + 1, F.length(const["letters"])), f"^{letter}*", 0))
+        auxiliary, text, connector, kind = x["role"] == "Auxiliary", x["text"], F.coalesce(s["connector"], F.lit("")), F.coalesce(s["kind"], F.lit(""))
+        stem = F.regexp_replace(text, "다$", "")
+        first = F.instr(F.substring(const["letters"], s["at"] + 1, F.length(const["letters"])), "E") + s["at"]  # of the next ending, from 1
+        finite = stem.isin("하", "들") & (first > s["at"]) & sure(form_at(first - 1).isin("는다", "다", "어요", "습니다") | ((form_at(first - 1) == "어") & (form_at(first) == "요") & (kind_at(first) == "Particle")))
+        intends = auxiliary & (connector == "으려고") & finite
+        barred = (
+            ((text == "하다") & (connector == "게끔") & s["past"])
+            | (intends & (s["marked"] | ((kind == "C") & ~s["copula"])))
+            | (text.isin("있다", "계시다") & connector.isin("어", "고") & kind.isin("A", "C"))
+            | ((text == "대다") & (connector == "어") & kind.isin("A", "C"))
+            | ((text == "하다") & (connector == "어") & kind.isin("V", "C"))
+        )
+        suffix = F.when(kind_at(s["at"]) == "Suffix", form_at(s["at"]))
+        fits = lambda d: sure((d["suffix"] == suffix) | (suffix.isin("화", "시") & (form_at(s["at"] + 1) == d["suffix"]) & (kind_at(s["at"] + 1) == "Suffix")))
+        formed = F.array_distinct(F.transform(F.filter(const["derived"], fits), lambda d: d["kind"]))
+        doeda = (x["role"] == "Predicate") & (text == "되다") & ((connector.isin("게", "게끔") & const["complement"]) | (connector.isin("도록", "기", "어야", "으면", "어도", "어", "어서", "어서는") & const["extended"]))
+        by_stem = F.coalesce(F.try_element_at(t["joined"], F.concat(stem, F.lit(" "), connector)), F.when(stem.isin(*_INHERITING), s["kind"]).otherwise(F.try_element_at(t["class"], stem)))
+        own = F.when(auxiliary, by_stem).when(x["role"] == "Copula", "C").when(doeda | (x["well"] & const["well"]), "V")
+        before = F.struct(F.when(F.size(formed) == 1, F.get(formed, F.lit(0))).alias("formation"), own.alias("own"), run(s["at"], "S").alias("n"), (auxiliary & barred).alias("barred"), (intends & (kind == "C")).alias("intends"))
+
+        def suffixed(b: Column) -> Column:
+            inside = F.slice(morphs, s["at"] + 1, b["n"])
+            dap = F.exists(inside, lambda m: m["form"] == "답다")
+            kind = F.coalesce(b["formation"], b["own"])
+            inflected = x["role"].isin("Predicate", "Auxiliary", "Copula") | dap | (b["formation"].isNotNull() & F.exists(inside, lambda m: m["form"].isin("되다", "하다")))
+            nominal = (x["role"] == "Nominal") & F.when(b["n"] > 0, form_at(s["at"] + b["n"] - 1) == "적").otherwise((F.char_length(text) > 1) & text.endswith("적"))
+            found = F.struct(
+                b["formation"].alias("formation"), b["barred"].alias("barred"), b["intends"].alias("intends"), F.when(dap, "A").otherwise(kind).alias("kind"), inflected.alias("inflected"), sure(nominal).alias("nominal"),
+                sure((kind == "C") & (((x["role"] == "Copula") & s["nominal"]) | (auxiliary & s["copula"]))).alias("copula"),
+                (auxiliary & (text.isin("있다", "계시다") | (text.isin(*_NEGATIVE) & s["stative"]))).alias("stative"),
+                (s["at"] + b["n"]).alias("at"), F.when(inflected, run(s["at"] + b["n"], "P")).otherwise(0).alias("n"),
+            )
+            return _let(found, ended)
+
+        def ended(b: Column) -> Column:
+            markers, end = F.slice(morphs, b["at"] + 1, b["n"]), b["at"] + b["n"]
+            closes = b["inflected"] & sure(kind_at(end) == "Ending")
+            form, bare = form_at(end), b["inflected"] & (b["n"] == 0)
+            iss = bare & auxiliary & (text == "있다")
+            excepted = lambda r: F.array_contains(r["whole"], text) | F.exists(r["tails"], lambda x: text.endswith(x))
+            refuses = lambda r: sure((F.instr(r["kinds"], b["kind"]) > 0) & (bare | ~r["bare"]) & ~excepted(r) & ~(r["stative"] & F.when(form == "구먼", iss).otherwise(b["stative"])))
+            refused = (iss & form.isin(*_PRESENT, *_EXCLAIM)) | (bare & (form == "는") & sure(b["formation"] == "A")) | sure(F.exists(F.try_element_at(t["refused"], form), refuses))
+            past = end + F.when(closes, 1).otherwise(0)
+            particles = run(past, "Q")
+            return _state(
+                at=past + particles, kind=b["kind"], connector=F.when(closes, form), stative=b["stative"], nominal=b["nominal"] & (particles == 0), copula=b["copula"], marked=F.exists(markers, lambda m: ~m["form"].isin(*E.HONORIFIC)),
+                past=F.exists(markers, lambda m: m["form"] == "었"), ok=s["ok"] & ~b["barred"] & ~sure(closes & refused), intends=s["intends"] | b["intends"],
+            )
+
+        passes = (x["role"] == "Adverbial") & sure(x["next"] == "되다") & (((text == "잘") & const["well"]) | ((text == "안") & const["bridge"]))
+        return F.when(passes | ~s["ok"], s).otherwise(_let(before, suffixed))
+
+    none = F.lit(None)
+    start = _state(at=F.lit(0), kind=none, connector=none, stative=no, nominal=no, copula=no, marked=no, past=no, ok=yes, intends=no)
+    return _let(row, lambda const: F.when((F.size(const["derived"]) > 0) | F.exists("lemmas", lambda x: x["kind"] == "Auxiliary") | const["complement"] | const["extended"] | const["well"], F.aggregate(items, start, lambda s, x: step(const, s, x))).otherwise(start))
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """Analyses (lemmas, morphemes, rules) without those in which an ending or auxiliary conflicts with a known class."""
+    looked = F.exists("lemmas", lambda x: x["kind"] == "Auxiliary") | F.exists("rules", lambda r: r.startswith("suffix.") | (r == "compound.predicate.well_doeda"))
+    scan = df.where(looked).withColumn("__scan", class_scan()).where("__scan.ok")
+    rules = F.array_sort(F.array_distinct(F.when(F.col("__scan.intends"), F.array_append("rules", F.lit("copula.intention_relational"))).otherwise(F.col("rules"))))
+    return df.where(~looked).unionByName(scan.withColumn("rules", rules).drop("__scan"))

@@ -189,24 +189,6 @@ def _batch(rows: list[tuple[dict, Analysis]], schema: pa.Schema) -> pa.RecordBat
     return pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """Analyses (lemmas, morphemes, rules) without those in which an ending or auxiliary conflicts with a known class. Only those with an auxiliary or a formation are looked at."""
-    schema = df.schema
-    looked = F.exists("lemmas", lambda x: x["kind"] == "Auxiliary") | F.exists("rules", lambda r: r.startswith("suffix.") | (r == "compound.predicate.well_doeda"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                a = (_pairs(r["lemmas"], "text"), _pairs(r["morphemes"], "form"), r["rules"])
-                if (more := classes_allow(*a)) is not None:
-                    rows.append((r, (a[0], a[1], [*a[2], *more])))
-            if rows:
-                yield _batch(rows, b.schema)
-
-    return df.where(~looked).unionByName(df.where(looked).mapInArrow(run, schema))
-
-
 def projected(df: DataFrame, formations: list[tuple[str, str, str, str, str, str]]) -> DataFrame:
     """df and the second readings of its analyses."""
     schema = df.schema

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import hangul as H
 from ..functions.tokens import nfc, normalized, tokenize, word_errors
 from ..operators.chart import COLUMNS, chains, inner_variants, segments, with_particles
+from ..operators.classes import checked
 from ..operators.merge import merge
 from ..operators.nominals import adverb_bases, assumed, empty, nominal_bases, particle_morphs, peel_particles, phrases, pronoun_readings, split_bundles
 from ..operators.predicates import LEMMA, MORPH, lemma, morph, predicates
-from ..operators.projections import checked, projected
+from ..operators.projections import projected
 from ..rules import derivations as D
 from ..rules import endings as E
 from ..rules import particles as P

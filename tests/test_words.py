@@ -136,9 +136,9 @@ def test_every_rule_is_explained(analyses):
 def test_counts_of_repeated_syllables(spark):
     from lemmaweave.plans.analyze import analyze_words
 
-    words = spark.createDataFrame([("가" * n,) for n in (2, 8, 64)], "text string")
+    words = spark.createDataFrame([("가" * n,) for n in (2, 8, 64, 1024)], "text string")
     got = {r.word: r["count"] for r in analyze_words(words).groupBy("word").count().collect()}
-    assert got == {"가" * n: 2 * n + 1 for n in (2, 8, 64)}
+    assert got == {"가" * n: 2 * n + 1 for n in (2, 8, 64, 1024)}
 
 
 def test_forbidden_readings(groups):
@@ -195,3 +195,32 @@ def test_assessment_by_spelling(spark):
     a = analyze_words(spark.createDataFrame([("도와서",), ("이워서",), ("입어서",)], "text string"))
     got = {(r.word, r.lemmas[0].text): r.status for r in assess(a, d, shown).where("all_listed and not unchanged").collect()}
     assert got == {("도와서", "돕다"): "compatible", ("이워서", "입다"): "incompatible", ("입어서", "입다"): "compatible"}
+
+
+def test_forest_counts_and_writes_every_chain():
+    """Counts agree with the chains that are written, and dead ends are not walked."""
+    from lemmaweave.operators.chart import Forest, Piece, joined
+
+    piece = lambda stem, form, connector: Piece(stem, connector, False, False, False, [(form, "Ending")], [], frozenset([stem]), [])
+    n = 40
+    edges = [(0, k, piece("막", "어", True)) for k in range(1, n, 3)]
+    edges += [(a, b, piece("보", "어", True)) for a in range(1, n) for b in (a + 1, a + 2) if b <= n]
+    edges += [(a, a + 5, piece("보", "자고", True)) for a in range(1, n - 5)]  # nothing may follow it
+    forest = Forest(n, edges)
+
+    ways = {k: int(k % 3 == 1 and k < n) for k in range(n + 1)}  # chains up to a place, by hand
+    for k in range(2, n + 1):
+        ways[k] += sum(ways[k - d] for d in (1, 2) if k - d >= 1)
+    assert forest.size() == ways[n]
+    small = Forest(12, [e for e in edges if e[1] <= 12])
+    out = [joined(pieces, links) for pieces, links in small.chains()]
+    assert len(out) == small.size() and all(r[0] == "막" and {x["text"] for x in r[7]} == {"보다"} for r in out)
+
+
+def test_segments_of_any_length(spark):
+    """A later predicate with more than 64 characters of markers is a segment, one of other syllables is not."""
+    from lemmaweave.operators.chart import segments
+
+    long, other = "가" + "보" + "시었겠더" * 25 + "다", "가" + "보" + "나무구름" * 25 + "다"
+    got = {(r.text, r.start, r.stop) for r in segments(spark.createDataFrame([(long,), (other,)], "text string")).collect()}
+    assert (long, 1, len(long)) in got and (other, 1, len(other)) not in got and (other, 0, 1) in got
