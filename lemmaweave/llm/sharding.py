@@ -4,7 +4,8 @@ Links are kept as membership of groups (here: equal texts), never as pairs. Shar
 each round, a group's votes are its members' counts by shard; a member wants the shard with the most votes
 of its groups (ties: the first in an order of the group that turns with the rounds). A quota bounds each flow between two shards: as many
 as come the other way, and beyond that what the capacity of the shard leaves free; a histogram of hash buckets decides who moves, so that no
-task sees all movers. Rounds end when nobody has moved for three, or after ROUNDS.
+task sees all movers. Rounds go on while the number of linked pairs that share a shard grows, and end when it has not for TURNS rounds, so that each
+order of ties has had its turn; the best labels are kept. That number is whole and bounded, so the rounds end by themselves.
 
 Law `rows`: shard counts are at most one apart. Documents are ranked within their shards, grouped ones
 first; the ranks beyond the shard's share fill the free places of other shards in order. So groups are cut
@@ -18,13 +19,16 @@ repeated rows are documents of their own; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, hot_keys, look_up
 
 SHARDS = 8
-ROUNDS = 9
+#: Rounds without a gain after which propagation ends.
+TURNS = 4
 #: Hash buckets of a shard's movers and of its ranks.
 FINE = 1024
 
@@ -52,15 +56,23 @@ def _quotas(wish: list[list[int]], room: list[int]) -> list[list[int]]:
     return out
 
 
-def propagate(nodes: DataFrame, links: DataFrame, capacity: int, *, hot: list[int] | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, capacity: int, *, hot: list[int] | None = None, shards: int = SHARDS) -> DataFrame:
     """nodes (node, shard) after balanced label propagation over links (node, hub)."""
-    idle = 0
-    for step in range(rounds):
+    best, top, idle = nodes, -1, 0
+    for step in count():
         held = _totals(nodes, shards)
         room = [max(0, capacity - n) for n in held]
         votes = links.join(nodes, "node").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         # Every third round leaves out full shards, so that what they cannot hold of a large group gathers elsewhere.
         wish = votes.groupBy("hub").agg(*[F.coalesce(F.sum(F.when(F.col("shard") == s, F.col("n"))), F.lit(0)).alias(f"v{s}") for s in range(shards)])
+        wish = cut(wish, "votes")
+        together = wish.agg(F.sum(sum(F.col(f"v{s}").cast("decimal(38,0)") * F.col(f"v{s}") for s in range(shards)))).first()[0] or 0
+        if together > top:
+            if best is not nodes:
+                drop_cut(best)
+            best, top, idle = nodes, together, 0
+        elif (idle := idle + 1) == TURNS:
+            break
         mine = look_up(links, wish, "hub", hot or [])
         near = mine.groupBy("node").agg(*[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)], F.min("hub").alias("hub"))
         here = near.join(nodes, "node")
@@ -78,14 +90,12 @@ def propagate(nodes: DataFrame, links: DataFrame, capacity: int, *, hot: list[in
             last[p] = f
         moved = movers.where(F.col("fine") <= F.get(_array(last), pair)).select("node", "to")
         after = cut(nodes.join(moved, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), "labels")
-        n = moved.count()
         drop_cut(movers)
-        drop_cut(nodes)
+        drop_cut(wish)
+        if nodes is not best:
+            drop_cut(nodes)
         nodes = after
-        idle = 0 if n else idle + 1
-        if idle == 3:
-            break
-    return nodes
+    return best
 
 
 def _ranked(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
