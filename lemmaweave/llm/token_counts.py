@@ -5,8 +5,9 @@ SHA-256 of the tokenizer's file, and the count. Texts are joined to it by their
 that it lacks are encoded, and their counts are appended before the join is repeated. The normal form is the
 text's UTF-8 bytes, null as empty: the tokenizers in question tell any two different byte strings apart.
 
-The one wide step that moves texts sends the missing ones only, keyed by (document, digest), so a text with many
-copies travels as one row of many keys; no key is hot.
+The digests that the cache lacks are found first, without texts, and written, so that Spark knows their size: without any, no text is read again; while they fit a
+broadcast, the texts stay where they are and only the missing ones go on; beyond that, texts are dealt by (document, digest), behind Spark's runtime filter, which
+drops most of the known ones where the missing are few. One document stands for each digest and its id is part of the key, so a text with many copies is no hot key.
 
 Defined cases: null or empty text has 0 tokens; repeated rows and rows that share an id are each counted;
 an empty table gives no rows and leaves the cache as it is; other columns are ignored.
@@ -61,11 +62,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, doc_id: str = "
     # One document stands for each digest: its id is part of the key, so that the text join has no hot key.
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     digests = cut(rows.groupBy("content").agg(F.min(who).alias("who"), F.count(F.lit(1)).alias("n")), "digests")
-    missing = digests.select("content", "who").join(known.select("content"), "content", "left_anti")
-    texts = rows.withColumn("who", who).join(missing, ["content", "who"], "left_semi")
-    # Rows that repeat with the same id and text are encoded alike; one count of each digest is stored.
-    fresh = encode_counts(texts, tokenizer).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    missing = cut(digests.select("content", "who").join(known.select("content"), "content", "left_anti"), "missing")
+    if not missing.isEmpty():
+        texts = rows.withColumn("who", who).join(missing, ["content", "who"], "left_semi")
+        # Rows that repeat with the same id and text are encoded alike; one count of each digest is stored.
+        fresh = encode_counts(texts, tokenizer).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = _cached(docs, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     hot = hot_keys(digests, "content", "n", digests.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     out = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
