@@ -240,7 +240,7 @@ class Page:
                 role, words = self.names[k]
                 title = inside[k] and k in headed and not (words & _WORDS) - _HEADERS and (tag == "header" or tag not in _PARTS) and role not in _ROLES - _HEADERS
                 gone[k] = not title
-        return " ".join("".join(t for n, t in self.texts if inside[n] and not gone[n]).split()), deleted
+        return " ".join("".join(t for n, t in self.texts if t == " " or (inside[n] and not gone[n])).split()), deleted
 
 
 def _host() -> Column:

@@ -211,6 +211,6 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
     return out
 
 
-def search_documents(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def search_documents(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, **options) -> DataFrame:
     """search over a fresh index of docs."""
-    return search(build_index(docs, doc_id=doc_id, text=text), items, **options)
+    return search(build_index(docs, doc_id=doc_id, text=text, shard_bytes=shard_bytes), items, **options)
