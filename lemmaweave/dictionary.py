@@ -8,7 +8,6 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Parts of speech of the dictionary, by the lemma kinds that they fit.
 ACCEPTED = {
@@ -93,12 +92,17 @@ def annotate(analyses: DataFrame, dictionary: Dictionary) -> DataFrame:
     return keyed.join(by, ["word", "__a"], "left").drop("__a").withColumn("status", all_status(F.coalesce("lemma_status", none)))
 
 
-def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | None = None) -> DataFrame:
-    """annotate(), with a status that also asks what each entry says of the reading, and conflicts: entries with the reason.
+def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | None = None, origins: DataFrame | None = None) -> DataFrame:
+    """annotate(), with a status that also asks what each entry says of the reading, conflicts: (lemma, entry_id, rule, morpheme), the place of the
+    part that an entry refuses, and, with origins, identities: (lemma, entry_id, relation, morpheme, expected).
 
     An entry's part of speech gives its predicate a class, with which the endings and auxiliaries of the reading must
-    agree (see rules.attachment). evidence (stem and class, see spelling_evidence): paradigms that written forms show; a reading that needs
-    another one is refused, and one without evidence is left open. Alternatives are folded by entry, then parts by reading."""
+    agree (see operators.assessment). In order: an auxiliary entry of the first predicate of a word is open, as what it depends on stands outside; roles;
+    conflicts of the sources; spelling; and what goes beyond the sources is open. evidence (stem and class, see spelling_evidence): paradigms that
+    written forms show; a reading that needs another one is refused, and one without evidence is left open. origins (base, suffix, expected, complete): see
+    operators.assessment.identities. Alternatives are folded by entry, then parts by reading."""
+    from .operators.assessment import identities, judged
+
     known = annotate(analyses, dictionary)
     key = F.xxhash64("word", F.col("lemmas").cast("string"), F.col("morphemes").cast("string"), "unchanged")
     keyed = known.withColumn("__a", key)
@@ -106,38 +110,36 @@ def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | No
     m = lemma_matches(analyses.where("not unchanged"), dictionary).select("word", F.col("lemma_text"), F.col("lemma_kind"), "entry_id", "pos", "pos_compatibility")
     rows = parts.join(m, (parts["word"] == m["word"]) & (F.col("l.text") == F.col("lemma_text")) & (F.col("l.kind") == F.col("lemma_kind"))).drop(m["word"])
     classes = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
-    rows = rows.withColumn("class", F.try_element_at(classes, F.col("pos")))
-    judged = rows.withColumn("refused", F.when(F.col("lemma_kind").isin("Predicate", "Auxiliary"), conflict("lemmas", "morphemes", "i", "class", "entry_id")))
+    inflected = F.col("lemma_kind").isin("Predicate", "Auxiliary", "Copula")
+    rows = rows.withColumn("class", F.when(F.col("lemma_kind") == "Copula", "C").when(inflected, F.try_element_at(classes, F.col("pos"))))
+    apart = (F.col("i") == 0) & (F.col("lemma_kind") == "Predicate") & F.col("pos").startswith("보조")
+    rows = judged(rows).withColumn("pos_compatibility", F.when(apart, "unknown").otherwise(F.col("pos_compatibility")))
+    if origins is not None:
+        entries = dictionary.entries()
+        recorded = entries.select(F.col("id").alias("entry_id"), F.col("origins") if "origins" in entries.columns else F.lit(None).cast("array<string>").alias("origins")).withColumnRenamed("origins", "recorded")
+        rows = identities(rows.join(recorded, "entry_id", "left"), origins).withColumn("identity", F.when(F.col("pos") == "명사", F.col("identity")))
     if evidence is None:
-        judged = judged.withColumn("spelled", F.lit("compatible"))
+        rows = rows.withColumn("spelled", F.lit("compatible"))
     else:
         shown = evidence.groupBy(F.concat("stem", F.lit("다")).alias("lemma_text")).agg(F.collect_set("class").alias("shown"))
-        judged = judged.join(shown, "lemma_text", "left")
+        rows = rows.join(shown, "lemma_text", "left")
         meets = lambda path: F.when(F.forall(path, lambda x: F.array_contains("shown", x)), "compatible").otherwise("incompatible")
         own = F.when((F.col("i") > 0) | (F.size("spelling_paths") == 0), "compatible").when(F.col("shown").isNull(), "unknown").otherwise(any_status(F.transform("spelling_paths", meets)))
-        judged = judged.withColumn("spelled", own)
-    status = all_status(F.array("pos_compatibility", F.when(F.col("refused").isNull(), "compatible").otherwise("incompatible"), "spelled"))
-    reason = F.when(F.col("refused").isNotNull(), F.struct(F.col("entry_id").alias("entry_id"), F.col("refused").alias("rule"))).when(F.col("spelled") == "incompatible", F.struct(F.col("entry_id").alias("entry_id"), F.lit("LexicalSpelling").alias("rule")))
-    by_lemma = judged.groupBy("__a", "i").agg(any_status(F.collect_set(status)).alias("s"), F.collect_set(reason).alias("c"))
-    by = by_lemma.groupBy("__a").agg(F.collect_list("s").alias("s"), F.flatten(F.collect_list("c")).alias("conflicts"))
+        rows = rows.withColumn("spelled", own)
+    refused = F.col("conflict").isNotNull()
+    status = all_status(F.array("pos_compatibility", F.when(refused, "incompatible").when(F.col("open"), "unknown").otherwise("compatible"), "spelled"))
+    of = lambda rule, place: F.struct(F.col("i").alias("lemma"), F.col("entry_id").alias("entry_id"), rule.alias("rule"), place.cast("int").alias("morpheme"))
+    none = F.lit(None)
+    reason = F.when(F.col("pos_compatibility") == "incompatible", of(F.lit("LexicalRole"), none)).when(refused, of(F.col("conflict.rule"), F.col("conflict.morpheme"))).when(F.col("spelled") == "incompatible", of(F.lit("LexicalSpelling"), none))
+    told = [F.collect_set(reason).alias("c")]
+    if origins is not None:
+        told.append(F.collect_set(F.when(F.col("identity").isNotNull(), F.struct(F.col("i").alias("lemma"), F.col("entry_id").alias("entry_id"), F.col("identity.relation").alias("relation"), F.col("identity.morpheme").alias("morpheme"), F.col("identity.expected").alias("expected")))).alias("d"))
+    by_lemma = rows.groupBy("__a", "i").agg(any_status(F.collect_set(status)).alias("s"), *told)
+    by = by_lemma.groupBy("__a").agg(F.collect_list("s").alias("s"), F.array_sort(F.flatten(F.collect_list("c"))).alias("conflicts"), *([F.array_sort(F.flatten(F.collect_list("d"))).alias("identities")] if origins is not None else []))
     out = keyed.join(by, "__a", "left").drop("__a")
     return out.withColumn("status", F.when(F.col("s").isNull(), F.col("status")).otherwise(all_status(F.col("s")))).drop("s")
 
 
-@F.udf(T.StringType())
-def conflict(lemmas, morphemes, i, kind, entry):  # noqa: ANN001, ANN201
-    """The attachment rule by which an entry cannot be lemma i of a reading, if any."""
-    from .operators.attachment import conflict_of
-
-    return conflict_of([(x.text, x.kind) for x in lemmas], [(x.form, x.kind) for x in morphemes], i, kind, entry)
-
-
-def origin_status(expected: Column, recorded: Column) -> Column:
-    """What the origins that an entry records say of the base that a formation presumes."""
-    none = F.size(F.coalesce(recorded, F.expr("cast(array() as array<string>)"))) == 0
-    return F.when(none, "unknown").when(F.arrays_overlap(expected, recorded), "recorded_match").otherwise("recorded_difference")
-
-
 def headword_filter(annotated: DataFrame) -> DataFrame:
     """Readings whose every lemma has an entry, whatever its part of speech."""
     return annotated.where("all_listed")

@@ -23,6 +23,9 @@ class Owner:
     ending: str | None = None
     suffixes: list[str] = field(default_factory=list)
     particles: list[str] = field(default_factory=list)
+    marker_at: list[int] = field(default_factory=list)
+    ending_at: int | None = None
+    suffix_at: list[int] = field(default_factory=list)
 
 
 def owners(lemmas: list[Pair], morphemes: list[Pair]) -> list[Owner] | None:
@@ -37,10 +40,15 @@ def owners(lemmas: list[Pair], morphemes: list[Pair]) -> list[Owner] | None:
             form, kind = morphemes[k]
             if kind == "Prefinal":
                 out[-1].markers.append(form)
+                out[-1].marker_at.append(k)
             elif kind == "Ending":
-                out[-1].ending = out[-1].ending or form
+                if out[-1].ending is None:
+                    out[-1].ending, out[-1].ending_at = form, k
+            elif kind == "Particle":
+                out[-1].particles.append(form)
             else:
-                (out[-1].particles if kind == "Particle" else out[-1].suffixes).append(form)
+                out[-1].suffixes.append(form)
+                out[-1].suffix_at.append(k)
     return out
 
 

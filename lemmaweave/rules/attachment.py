@@ -56,3 +56,33 @@ JOINS: list[tuple[str, str, str, str]] = [
 #: Entries of shortened stems: those that take consonants only, and those in ㄹ that 아/어 may not follow.
 SHORT_CONSONANT = "krdict:29738 krdict:73401 krdict:54454 krdict:41863 krdict:73124 krdict:62815 krdict:83942"
 SHORT_RIEUL = "krdict:23620 krdict:38390 krdict:15980 krdict:601166 krdict:29045"
+
+# What notes on endings leave open. Endings; the markers that their notes list (* where markers do not matter); whether a
+# particle behind them is beyond the notes; classes that the notes leave out, right after the stem only if bare, and then only for the
+# lemmas named (* stands for any beginning; none named: all); classes whose forms with nothing but 시 are beyond the notes.
+HEADS = "있다 없다 계시다"
+REPORTS = next(forms for rule, forms, *_ in RULES if rule == "BareAdjectivalReport")
+OPEN: list[tuple[str, str, bool, str, str, str, bool]] = [
+    ("거라 너라", "", False, "AC", "", "", False),
+    ("음세", "", False, "", "", "", False),
+    ("으련 으렴 으려무나", "", True, "", "", "", False),
+    ("게나 세나", "시", True, "", "AC", "", False),
+    ("으랴", "시 었 겠", False, "", "", "", False),
+    ("을라", "시 었", False, "", "", "", False),
+    ("으련만 으련마는", "시 으옵시 사옵시 자옵시 었", True, "", "", "", False),
+    ("으려니와", "시 었 겠", True, "", "", "", False),
+    (f"{E.PRESENT_EXCLAMATION} {E.COPULAR_EXCLAMATION}", "시", False, "", "", "", False),
+    ("구나 군 군요 구려 구먼 더구나 더구려 더구먼 더군 더군요 건만 건마는", "시 었 겠", False, "", "", "", False),
+    ("더구나", "*", False, "V", "", "", True),
+    (REPORTS, "시 었 겠", False, "", "V", "", False),
+    (REPORTS, "*", False, "V", "", HEADS, True),
+    ("으니라 느니라", "*", False, "V", "", HEADS, True),
+    ("구나 군 군요 구먼", "*", False, "V", "", "있다 계시다", True),
+    (E.ADJECTIVAL_QUESTION, "*", False, "V", "", HEADS, True),
+    (f"{E.ADJECTIVAL_QUESTION} {E.VERBAL_QUESTION}", "시 었 겠", False, "", "", "", False),
+    (E.VERBAL_QUESTION, "*", False, "", "AC", "", False),
+    ("라던 라더니", "시", False, "", "V", "", False),
+    ("라던데", "시 더 으리 었 겠", False, "", "V", "", False),
+    ("읍시다", "*", False, "A", "", "", False),
+    ("자는구나 자는군 자더군 자더군요", "", False, "A", "", "", False),
+]
