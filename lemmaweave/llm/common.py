@@ -266,23 +266,30 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return h, n
 
 
-def order_of(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """A stable order by h, then g: a second sort is needed only where two keys share their first half."""
+def take(g: np.ndarray | None, at: np.ndarray) -> np.ndarray | None:
+    return None if g is None else g[at]
+
+
+def order_of(h: np.ndarray, g: np.ndarray | None) -> np.ndarray:
+    """A stable order by h, then g, if any: a second sort is needed only where two keys share their first half."""
     order = np.argsort(h, kind="stable")
-    hs, gs = h[order], g[order]
-    if ((hs[1:] == hs[:-1]) & (gs[1:] != gs[:-1])).any():
-        order = np.lexsort((g, h))
+    if g is not None:
+        hs, gs = h[order], g[order]
+        if ((hs[1:] == hs[:-1]) & (gs[1:] != gs[:-1])).any():
+            order = np.lexsort((g, h))
     return order
 
 
-def leads(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+def leads(h: np.ndarray, g: np.ndarray | None) -> np.ndarray:
     """Where a new key begins in ordered keys."""
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    new[1:] = h[1:] != h[:-1]
+    if g is not None:
+        new[1:] |= g[1:] != g[:-1]
     return new
 
 
-def find(th: np.ndarray, tg: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+def find(th: np.ndarray, tg: np.ndarray | None, h: np.ndarray, g: np.ndarray | None) -> np.ndarray:
     """The place of each key (h, g) in the ordered distinct keys (th, tg), or -1."""
     out = np.full(len(h), -1)
     if not len(th):
@@ -290,9 +297,11 @@ def find(th: np.ndarray, tg: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.nda
     at = np.searchsorted(th, h)
     live = np.arange(len(h))
     while live.size:
-        inside = at[live] < len(th)
-        live = live[inside]
+        live = live[at[live] < len(th)]
         live = live[th[at[live]] == h[live]]
+        if tg is None:
+            out[live] = at[live]
+            break
         hit = tg[at[live]] == g[live]
         out[live[hit]] = at[live[hit]]
         live = live[~hit]

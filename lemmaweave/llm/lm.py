@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, find, groups_for, leads, narrow, order_of, pack, pack_checks, pack_sorted, release, rolling, small_batches, unpack, unpack_checks, unpack_sorted, word_keys
+from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, find, groups_for, leads, narrow, order_of, pack, pack_checks, pack_sorted, release, rolling, small_batches, take, unpack, unpack_checks, unpack_sorted, word_keys
 
 #: Text that is counted at once: a batch, unless it holds very long documents.
 SLICE_BYTES = 12 << 20
@@ -67,16 +67,16 @@ def _count(buckets: int):  # noqa: ANN202
                 own = np.repeat(block[first : first + len(texts)], n)
                 weight = np.repeat(train[first : first + len(texts)], n).astype(np.int64)
                 pairs = bigrams(tokens)
-                for kind, (h, g) in enumerate(((tokens, checks), (pairs, np.zeros_like(pairs)))):
+                for kind, (h, g) in enumerate(((tokens, checks), (pairs, None))):
                     order = order_of(h, g)
-                    hs, gs, os = h[order], g[order], own[order]
+                    hs, gs, os = h[order], take(g, order), own[order]
                     new = leads(hs, gs)
                     new[1:] |= os[1:] != os[:-1]
                     start = np.flatnonzero(new)
                     c = np.add.reduceat(weight[order], start)
-                    hs, gs, os = hs[start], gs[start], os[start]
+                    hs, gs, os = hs[start], take(gs, start), os[start]
                     edges = np.searchsorted(bucket_of(hs, buckets), np.arange(buckets + 1)).tolist()
-                    rows = [(kind, k, pack_sorted(hs[x:y]), b"" if kind else pack_checks(gs[x:y]), pack(os[x:y]), pack(c[x:y])) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+                    rows = [(kind, k, pack_sorted(hs[x:y]), b"" if gs is None else pack_checks(gs[x:y]), pack(os[x:y]), pack(c[x:y])) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
                     for at in range(0, len(rows), 64):
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows[at : at + 64], strict=True))], names=names)
 
@@ -87,22 +87,23 @@ def _merge(key: tuple, t: pa.Table) -> pa.Table:
     """For each block, the total counts of its n-grams that differ from its own; the statistics in a row of block -1."""
     kind = key[0].as_py()
     h = np.concatenate([unpack_sorted(x) for x in t["hashes"].to_pylist()])
-    g = np.zeros_like(h) if kind else np.concatenate([unpack_checks(x) for x in t["checks"].to_pylist()])
+    g = None if kind else np.concatenate([unpack_checks(x) for x in t["checks"].to_pylist()])
     block = np.concatenate([unpack(x) for x in t["blocks"].to_pylist()])
     c = np.concatenate([unpack(x) for x in t["counts"].to_pylist()])
     order = np.lexsort((block, h) if kind else (block, g, h))
-    h, g, block, c = h[order], g[order], block[order], c[order]
+    h, g, block, c = h[order], take(g, order), block[order], c[order]
     new = leads(h, g)
     new[1:] |= block[1:] != block[:-1]
     start = np.flatnonzero(new)
-    own, h, g, block = np.add.reduceat(c, start), h[start], g[start], block[start]
+    own, h, g, block = np.add.reduceat(c, start), h[start], take(g, start), block[start]
     start = np.flatnonzero(leads(h, g))
     totals = np.add.reduceat(own, start)
     total = np.repeat(totals, np.diff(np.r_[start, len(h)]))
     tell = total != own
-    h, g, block, total = h[tell], g[tell], block[tell], total[tell]
+    tell = np.flatnonzero(tell)
+    h, g, block, total = h[tell], take(g, tell), block[tell], total[tell]
     order = np.argsort(block, kind="stable")
-    h, g, block, total = h[order], g[order], block[order], total[order]
+    h, g, block, total = h[order], take(g, order), block[order], total[order]
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() if len(h) else []
     pairs = list(zip(edges, [*edges[1:], len(h)], strict=True)) if edges else []
     rows = [(int(block[a]), kind, pack_sorted(h[a:b]), b"" if kind else pack_checks(g[a:b]), pack(total[a:b]), 0, 0, 0) for a, b in pairs]
@@ -130,15 +131,15 @@ class BackoffAutomaton:
 Told = list[tuple[bytes, bytes, bytes]]
 
 
-def _totals(h: np.ndarray, g: np.ndarray, local: np.ndarray, told: Told) -> np.ndarray:
+def _totals(h: np.ndarray, g: np.ndarray | None, local: np.ndarray, told: Told) -> np.ndarray:
     """Total counts of the distinct hashes (h, g): those told, else the local ones."""
     if not told:
         return local
     th = np.concatenate([unpack_sorted(a) for a, _, _ in told])
-    tg = np.concatenate([unpack_checks(b) if b else np.zeros(len(unpack_sorted(a)), np.uint64) for a, b, _ in told])
+    tg = None if g is None else np.concatenate([unpack_checks(b) for _, b, _ in told])
     tc = np.concatenate([unpack(c) for _, _, c in told])
     order = order_of(th, tg)
-    k = find(th[order], tg[order], h, g)
+    k = find(th[order], take(tg, order), h, g)
     return np.where(k >= 0, tc[order][k], local) if len(tc) else local
 
 
@@ -155,7 +156,7 @@ def score_block(texts: list[bytes], train: np.ndarray, told: tuple[Told, Told],
     start = int(word[end[0] - 1])  # every text closes with the end token
     c1 = _totals(words, marks, np.bincount(word, weight, len(words)).astype(np.int64), told[0])
     pairs, at, pair = np.unique(bigrams(tokens), return_index=True, return_inverse=True)
-    c2 = _totals(pairs, np.zeros_like(pairs), np.bincount(pair, weight, len(pairs)).astype(np.int64), told[1])
+    c2 = _totals(pairs, None, np.bincount(pair, weight, len(pairs)).astype(np.int64), told[1])
     unseen = max(n1, 1)
     p = np.where(c1 > 0, c1, unseen) / (n_all + unseen)
     before = np.concatenate([[start], word[:-1]])
