@@ -124,7 +124,7 @@ _SESSIONS: dict[str, Session] = {}
 
 
 def all_words() -> list[str]:
-    return sorted({s for n in WORDS for s, _, _ in judgments(n)} | {*COMPATIBLE, *ORDERS, *(w for w, _, _ in ASSESSED + LABELS)})
+    return sorted({s for n in WORDS for s, _, _ in judgments(n)} | {*COMPATIBLE, *ORDERS, *(w for w, _, _ in ASSESSED + LABELS), *(w for w, *_ in ATTACHED + HOMONYMS)})
 
 
 def session(spark: SparkSession) -> Session:
@@ -356,6 +356,39 @@ def morpheme_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(grammar_labels(a, lexicon(spark)).select("word", "form", "entry_id").distinct()), "word").select("c_custkey", "word", "form", "entry_id")
 
 
+#: Readings (word, lemma, markers and ending) with their status, and the rule and place of an entry's conflict.
+ATTACHED = [
+    ("먹는다", "먹다", "는다", "compatible", None, None), ("예쁜다", "예쁘다", "는다", "incompatible", "PresentDeclarativeVerb", 0), ("먹더구나", "먹다", "더구나", "unknown", None, None), ("먹었더구나", "먹다", "었 더구나", "compatible", None, None),
+    ("예쁩시다", "예쁘다", "읍시다", "unknown", None, None), ("먹읍시다", "먹다", "읍시다", "compatible", None, None), ("예쁘더구나", "예쁘다", "더구나", "compatible", None, None),
+]
+#: Homonyms of the bases of formations, with the origins that they record, and what these say of the base that the formation presumes.
+HOMONYMS = [("가공되다", "h1", "加工", "recorded_match"), ("가공되다", "h2", "架空", "recorded_difference"), ("가공되다", "h3", None, "unknown"), ("감염되다", "h4", "感染", "recorded_match"), ("가열되다", "h5", "佳熱", "unknown")]
+#: Base, origins, and whether these are all that the base of the formation has.
+ORIGINS = [("가공", ["加工"], True), ("감염", ["感染"], True), ("가열", ["加熱"], False)]
+
+
+def assessed_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the entries say of the readings of each customer's word with one lemma: status, and the rule and the place of a conflict."""
+    rows = _dealt(spark, sf_dir, sorted({w for w, *_ in ATTACHED}))
+    d = TableDictionary(spark.createDataFrame([("a1", "먹다", "0", "동사"), ("a2", "예쁘다", "0", "형용사")], "id string, headword string, homonym string, pos string"))
+    a = assess(session(spark).analyze(rows.select(F.col("word").alias("text")).distinct()), d).where("all_listed and not unchanged and size(lemmas) = 1")
+    parts = F.array_join(F.transform("morphemes", lambda m: m["form"]), " ")
+    first = F.get("conflicts", F.lit(0))
+    a = a.select("word", F.get("lemmas", F.lit(0))["text"].alias("lemma"), parts.alias("ending"), "status", first["rule"].alias("rule"), first["morpheme"].alias("morpheme"))
+    return rows.join(F.broadcast(a.where(F.concat_ws(" ", "word", "lemma", "ending").isin([f"{w} {x} {e}" for w, x, e, *_ in ATTACHED])).distinct()), "word").select("c_custkey", "word", "lemma", "ending", "status", "rule", "morpheme")
+
+
+def origin_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which homonym the base of each customer's formation is, by the origins that entries record."""
+    rows = _dealt(spark, sf_dir, sorted({w for w, *_ in HOMONYMS}))
+    entries = [(i, w.removesuffix("되다"), "0", "명사", o and [o]) for w, i, o, _ in HOMONYMS]
+    d = TableDictionary(spark.createDataFrame(entries, "id string, headword string, homonym string, pos string, origins array<string>"))
+    origins = spark.createDataFrame([(b, "되다", o, whole) for b, o, whole in ORIGINS], "base string, suffix string, expected array<string>, complete boolean")
+    a = assess(session(spark).analyze(rows.select(F.col("word").alias("text")).distinct()), d, origins=origins)
+    found = a.select("word", F.explode("identities").alias("x")).select("word", F.col("x.entry_id").alias("entry_id"), F.col("x.relation").alias("relation")).distinct()
+    return rows.join(F.broadcast(found), "word").select("c_custkey", "word", "entry_id", "relation")
+
+
 #: Words and how their parts stand in them: lemmas and morphemes in turn.
 ORDERS = {"걱정말고": "걱정 말다 고", "읽어보고싶다": "읽다 어 보다 고 싶다 다", "학교입니다": "학교 이다 습니다", "목걸이를": "목 걸다 이 를"}
 
@@ -419,6 +452,8 @@ PLAIN = {
     lemma_lists: _lists_sql(),
     compatible_readings: _dealt_sql(list(COMPATIBLE), [(w, x) for w, xs in COMPATIBLE.items() for x in xs], "word, lemma"),
     assessed_readings: _dealt_sql([w for w, _, _ in ASSESSED], ASSESSED, "word, lemma, status"),
+    assessed_attachments: _dealt_sql(sorted({w for w, *_ in ATTACHED}), ATTACHED, "word, lemma, ending, status, rule, morpheme"),
+    origin_identities: _dealt_sql(sorted({w for w, *_ in HOMONYMS}), [(w, i, r) for w, i, _, r in HOMONYMS], "word, entry_id, relation"),
     morpheme_labels: _dealt_sql(sorted({w for w, _, _ in LABELS}), LABELS, "word, form, entry_id"),
     reading_orders: _dealt_sql(list(ORDERS), [(w, x, True, True) for w, x in ORDERS.items()], "word, line, found, all_ordered"),
     choice_products: CHOICE_SQL,
