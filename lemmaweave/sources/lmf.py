@@ -72,10 +72,11 @@ def read_lmf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_lmf(spark: SparkSession, path: str, to: str) -> DataFrame:
-    """Writes the dictionary table, whole or not at all and never over another; a faulty entry stops it."""
+    """Writes the dictionary table, whole or not at all and never over another (see storage.publish); a faulty entry stops it."""
     from ..functions.tokens import nfc
+    from ..storage import publish
 
     df = read_lmf(spark, path)
     checked = df.withColumn("id", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "id", "error"))).otherwise(F.col("id"))).drop("error")
-    checked.withColumn("lookup", nfc(F.col("headword"))).write.mode("errorifexists").parquet(to)
+    publish(checked.withColumn("lookup", nfc(F.col("headword"))), to)
     return spark.read.parquet(to)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +41,57 @@ def drop_cut(df: DataFrame) -> None:
     if path:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fingerprint(df: DataFrame) -> tuple[int, int]:
+    """Rows and an order-independent sum of row digests."""
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(digest.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+    return n, int(total)
+
+
+def publish(df: DataFrame, to: str, form: str = "parquet") -> tuple[int, int]:
+    """df under a path that nothing uses yet: all of it or nothing.
+
+    It is written beside the path, read back and compared with what was to be written, and then renamed in one step of the file system, which fails if
+    somebody else was first. Whatever fails, nothing is left. Returns the fingerprint. df is computed once for the files and once for the comparison."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(to)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(f"{to} already exists")
+    stage = hadoop.Path(f"{to.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    try:
+        df.write.format(form).mode("errorifexists").save(stage.toString())
+        found, meant = fingerprint(spark.read.format(form).schema(df.schema).load(stage.toString())), fingerprint(df)
+        if found != meant:
+            raise OSError(f"{to}: {found} was written for {meant}")
+        files = hadoop.FileContext.getFileContext(fs.makeQualified(stage).toUri(), spark._jsc.hadoopConfiguration())
+        files.rename(fs.makeQualified(stage), fs.makeQualified(target), spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Exception as e:
+        if fs.exists(target) and "AlreadyExists" in str(e):
+            raise FileExistsError(f"{to} already exists") from e
+        raise
+    finally:
+        fs.delete(stage, True)
+    return found
+
+
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the workers of a session that does not have it installed, as a zip file in the shared folder; its path is returned."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    path = f"{shared_dir(spark)}/lemmaweave-{uuid.uuid4().hex}.zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    return path
