@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from threading import Lock
+from time import time_ns
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
@@ -248,18 +249,72 @@ def analyze_words(words: DataFrame, text: str = "text", *, formations: list[D.Fo
 class Session:
     """A word cache: each distinct word is analysed once, by the first call that brings it; later calls join.
 
-    A batch counts from when it is written whole, so a failed call leaves nothing behind. Calls from several threads wait
-    for each other. forget() drops all batches, which is the way to bound the cache of a long-lived session."""
-
-    def __init__(self, spark) -> None:  # noqa: ANN001
-        self.spark, self.path, self.written, self.lock = spark, fresh_path(spark, "analyses"), [], Lock()
+    The cache is a folder of batches, Parquet tables that count from when they are written whole, so a failed call leaves nothing
+    behind. Several sessions, of several applications, may share a folder (path): each adds batches of its own, and of a word that two of them
+    analysed at once the older batch speaks. max_bytes bounds the files: the oldest batches go first, and a batch that is larger by
+    itself is not kept. More than max_batches batches are rewritten as one. With a bound, results are written apart from the
+    cache, so that they stay readable whatever leaves it. forget() drops all batches. Calls from several threads wait for each other."""
+
+    def __init__(self, spark, path: str | None = None, *, max_bytes: int | None = None, max_batches: int = 64) -> None:  # noqa: ANN001
+        self.spark, self.path, self.max_bytes, self.max_batches, self.lock = spark, path or fresh_path(spark, "analyses"), max_bytes, max_batches, Lock()
+
+    def _fs(self, path: str):  # noqa: ANN202
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def manifest(self) -> list[tuple[str, int]]:
+        """The whole batches, oldest first, with their bytes."""
+        fs, root = self._fs(self.path)
+        if not fs.exists(root):
+            return []
+        found = []
+        for s in fs.listStatus(root):
+            if fs.exists(self._fs(f"{s.getPath()}/_SUCCESS")[1]):
+                found.append((s.getPath().toString(), fs.getContentSummary(s.getPath()).getLength()))
+        return sorted(found, key=lambda x: x[0].rsplit("/", 1)[-1])
 
     @property
     def batches(self) -> int:
-        return len(self.written)
+        return len(self.manifest())
+
+    def _read(self, batches: list[str]) -> DataFrame | None:
+        """The analyses of the batches, each word's from the oldest that has it."""
+        if not batches:
+            return None
+        rows = self.spark.read.parquet(*batches)
+        if len(batches) == 1:
+            return rows
+        rows = rows.withColumn("__batch", F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1))
+        first = rows.groupBy("word").agg(F.min("__batch").alias("__batch"))
+        return rows.join(first, ["word", "__batch"], "left_semi").drop("__batch")
 
     def cached(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.written) if self.written else None
+        return self._read([p for p, _ in self.manifest()])
+
+    def _add(self, rows: DataFrame) -> str:
+        path = f"{self.path}/{time_ns():020d}-{uuid4().hex}"
+        rows.write.parquet(path)
+        return path
+
+    def _drop(self, batch: str) -> None:
+        fs, p = self._fs(batch)
+        fs.delete(self._fs(f"{batch}/_SUCCESS")[1], False)  # no longer a batch, even if the rest takes time
+        fs.delete(p, True)
+
+    def _bound(self) -> None:
+        """Rewrites many batches as one, and drops the oldest beyond the bound."""
+        held = self.manifest()
+        if len(held) > self.max_batches:
+            self._add(self._read([p for p, _ in held]))
+            for p, _ in held:
+                self._drop(p)
+            held = self.manifest()
+        total = sum(n for _, n in held)
+        for p, n in held:
+            if self.max_bytes is None or total <= self.max_bytes:
+                break
+            self._drop(p)
+            total -= n
 
     def analyze(self, words: DataFrame, text: str = "text") -> DataFrame:
         """Analyses of the words, most from the cache."""
@@ -269,17 +324,17 @@ class Session:
             new = w if known is None else w.join(known.select(F.col("word").alias("text")).distinct(), "text", "left_anti")
             new = cut(new, "new-words")
             if known is None or not new.isEmpty():
-                path = f"{self.path}/{len(self.written)}-{uuid4().hex}"
-                analyze_words(new).write.parquet(path)
-                self.written.append(path)
-            found = self.cached()
-        return found.join(w.withColumnRenamed("text", "word"), "word", "left_semi")
+                self._add(analyze_words(new))
+            found = self.cached().join(w.withColumnRenamed("text", "word"), "word", "left_semi")
+            if self.max_bytes is not None:
+                found = cut(found, "analyses")
+            self._bound()
+            return found if self.max_bytes is not None else self.cached().join(w.withColumnRenamed("text", "word"), "word", "left_semi")
 
     def forget(self) -> None:
         with self.lock:
-            self.written = []
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._fs(self.path)
+            fs.delete(p, True)
 
 
 def analyze_text(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
