@@ -9,14 +9,15 @@ has PRIOR more n-grams that are dealt as the raw corpus is, so that a bucket tha
 corpus as in a large one. A document is kept if it
 passes the base rules, its score is at least THRESHOLD and it has fewer than TOXIC_WORDS distinct toxic words.
 
-A mean over a whole text hides a few telling words, so toxic words are learned apart, each by itself, from a
-deterministic sample of at most TRUSTED labelled rows: those in TOXIC_DOCS toxic documents at least, whose share of
-the toxic documents is TOXIC_RATIO times that of the others at least, with one added to the others' count.
+A mean over a whole text hides a few telling words: it keeps all of the labelled toxic documents of 50 words that are of quality 1. So the same ratio is also
+taken of single hashed words, by documents, between the two parts of a deterministic sample of at most TRUSTED labelled rows: a word is toxic
+if it is in TOXIC_DOCS toxic documents at least and its log ratio (others to toxic, one added to the others' count) is -log(TOXIC_RATIO) or less. The README
+has figures of this and of the tail of the ratio to the raw corpus, which cannot tell toxic words from those of large groups of copies.
 
 Only the bucket counts (2 * BUCKETS rows, whatever the input) and the toxic words of the bounded sample reach
 the driver; texts are never shuffled.
 
-Defined cases: null and wordless texts have no words and fail the base rules; repeated rows are counted and
+Defined cases: null and wordless texts have no words and fail the base rules; a text of any length is judged whole; a score at the threshold is kept, and buckets have no order, so there are no ties; repeated rows are counted and
 judged each; without trusted documents all scores are 0, and without toxic ones no word is toxic, so the base rules decide; an empty table gives no rows; other columns are
 carried (keep_quality) or ignored (judge_quality), whatever their names.
 """

@@ -10,7 +10,7 @@ A task writes its shard under a name of its own and renames it at the end, so lo
 whole files only; the shard's number comes from the range partition, so a repeated task writes the same shard. Files go
 through pyarrow's file systems, by the URI of the shared folder.
 
-Defined cases: a null text is an empty one and gives the end id alone; null ids come first; rows that share an
+Defined cases: a null text is an empty one and gives the end id alone; a text of any length is one record; records of one id are ordered by their texts, and equal rows are equal records; null ids come first; rows that share an
 id follow each other, by text; an empty table gives no shard and no rows; other columns are ignored.
 """
 

@@ -14,7 +14,8 @@ only where capacity demands it. Ranks come from counts of hash buckets and row n
 DataFrame functions only. Rows that move through a shuffle are ids and hashes, never texts.
 
 Defined cases: a null text is empty, has size 1, and null texts are linked to one another only; empty texts are equal texts;
-repeated rows are documents of their own; an empty table gives no rows; other columns are ignored.
+repeated rows are documents of their own; only the size and the hash of a text move on, so a text of any length is a row like others; equal votes go by an order of the
+shards that turns with the rounds, and equal ranks by the row number; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

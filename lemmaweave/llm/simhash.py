@@ -19,6 +19,7 @@ yields a spanning forest of its links, so a large group of near copies costs a r
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; rows that repeat
 or share an id have their own row in the result; a null id never names a component unless all its ids are null;
+a text of any length is one fingerprint, made by slices of words; bits set in exactly half the shingles are 0, and of equal ids in a component any row may name it;
 an empty table gives no rows; other columns are ignored.
 """
 

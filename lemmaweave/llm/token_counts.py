@@ -9,7 +9,7 @@ The digests that the cache lacks are found first, without texts, and written, so
 broadcast, the texts stay where they are and only the missing ones go on; beyond that, texts are dealt by (document, digest), behind Spark's runtime filter, which
 drops most of the known ones where the missing are few. One document stands for each digest and its id is part of the key, so a text with many copies is no hot key.
 
-Defined cases: null or empty text has 0 tokens; repeated rows and rows that share an id are each counted;
+Defined cases: null or empty text has 0 tokens; a text of any length is counted whole, in pieces that no token can cross; counts have no ties to break; repeated rows and rows that share an id are each counted;
 an empty table gives no rows and leaves the cache as it is; other columns are ignored.
 """
 

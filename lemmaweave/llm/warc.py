@@ -12,7 +12,7 @@ followed from there. Only candidates on the chain are records; the rest is paylo
 record around it. Whole records are digested where they are read; only payloads that hold a version line are moved.
 
 Ids keep their type: they are written percent-encoded and read back as the type of the column. Heads and payloads
-may have any length. Defined cases: a null payload is an empty one; a null id reads back as null, and is revisited only if no page
+may have any length. Defined cases: a null payload is an empty one; of pages with equal payloads the smallest id is the response; a null id reads back as null, and is revisited only if no page
 with the same payload has an id; rows with equal ids and payloads are all responses if theirs is the smallest
 id; a record whose block has not its stated length, or whose payload not its stated SHA-1, is an error; line breaks in a URL are written as %0A and %0D; an empty table gives no rows; other columns are ignored.
 """

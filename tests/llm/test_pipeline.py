@@ -51,3 +51,25 @@ def test_entry_without_the_subpackage(tmp_path):
     subprocess.run(["rm", "-r", str(tmp_path / "lemmaweave/llm")], check=True)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin:/usr/local/bin", "PYTHONPATH": str(tmp_path)})
     assert said.stdout.split()[-1] == "False", said.stderr
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null texts and ids, repeated rows, shared ids, a very long text and columns whose names the operators use; and no documents at all."""
+    import corpus_pipeline as P
+
+    text = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(1, text(1)), (2, text(2)), (2, text(3)), (3, text(2)), (4, None), (5, ""), (6, text(6, 20)), (None, text(7)), (None, text(1)), (8, text(8, 40_000)), (9, text(9)), (9, text(9))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, c0 int, block string, digest double, q_w string, bucket int"
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "b", 0.5, "q", 3) for i, t in rows], schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    for name, docs in (("some", table), ("none", table.where("false"))):
+        at = f"{tmp_path}/{name}"
+        docs.repartition(3).write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        benchmark.write.parquet(f"{at}/benchmark.parquet")
+    got = P.run(spark, f"file://{tmp_path}/some").select("doc_id", "piece").collect()
+    whole = Counter(r.doc_id for r in got if r.piece == 0)
+    assert whole == {1: 1, 2: 2, None: 2, 8: 1, 9: 2}  # equal rows of one id stay together
+    assert 3 not in whole and sum(r.doc_id == 8 for r in got) > 50
+    assert P.run(spark, f"file://{tmp_path}/none").count() == 0
