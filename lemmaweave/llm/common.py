@@ -220,7 +220,7 @@ _LOWER[65:91] += 32
 
 
 #: Bytes of text hashed at once, but for a longer word.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 
 
 _KEY = 0x5851F42D4C957F2D
@@ -235,7 +235,9 @@ def _hash_words(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray,
     offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - start)])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[packed] if lower else packed)])
     coded = words.dictionary_encode()  # equal words by their bytes; each is hashed once
-    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, _KEY) for w in coded.dictionary.to_pylist()), "<u8").reshape(-1, 2)
+    _, edges, body = coded.dictionary.buffers()
+    own, body = np.frombuffer(edges, np.int64)[: len(coded.dictionary) + 1].tolist(), body.to_pybytes() if body else b""
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[a:b], _KEY) for a, b in zip(own[:-1], own[1:], strict=True)]), "<u8").reshape(-1, 2)
     at = coded.indices.to_numpy()
     return digests[at, 0], digests[at, 1], start
 
@@ -351,13 +353,15 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(_unplanes(b, np.uint64), dtype=np.uint64)
 
 
-def pack_checks(g: np.ndarray) -> bytes:
-    """Values of 32 bits as they are: hashes hold nothing to compress."""
-    return g.astype("<u4").tobytes()
+def pack_checks(g: np.ndarray, size: int = 4) -> bytes:
+    """Values of size bytes as they are: hashes hold nothing to compress."""
+    return np.ascontiguousarray(g.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size]).tobytes()
 
 
-def unpack_checks(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u4").astype(np.uint64)
+def unpack_checks(b: bytes, size: int = 4) -> np.ndarray:
+    out = np.zeros((len(b) // size, 4), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(-1, size)
+    return out.view("<u4").reshape(-1).astype(np.uint64)
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -17,8 +17,8 @@ The words that a factor covers are duplicates; nothing else decides. Of all plac
 kept as a reference (the least document, then the least word), so a phrase that many documents share is
 one entry for each block and slice, and goes to one bucket with millions of others; texts move once, by block.
 
-Phrases are told apart by 96 bits, made of both halves of a keyed XXH3 of each word by mixing: of 10^13 distinct phrases (100 TB), two share
-them with a probability of about 6e-4. Defined cases: null and wordless texts lose nothing; a row with
+Phrases are told apart by 88 bits, made of both halves of a keyed XXH3 of each word by mixing: of 10^13 distinct phrases (100 TB), two share
+them with a probability of about 0.15, of 10^11 (1 TB) with 2e-5. Defined cases: null and wordless texts lose nothing; a row with
 a null id neither loses words nor causes a removal; rows that share an id are the same document to the order, so they
 do not shorten one another; ids are whole numbers (a column of another type is refused); a text of any length is hashed by the
 megabyte; an empty table gives no rows; other columns are carried (dedup_texts) or ignored, whatever their names.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -39,6 +40,8 @@ from pyspark.sql import types as T
 from .common import bucket_of, by_group, by_two_groups, byte_slices, cut, find, groups_for, leads, narrow, order_of, pack, pack_checks, pack_sorted, positional, release, rolling, small_batches, unpack, unpack_checks, unpack_sorted, word_keys
 
 MIN_FACTOR = 13
+#: Bytes of a phrase's hash beyond 64 bits; a fourth would take the index beyond its disk budget.
+CHECK_BYTES = 3
 #: Text that is indexed at once: a batch, unless it holds very long documents. More and smaller slices take more disk.
 SLICE_BYTES = 12 << 20
 #: Text of a block; its parse takes about 30 times as much memory.
@@ -47,13 +50,13 @@ _NONE = np.iinfo(np.int64).max
 
 
 def phrases(texts: list[bytes], ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase hashes (64 bits, and 32 more), the word each starts at, the index of its text, and the words of each text. Texts with id _NONE have none."""
+    """Phrase hashes (64 bits, and 24 more), the word each starts at, the index of its text, and the words of each text. Texts with id _NONE have none."""
     h, g, n = word_keys(texts)
     stop = np.cumsum(n)
     count = np.where(ids == _NONE, 0, np.maximum(n - least + 1, 0))
     doc = np.repeat(np.arange(len(texts)), count)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + (stop - n)[doc]
-    return rolling(h, least)[at], (rolling(g, least) >> np.uint64(32))[at], at, doc, n
+    return rolling(h, least)[at], (rolling(g, least) >> np.uint64(64 - 8 * CHECK_BYTES))[at], at, doc, n
 
 
 def _index(least: int, buckets: int):  # noqa: ANN202
@@ -73,7 +76,7 @@ def _index(least: int, buckets: int):  # noqa: ANN202
                 lead[1:] |= own[1:] != own[:-1]
                 h, g, own, at, who = h[lead], g[lead], own[lead], at[lead], ids[doc[lead]]
                 edges = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-                rows = [(k, pack_sorted(h[x:y]), pack_checks(g[x:y]), pack(own[x:y]), pack(who[x:y]), pack(at[x:y])) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+                rows = [(k, pack_sorted(h[x:y]), pack_checks(g[x:y], CHECK_BYTES), pack(own[x:y]), pack(who[x:y]), pack(at[x:y])) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
                 for k in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 64], strict=True)], names=names)
 
@@ -82,7 +85,7 @@ def _index(least: int, buckets: int):  # noqa: ANN202
 
 def _look_up(_: tuple, t: pa.Table) -> pa.Table:
     h = np.concatenate([unpack_sorted(x) for x in t["hashes"].to_pylist()])
-    g = np.concatenate([unpack_checks(x) for x in t["checks"].to_pylist()])
+    g = np.concatenate([unpack_checks(x, CHECK_BYTES) for x in t["checks"].to_pylist()])
     block, who, at = (np.concatenate([unpack(x) for x in t[c].to_pylist()]) for c in ("blocks", "firsts", "places"))
     order = np.lexsort((at, who, g, h))
     h, g, block, who, at = h[order], g[order], block[order], who[order], at[order]
@@ -96,7 +99,7 @@ def _look_up(_: tuple, t: pa.Table) -> pa.Table:
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(h) else np.empty(0, np.int64)
     ends = [*edges[1:].tolist(), len(h)]
     pairs = list(zip(edges.tolist(), ends, strict=True)) if len(edges) else []
-    packed = {"hashes": (pack_sorted, h), "checks": (pack_checks, g), "firsts": (pack, first), "places": (pack, place)}
+    packed = {"hashes": (pack_sorted, h), "checks": (partial(pack_checks, size=CHECK_BYTES), g), "firsts": (pack, first), "places": (pack, place)}
     return pa.table({"block": pa.array([int(block[a]) for a, _ in pairs], pa.int64())} | {c: pa.array([f(x[a:b]) for a, b in pairs], pa.binary()) for c, (f, x) in packed.items()})
 
 
@@ -157,7 +160,7 @@ def _parsed(base: DataFrame, at_id: int, at_text: int, least: int, fields: list[
         if not left.num_rows:
             return out_schema.empty_table()
         h = np.concatenate([unpack_sorted(x) for x in right.column(1).to_pylist()] or [np.empty(0, np.uint64)])
-        g = np.concatenate([unpack_checks(x) for x in right.column(2).to_pylist()] or [np.empty(0, np.uint64)])
+        g = np.concatenate([unpack_checks(x, CHECK_BYTES) for x in right.column(2).to_pylist()] or [np.empty(0, np.uint64)])
         first, place = (np.concatenate([unpack(x) for x in right.column(k).to_pylist()] or [np.empty(0, np.int64)]) for k in (3, 4))
         order = order_of(h, g)
         texts = [(t or "").encode() for t in left.column(at_text).to_pylist()]
