@@ -5,10 +5,12 @@ Each analysis is read by itself; every owner in it may be replaced or not, whate
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..rules import derivations as D
 from .classes import Pair, classes_allow
@@ -189,17 +191,35 @@ def _batch(rows: list[tuple[dict, Analysis]], schema: pa.Schema) -> pa.RecordBat
     return pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def projected(df: DataFrame, formations: list[tuple[str, str, str, str, str, str]]) -> DataFrame:
-    """df and the second readings of its analyses."""
+#: The columns of a formation in a table.
+FORMATION = ("head", "head_kind", "base", "base_kind", "suffix", "rule")
+
+
+def _with_formations(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df with __formations: the formations of a table whose head is a lemma of the row, or null. Heads are joined as they are met, so the table may be of any size."""
+    keyed = df.withColumn("__key", F.xxhash64(*[F.col(c) for c in df.columns]))
+    rows = keyed.select("__key", F.explode(F.array_distinct(F.transform("lemmas", lambda x: x["text"]))).alias("head")).join(table.select(*FORMATION), "head")
+    own = rows.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct(*FORMATION))).alias("__formations"))
+    return keyed.join(own, "__key", "left").drop("__key")
+
+
+def projected(df: DataFrame, formations: list[tuple[str, str, str, str, str, str]], table: DataFrame | None = None) -> DataFrame:
+    """df and the second readings of its analyses. table: further formations (FORMATION), such as those of a dictionary."""
     schema = df.schema
     heads = sorted({f[0] for f in formations} | {b + s for s, bs in (("시", D.SI), ("화", D.HWA)) for b in bs.split()} | {b + s + "되다" for s, bs in (("시", D.SI_PASSIVE), ("화", D.HWA_PASSIVE)) for b in bs.split()} | {"되다", "잘되다"})
     looked = F.exists("lemmas", lambda x: x["text"].isin(heads))
+    rows = df if table is None else _with_formations(df, table)
+    if table is not None:
+        looked |= F.col("__formations").isNotNull()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        second = projector(formations)
+        second = lru_cache(maxsize=4096)(lambda own: projector([*formations, *own]))
         for b in batches:
-            rows = [(r, x) for r in b.to_pylist() for x in second((_pairs(r["lemmas"], "text"), _pairs(r["morphemes"], "form"), r["rules"]))]
-            if rows:
-                yield _batch(rows, b.schema)
-
-    return df.unionByName(df.where(looked).mapInArrow(run, schema))
+            found = []
+            for r in b.to_pylist():
+                own = tuple(tuple(x[c] for c in FORMATION) for x in r.pop("__formations", None) or ())
+                found += [(r, x) for x in second(own)((_pairs(r["lemmas"], "text"), _pairs(r["morphemes"], "form"), r["rules"]))]
+            if found:
+                yield _batch(found, to_arrow_schema(schema))
+
+    return df.unionByName(rows.where(looked).mapInArrow(run, schema))

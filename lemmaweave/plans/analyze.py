@@ -214,11 +214,11 @@ def _fragments(words: DataFrame) -> DataFrame:
     return out.unionByName(foreign.select("text", F.array(lemma(base, "Nominal"), lemma(F.lit("이다"), "Copula")).alias("lemmas"), F.array(morph(F.lit("다"), "Ending")).alias("morphemes"), F.array(F.lit("copula.zero"), F.col("why"), F.lit("ending")).alias("rules")))
 
 
-def analyze_words(words: DataFrame, text: str = "text", *, formations: list[D.Formation] | None = None) -> DataFrame:
+def analyze_words(words: DataFrame, text: str = "text", *, formations: list[D.Formation] | DataFrame | None = None) -> DataFrame:
     """word, lemmas, morphemes, unchanged, rules and spelling_paths for each distinct non-empty word of a text column.
 
     Words are normalised to NFC. A word without a Hangul syllable is only itself. formations: further heads in 되다 and
-    하다 that are a base and a suffix (see rules.derivations)."""
+    하다 that are a base and a suffix (see rules.derivations): a list, or a table of any size with the columns operators.projections.FORMATION."""
     w = normalized(words.select(F.col(text).alias("text")), "text").where(word_errors(F.col("text")).isNull()).distinct()
     w = cut(w, "words")
     korean = w.where(H.has_hangul(F.col("text")))
@@ -242,7 +242,8 @@ def analyze_words(words: DataFrame, text: str = "text", *, formations: list[D.Fo
     # 어 and 요 may complete a finite intention only now.
     intended = F.exists("morphemes", lambda m: m["form"] == "으려고")
     found = found.where(~intended).unionByName(checked(found.where(intended)))
-    all_ = projected(cut(found.unionByName(plain), "analyses"), D.formations(formations))
+    listed = formations if isinstance(formations, list) else None
+    all_ = projected(cut(found.unionByName(plain), "analyses"), D.formations(listed), None if listed is not None else formations)
     return merge(identity(w).unionByName(_final(all_)))
 
 
