@@ -134,9 +134,9 @@ def assess(analyses: DataFrame, dictionary: Dictionary, evidence: DataFrame | No
     told = [F.collect_set(reason).alias("c")]
     if origins is not None:
         told.append(F.collect_set(F.when(F.col("identity").isNotNull(), F.struct(F.col("i").alias("lemma"), F.col("entry_id").alias("entry_id"), F.col("identity.relation").alias("relation"), F.col("identity.morpheme").alias("morpheme"), F.col("identity.expected").alias("expected")))).alias("d"))
-    by_lemma = rows.groupBy("__a", "i").agg(any_status(F.collect_set(status)).alias("s"), *told)
-    by = by_lemma.groupBy("__a").agg(F.collect_list("s").alias("s"), F.array_sort(F.flatten(F.collect_list("c"))).alias("conflicts"), *([F.array_sort(F.flatten(F.collect_list("d"))).alias("identities")] if origins is not None else []))
-    out = keyed.join(by, "__a", "left").drop("__a")
+    by_lemma = rows.groupBy("word", "__a", "i").agg(any_status(F.collect_set(status)).alias("s"), *told)
+    by = by_lemma.groupBy("word", "__a").agg(F.collect_list("s").alias("s"), F.array_sort(F.flatten(F.collect_list("c"))).alias("conflicts"), *([F.array_sort(F.flatten(F.collect_list("d"))).alias("identities")] if origins is not None else []))
+    out = keyed.join(by, ["word", "__a"], "left").drop("__a")
     return out.withColumn("status", F.when(F.col("s").isNull(), F.col("status")).otherwise(all_status(F.col("s")))).drop("s")
 
 

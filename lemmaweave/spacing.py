@@ -22,11 +22,14 @@ CASES = ("이", "가", "을", "를", "에", "에서", "에게", "으로", "로",
 #: A noun and the verb that it stands before without a particle.
 BARE_PAIRS = [("신경질", "내다"), ("용기", "내다"), ("짜증", "내다"), ("기분", "내키다")]
 #: Nouns before 나다 with their entries, and the entry of 나다.
-NADA = """
-경사 30554|구멍 34923|구역질 35687|몸살 54741|물난리 56191|발표 62470|배탈 58720|산사태 61775|상처 62979|소리 62379|수염 64609|시간 62841|식은땀 90744|신경질 66150|신명 65770|실감 14080|싸움 24286|
-여드름 67696|연기 67478|윤기 71077|전쟁 29551|짜증 71579|큰일 72174|탄로 80290|탈 81494|털 71477|토막 80558|폼 83727|감칠맛 22602|코피 72169|멀미 54969|사고 66370|교통사고 35968|생각 58162|냄새 58180|
-집 71358|사람 58161|돈 17204|피 73269
-"""
+NADA = [
+    ("경사", "krdict:30554"), ("구멍", "krdict:34923"), ("구역질", "krdict:35687"), ("몸살", "krdict:54741"), ("물난리", "krdict:56191"), ("발표", "krdict:62470"), ("배탈", "krdict:58720"),
+    ("산사태", "krdict:61775"), ("상처", "krdict:62979"), ("소리", "krdict:62379"), ("수염", "krdict:64609"), ("시간", "krdict:62841"), ("식은땀", "krdict:90744"), ("신경질", "krdict:66150"),
+    ("신명", "krdict:65770"), ("실감", "krdict:14080"), ("싸움", "krdict:24286"), ("여드름", "krdict:67696"), ("연기", "krdict:67478"), ("윤기", "krdict:71077"), ("전쟁", "krdict:29551"),
+    ("짜증", "krdict:71579"), ("큰일", "krdict:72174"), ("탄로", "krdict:80290"), ("탈", "krdict:81494"), ("털", "krdict:71477"), ("토막", "krdict:80558"), ("폼", "krdict:83727"),
+    ("감칠맛", "krdict:22602"), ("코피", "krdict:72169"), ("멀미", "krdict:54969"), ("사고", "krdict:66370"), ("교통사고", "krdict:35968"), ("생각", "krdict:58162"), ("냄새", "krdict:58180"),
+    ("집", "krdict:71358"), ("사람", "krdict:58161"), ("돈", "krdict:17204"), ("피", "krdict:73269"),
+]
 MAIN_NADA = "krdict:62210"
 #: Bound nouns with their entries and the endings that may stand before them.
 BOUND = [
@@ -154,7 +157,7 @@ def suggest(words: DataFrame, dictionary: Dictionary, text: str = "text") -> Dat
     pairs = spark.createDataFrame(BARE_PAIRS, "left_head string, right_head string")
     verbs = _two(of("noun"), of("predicate"))
     out.append(_hypothesis(verbs.join(F.broadcast(pairs), ["left_head", "right_head"]), "spacing.bare_noun_lexical_verb", at))
-    nada = spark.createDataFrame([(h, f"krdict:{i}") for h, i in (x.split() for x in NADA.replace("\n", "").split("|"))], "left_head string, left_id string")
+    nada = spark.createDataFrame(NADA, "left_head string, left_id string")
     main = entries.where((F.col("id") == MAIN_NADA) & (F.col("text") == "나다")).select(F.col("text").alias("right_head")).distinct()
     out.append(_hypothesis(has(verbs.join(F.broadcast(nada), "left_head"), "left_head", "left_id").join(F.broadcast(main), "right_head", "left_semi"), "spacing.bare_noun_main_nada", at))
     bound = spark.createDataFrame([(h, i, f) for h, i, fs in BOUND for f in fs.split()], "right_head string, right_id string, left_form string")
