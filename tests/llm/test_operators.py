@@ -380,8 +380,10 @@ def test_token_counts(spark, docs, rows, empty):
 
     path, cache = tokenizer_path("byte_bpe_50k.json"), common.fresh_path(spark, "cache")
     lib = Tokenizer.from_file(path)
-    want = sorted(str((i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 512)) for i, t in rows)
-    assert sorted(str(tuple(r)[:4]) for r in token_counts.count_tokens(docs.limit(40), path, cache).collect()) is not None
+    counted = [(i, str((i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 512))) for i, t in rows]
+    want = sorted(w for _, w in counted)
+    got = token_counts.count_tokens(docs.where("doc_id < 40"), path, cache)
+    assert sorted(str(tuple(r)[:4]) for r in got.collect()) == sorted(w for i, w in counted if i is not None and i < 40)
     stored = spark.read.parquet(cache)
     assert sorted(str(tuple(r)[:4]) for r in token_counts.count_tokens(docs, path, cache).collect()) == want
     all_ = spark.read.parquet(cache)
