@@ -170,7 +170,7 @@ def _tables() -> dict[str, Column]:
     }
 
 
-_STATE = {"at": "int", "kind": "string", "connector": "string", "stative": "boolean", "nominal": "boolean", "copula": "boolean", "marked": "boolean", "past": "boolean", "ok": "boolean", "intends": "boolean"}
+_STATE = {"at": "int", "run": "int", "kind": "string", "connector": "string", "stative": "boolean", "nominal": "boolean", "copula": "boolean", "marked": "boolean", "past": "boolean", "ok": "boolean", "intends": "boolean"}
 
 
 def _state(**values: Column) -> Column:
@@ -190,12 +190,14 @@ def class_scan() -> Column:
     letters = F.array_join(F.transform(morphs, lambda m: F.when(m["kind"] == "Ending", "E").when(m["kind"] == "Prefinal", "P").when(m["kind"] == "Particle", "Q").otherwise("S")), "")
     items = F.transform("lemmas", lambda x, i: F.struct(x["text"].alias("text"), x["kind"].alias("role"), F.get("lemmas", i + 1)["text"].alias("next"), sure((F.get("lemmas", i - 1)["text"] == "잘") & (F.get("lemmas", i - 1)["kind"] == "Adverbial")).alias("well")))
     row = F.struct(
-        letters.alias("letters"), F.array_distinct(F.filter(F.transform(held, lambda r: F.try_element_at(t["derived"], r)), lambda d: d.isNotNull())).alias("derived"),
+        letters.alias("letters"), F.regexp_extract_all(letters, F.lit("S+|P+|E|Q+"), F.lit(0)).alias("runs"), F.array_distinct(F.filter(F.transform(held, lambda r: F.try_element_at(t["derived"], r)), lambda d: d.isNotNull())).alias("derived"),
         has("compound.predicate.well_doeda").alias("well"), has("doeda.negative_bridge").alias("bridge"), has("lexical.doeda.complement").alias("complement"), has("lexical.doeda.extended").alias("extended"),
     )
 
     def step(const: Column, s: Column, x: Column) -> Column:
-        run = lambda at, letter: F.length(F.regexp_extract(F.substring(const["letters"], at + 1, F.length(const["letters"])), f"^{letter}*", 0))
+        # Runs of suffixes, markers and particles are used up whole, and endings one by one, so a place is found by the number of its run.
+        run = lambda k, letter: F.when(F.get(const["runs"], k).startswith(letter), F.length(F.get(const["runs"], k))).otherwise(0)
+        used = lambda n: F.when(n > 0, 1).otherwise(0)
         auxiliary, text, connector, kind = x["role"] == "Auxiliary", x["text"], F.coalesce(s["connector"], F.lit("")), F.coalesce(s["kind"], F.lit(""))
         stem = F.regexp_replace(text, "다$", "")
         first = F.instr(F.substring(const["letters"], s["at"] + 1, F.length(const["letters"])), "E") + s["at"]  # of the next ending, from 1
@@ -214,7 +216,7 @@ def class_scan() -> Column:
         doeda = (x["role"] == "Predicate") & (text == "되다") & ((connector.isin("게", "게끔") & const["complement"]) | (connector.isin("도록", "기", "어야", "으면", "어도", "어", "어서", "어서는") & const["extended"]))
         by_stem = F.coalesce(F.try_element_at(t["joined"], F.concat(stem, F.lit(" "), connector)), F.when(stem.isin(*_INHERITING), s["kind"]).otherwise(F.try_element_at(t["class"], stem)))
         own = F.when(auxiliary, by_stem).when(x["role"] == "Copula", "C").when(doeda | (x["well"] & const["well"]), "V")
-        before = F.struct(F.when(F.size(formed) == 1, F.get(formed, F.lit(0))).alias("formation"), own.alias("own"), run(s["at"], "S").alias("n"), (auxiliary & barred).alias("barred"), (intends & (kind == "C")).alias("intends"))
+        before = F.struct(F.when(F.size(formed) == 1, F.get(formed, F.lit(0))).alias("formation"), own.alias("own"), run(s["run"], "S").alias("n"), (auxiliary & barred).alias("barred"), (intends & (kind == "C")).alias("intends"))
 
         def suffixed(b: Column) -> Column:
             inside = F.slice(morphs, s["at"] + 1, b["n"])
@@ -226,7 +228,7 @@ def class_scan() -> Column:
                 b["formation"].alias("formation"), b["barred"].alias("barred"), b["intends"].alias("intends"), F.when(dap, "A").otherwise(kind).alias("kind"), inflected.alias("inflected"), sure(nominal).alias("nominal"),
                 sure((kind == "C") & (((x["role"] == "Copula") & s["nominal"]) | (auxiliary & s["copula"]))).alias("copula"),
                 (auxiliary & (text.isin("있다", "계시다") | (text.isin(*_NEGATIVE) & s["stative"]))).alias("stative"),
-                (s["at"] + b["n"]).alias("at"), F.when(inflected, run(s["at"] + b["n"], "P")).otherwise(0).alias("n"),
+                (s["at"] + b["n"]).alias("at"), (s["run"] + used(b["n"])).alias("run"), F.when(inflected, run(s["run"] + used(b["n"]), "P")).otherwise(0).alias("n"),
             )
             return _let(found, ended)
 
@@ -238,10 +240,11 @@ def class_scan() -> Column:
             excepted = lambda r: F.array_contains(r["whole"], text) | F.exists(r["tails"], lambda x: text.endswith(x))
             refuses = lambda r: sure((F.instr(r["kinds"], b["kind"]) > 0) & (bare | ~r["bare"]) & ~excepted(r) & ~(r["stative"] & F.when(form == "구먼", iss).otherwise(b["stative"])))
             refused = (iss & form.isin(*_PRESENT, *_EXCLAIM)) | (bare & (form == "는") & sure(b["formation"] == "A")) | sure(F.exists(F.try_element_at(t["refused"], form), refuses))
-            past = end + F.when(closes, 1).otherwise(0)
-            particles = run(past, "Q")
+            closed = F.when(closes, 1).otherwise(0)
+            past, behind = end + closed, b["run"] + used(b["n"]) + closed
+            particles = run(behind, "Q")
             return _state(
-                at=past + particles, kind=b["kind"], connector=F.when(closes, form), stative=b["stative"], nominal=b["nominal"] & (particles == 0), copula=b["copula"], marked=F.exists(markers, lambda m: ~m["form"].isin(*E.HONORIFIC)),
+                at=past + particles, run=behind + used(particles), kind=b["kind"], connector=F.when(closes, form), stative=b["stative"], nominal=b["nominal"] & (particles == 0), copula=b["copula"], marked=F.exists(markers, lambda m: ~m["form"].isin(*E.HONORIFIC)),
                 past=F.exists(markers, lambda m: m["form"] == "었"), ok=s["ok"] & ~b["barred"] & ~sure(closes & refused), intends=s["intends"] | b["intends"],
             )
 
@@ -249,7 +252,7 @@ def class_scan() -> Column:
         return F.when(passes | ~s["ok"], s).otherwise(_let(before, suffixed))
 
     none = F.lit(None)
-    start = _state(at=F.lit(0), kind=none, connector=none, stative=no, nominal=no, copula=no, marked=no, past=no, ok=yes, intends=no)
+    start = _state(at=F.lit(0), run=F.lit(0), kind=none, connector=none, stative=no, nominal=no, copula=no, marked=no, past=no, ok=yes, intends=no)
     return _let(row, lambda const: F.when((F.size(const["derived"]) > 0) | F.exists("lemmas", lambda x: x["kind"] == "Auxiliary") | const["complement"] | const["extended"] | const["well"], F.aggregate(items, start, lambda s, x: step(const, s, x))).otherwise(start))
 
 
