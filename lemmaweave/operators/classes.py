@@ -177,6 +177,7 @@ def _state(**values: Column) -> Column:
     return F.struct(*[values[k].cast(t).alias(k) for k, t in _STATE.items()])
 
 
+@once_each
 def class_scan() -> Column:
     """classes_allow() without further knowledge, over the columns lemmas, morphemes and rules: a fold over the lemmas whose state is what is
     known of the last predicate and the morphemes that are used up. Its fields ok and intends say whether the analysis stands, and whether it

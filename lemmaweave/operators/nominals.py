@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hangul as H
 from ..rules import derivations as D
+from ..rules import once_each
 from ..rules import particles as P
 from ..storage import cut
 from .predicates import LEMMA, MORPH, lemma, morph
@@ -43,6 +44,7 @@ def _in(c: Column, words: str) -> Column:
     return F.coalesce(c.isin(*words.split()), F.lit(False))
 
 
+@once_each
 def _allowed() -> Column:
     """Whether a particle (class, particle) may stand before a chain (chain, stage, after_case)."""
     form, outer, chain = F.col("particle"), F.get("chain", F.lit(0)), F.col("chain")
@@ -85,9 +87,10 @@ def peel_particles(words: DataFrame, text: str = "text", *, stage: int = 7) -> D
         start = grown.where((F.col("depth") == level) & ~F.col("closed") & (F.char_length("base") > 1) & _may_go_on())
         if start.isEmpty():
             break
-    return done.where(F.size("chain") > 0).drop("stage", "after_case", "closed", "depth").distinct()
+    return cut(done.where(F.size("chain") > 0).drop("stage", "after_case", "closed", "depth").distinct(), "particle-chains")
 
 
+@once_each
 def _may_go_on() -> Column:
     """Whether some particle ends the base at all, and the order of classes or a link could let it."""
     ends = F.transform(F.sequence(F.lit(1), F.least(F.char_length("base") - 1, F.lit(5))), lambda k: F.right(F.col("base"), k))
@@ -96,30 +99,44 @@ def _may_go_on() -> Column:
     return some & ((F.col("stage") > 1) | F.col("after_case") | outer.isin("의", *sorted({b for _, b in P.LINKS})))
 
 
-def _peel_level(df: DataFrame, own: list[str], level: int) -> DataFrame:
-    """Rows of the last level with one more particle, and all rows as they are."""
-    spark, n = df.sparkSession, F.char_length("base")
-    rules = P.recoveries(spark).union(spark.createDataFrame([("\u0000", 0, None, None, 0, 0, None, 0)], P.recoveries(spark).schema)).withColumnsRenamed({"class": "new_class", "contraction": "new_contraction"})
+@once_each
+def _level_columns() -> dict[str, Column]:
+    """The expressions of a level, built once."""
+    n = F.char_length("base")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(n - 1, F.lit(5))), lambda k: F.right(F.col("base"), k))
     inner = F.transform(F.sequence(F.lit(0), F.least(n - 1, F.lit(2))), lambda k: F.concat(H.text_coda(F.left(F.col("base"), n - k)).cast("string"), F.lit(":"), F.right(F.col("base"), k)))
-    open_ = (F.col("depth") == level) & ~F.col("closed")
-    keys = F.when(open_, F.concat(F.when(n > 1, suffixes).otherwise(empty(RULES)), inner)).otherwise(empty(RULES))
-    df = df.withColumn("key", F.explode(F.array_append(keys, F.lit("\u0000")))).join(F.broadcast(rules), "key")
     new = F.col("key") != "\u0000"
     rest = F.left("base", n - F.col("chars"))
-    base = F.when(F.col("coda").isNull(), rest).otherwise(H.replace_last(rest, H.vowel(H.index(H.last_char(rest))), F.lit(0)))
-    df = df.withColumns({"rest": base, "was": F.col("class"), "class": F.col("new_class")})
     ok = ~new | (_allowed() & (F.col("rest") != "") & (F.col("coda").isNotNull() | fits(F.col("rest"), F.col("condition"))))
-    df = df.where(F.coalesce(ok, F.lit(False)))
     rule = F.array_compact(F.array(F.lit("particle"), F.when(F.col("coda").isNull(), assumed(F.col("rest"), F.col("condition"))), F.col("new_contraction"), _provenance()))
     closed = _in(F.col("particle"), P.CLAUSE_ONLY) | (F.col("particle").isin("다", "이다") & (F.col("new_class") == 4))
     keep = lambda fresh, old: F.when(new, fresh).otherwise(F.col(old))
-    return df.select(
-        *own, keep(F.col("rest"), "base").alias("base"), keep(F.concat(F.array("particle"), "chain"), "chain").alias("chain"),
-        keep(F.when(F.col("after_case") & (F.col("particle") == "만"), 1).otherwise(F.col("before")), "stage").alias("stage"), keep(F.col("before").isin(1, 2), "after_case").alias("after_case"),
-        keep(F.concat("rules", rule), "rules").alias("rules"), keep(F.col("new_class"), "was").alias("class"), keep(F.col("new_contraction"), "contraction").alias("contraction"),
-        keep(F.coalesce(closed, F.lit(False)), "closed").alias("closed"), F.when(new, F.lit(level + 1)).otherwise(F.col("depth")).alias("depth"),
-    )
+    return {
+        "keys": F.concat(F.when(n > 1, suffixes).otherwise(empty(RULES)), inner),
+        "rest": F.when(F.col("coda").isNull(), rest).otherwise(H.replace_last(rest, H.vowel(H.index(H.last_char(rest))), F.lit(0))),
+        "ok": F.coalesce(ok, F.lit(False)),
+        "new": new,
+        "base": keep(F.col("rest"), "base"),
+        "chain": keep(F.concat(F.array("particle"), "chain"), "chain"),
+        "stage": keep(F.when(F.col("after_case") & (F.col("particle") == "만"), 1).otherwise(F.col("before")), "stage"),
+        "after_case": keep(F.col("before").isin(1, 2), "after_case"),
+        "rules": keep(F.concat("rules", rule), "rules"),
+        "class": keep(F.col("new_class"), "was"),
+        "contraction": keep(F.col("new_contraction"), "contraction"),
+        "closed": keep(F.coalesce(closed, F.lit(False)), "closed"),
+    }
+
+
+def _peel_level(df: DataFrame, own: list[str], level: int) -> DataFrame:
+    """Rows of the last level with one more particle, and all rows as they are."""
+    spark, steps = df.sparkSession, _level_columns()
+    rules = P.recoveries(spark).union(spark.createDataFrame([("\u0000", 0, None, None, 0, 0, None, 0)], P.recoveries(spark).schema)).withColumnsRenamed({"class": "new_class", "contraction": "new_contraction"})
+    open_ = (F.col("depth") == level) & ~F.col("closed")
+    keys = F.when(open_, steps["keys"]).otherwise(empty(RULES))
+    df = df.withColumn("key", F.explode(F.array_append(keys, F.lit("\u0000")))).join(F.broadcast(rules), "key")
+    df = df.withColumns({"rest": steps["rest"], "was": F.col("class"), "class": F.col("new_class")}).where(steps["ok"])
+    changed = ("base", "chain", "stage", "after_case", "rules", "class", "contraction", "closed")
+    return df.select(*own, *[steps[c].alias(c) for c in changed], F.when(steps["new"], F.lit(level + 1)).otherwise(F.col("depth")).alias("depth"))
 
 
 def _splitter(bundle: str, pair: tuple[str, str]):  # noqa: ANN202
@@ -135,8 +152,9 @@ def split_bundles(df: DataFrame) -> DataFrame:
     return df.withColumn("chain", F.explode(F.array_distinct(ways)))
 
 
-def nominal_bases(df: DataFrame, base: str, *, bare: bool = True) -> DataFrame:
-    """df with lemmas, morphs and why (rules) of each reading of base as a nominal: as it is (bare), with suffixes, or listed."""
+@once_each
+def _nominal_ways(base: str) -> Column:
+    """The roots of a nominal with suffixes, with the suffixes and their rules."""
     b = F.col(base)
     shorter = lambda c, k: F.left(c, F.char_length(c) - k)
     way = lambda when, root, forms, rules: F.when(when & (root != ""), F.struct(root.alias("root"), F.array(*[morph(F.lit(f), "Suffix") for f in forms]).cast(f"array<{MORPH}>").alias("morphs"), F.array(*map(F.lit, rules)).cast(RULES).alias("why")))
@@ -149,7 +167,12 @@ def nominal_bases(df: DataFrame, base: str, *, bare: bool = True) -> DataFrame:
     for s, r in OUTER.items():
         has, inner = b.endswith(s), shorter(b, 1)
         ways += [way(has, inner, (s,), (r,)), *simple(inner, has, (s,), (r,))]
-    df = df.withColumn("__w", F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())))
+    return F.filter(F.array(*ways), lambda x: x.isNotNull())
+
+
+def nominal_bases(df: DataFrame, base: str, *, bare: bool = True) -> DataFrame:
+    """df with lemmas, morphs and why (rules) of each reading of base as a nominal: as it is (bare), with suffixes, or listed."""
+    df = df.withColumn("__w", F.explode(_nominal_ways(base)))
     first = F.get("__w.morphs", F.lit(0))["form"]
     listed = F.broadcast(D.listed_nouns(df.sparkSession).select(F.col("surface").alias("__s"), F.col("lemmas").alias("__l"), F.col("morphemes").alias("__m"), F.col("rules").alias("__r")))
     # A listed noun may carry 들 and an outer suffix, not 님 or 적.

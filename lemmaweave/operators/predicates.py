@@ -113,6 +113,7 @@ def recover_or_keep(df: DataFrame) -> DataFrame:
     return out.withColumns({"stem": F.when(keep, F.col("__was")).otherwise(F.col("stem")), "boundary": F.when(keep, "Self").otherwise(F.col("boundary")), "spelling": F.when(~keep, F.col("spelling"))}).drop("__keep", "__was")
 
 
+@once_each
 def _own_conditions(text: str) -> Column:
     """What single endings demand beyond a set of markers."""
     form, stem, pre, suffix, boundary = F.col("form"), F.col("stem"), F.col("pre"), F.col("end.suffix"), F.col("end.boundary")
@@ -157,6 +158,7 @@ def lemma(text: Column, kind: str) -> Column:
     return F.struct(text.alias("text"), F.lit(kind).alias("kind"))
 
 
+@once_each
 def takes_dap() -> Column:
     """Whether a stem in 답 may be the suffix 답다 by what follows it (pre, form, rules)."""
     first = F.coalesce(F.get("pre", F.lit(0)), F.col("form"))

@@ -238,7 +238,7 @@ def analyze_words(words: DataFrame, text: str = "text", *, formations: list[D.Fo
     spoken = spoken.select("text", F.array_append("lemmas", lemma(F.lit("이다"), "Copula")).alias("lemmas"), F.array_append("morphemes", morph(F.col("ending"), "Ending")).alias("morphemes"), F.concat("rules", F.array_compact(F.array(F.lit("copula.polite"), "why"))).alias("rules"), "spellings")
     listed = nominal_bases(korean, "text", bare=False).unionByName(adverb_bases(korean, "text")).select("text", "lemmas", F.col("morphs").alias("morphemes"), F.col("why").alias("rules"))
     plain = listed.unionByName(phrases(chain)).unionByName(pronoun_readings(korean, chain)).unionByName(_fragments(korean)).withColumn("spellings", empty(RULES))
-    found = whole.unionByName(clause).unionByName(with_mal).unionByName(spoken)
+    found = cut(whole.unionByName(clause).unionByName(with_mal).unionByName(spoken), "found")
     # 어 and 요 may complete a finite intention only now.
     intended = F.exists("morphemes", lambda m: m["form"] == "으려고")
     found = found.where(~intended).unionByName(checked(found.where(intended)))

@@ -20,15 +20,16 @@ def table(spark: SparkSession, name: str, rows: list[tuple], schema: str) -> Dat
 
 
 def once_each(build: Callable) -> Callable:
-    """build() once for each application, as Columns live in its JVM."""
-    made: dict[str, object] = {}
+    """build(*args) once for each application and arguments, as Columns live in its JVM."""
+    made: dict[tuple, object] = {}
 
     @wraps(build)
-    def held():  # noqa: ANN202
-        key = SparkContext._active_spark_context.applicationId
-        if key not in made:
-            made.clear()
-            made[key] = build()
-        return made[key]
+    def held(*args):  # noqa: ANN002, ANN202
+        app = SparkContext._active_spark_context.applicationId
+        if (app, *args) not in made:
+            for old in [k for k in made if k[0] != app]:
+                del made[old]
+            made[(app, *args)] = build(*args)
+        return made[(app, *args)]
 
     return held

@@ -58,3 +58,12 @@ def test_no_python_in_checked(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan and out.columns == df.columns
     assert out.where(F.size("lemmas") > 0).count() == 2
+
+
+def test_expressions_are_built_once(spark):
+    """The class scan and the columns of a level cost seconds to build; each is built once an application, by its arguments."""
+    from lemmaweave.operators import classes, nominals, predicates
+
+    assert classes.class_scan() is classes.class_scan() and nominals._level_columns() is nominals._level_columns()
+    assert nominals._nominal_ways("text") is nominals._nominal_ways("text") and nominals._nominal_ways("text") is not nominals._nominal_ways("base")
+    assert predicates._own_conditions("text") is predicates._own_conditions("text")
