@@ -1,8 +1,8 @@
 """Near-duplicates by the Jaccard similarity of their sets of word shingles.
 
-Candidates: MinHash signatures of BANDS bands of ROWS values. Two sets of similarity s share no band with the
-probability (1 - s**ROWS)**BANDS, which is 5e-8 at 0.8. Sets that share a band are joined to clusters, so that each
-candidate's text is sent once, however many bands it shares.
+Candidates: op3's method (simhash.py), SimHash fingerprints linked through a forest of trees, over the sets of shingles and with as many bits as the similarity asks for.
+Two sets of similarity 0.8 meet in no leaf with a probability of 5e-8, and 0.8 is the least that counts. Sets that are linked are joined to clusters, so that each
+candidate's text is sent once, however many trees link it.
 
 Verification: within a cluster, two sets are linked if their exact similarity is at least NEAR, a fraction in whole
 numbers. A walk asks, for each set that it reaches, only those that it has not reached, so a large group of near
@@ -26,16 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, byte_slices, cut, hot_keys, look_up, mix, narrow, rolling, small_batches, without_rows, word_hashes
+from . import simhash
+from .common import by_group, byte_slices, cut, hot_keys, look_up, narrow, rolling, small_batches, without_rows, word_hashes
 from .graph import connected_components
 
 SHINGLE = 5
 NEAR = (4, 5)
-BANDS, ROWS = 32, 4
 SLICE_BYTES = 1 << 20
 #: Sets of a cluster that one task verifies.
 BLOCK = 256
-_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -52,18 +51,6 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 42)
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """The keys of the bands of each set: a row a set."""
-    least = np.full((len(sets), BANDS * ROWS), np.uint64(2**64 - 1))
-    for k, s in enumerate(sets):
-        for at in range(0, len(s), 1024):
-            np.minimum(least[k], (_FACTORS[:, None] * s[None, at : at + 1024]).min(1), out=least[k])
-    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), 1))
-    for r in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, r::ROWS])
-    return key
-
-
 def linked(sets: list[np.ndarray], near: tuple[int, int] = NEAR) -> np.ndarray:
     """The first member of each set's component, by links of exact similarity near[0] / near[1] at least."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -98,13 +85,21 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for first, texts in byte_slices(b.column(1).to_pylist(), SLICE_BYTES):
-            sets = shingle_sets(texts)
-            ids = _signed(np.fromiter(map(set_id, sets), np.uint64, len(sets)))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), _signed(band_keys(sets).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), b.column(2).slice(first, len(sets)), ids, bands], names=["doc_id", "digest", "set", "bands"])
+def _signatures(shape: tuple[int, int, int]):  # noqa: ANN202
+    """Over rows (doc_id, text, digest): the set of each, with its leaves and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, texts in byte_slices(b.column(1).to_pylist(), SLICE_BYTES):
+                sets = shingle_sets(texts)
+                ids = _signed(np.fromiter(map(set_id, sets), np.uint64, len(sets)))
+                leaf, sketch = simhash.wide_leaves(sets, shape)
+                at = pa.array(np.r_[0, np.cumsum([len(x) for x in leaf])].astype(np.int32))
+                leaves = pa.ListArray.from_arrays(at, pa.array(np.concatenate(leaf)))
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * simhash.SKETCH), _signed(sketch.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), b.column(2).slice(first, len(sets)), ids, leaves, words], names=["doc_id", "digest", "set", "leaves", "sketch"])
+
+    return run
 
 
 def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -204,12 +199,11 @@ def _represented(docs: DataFrame) -> DataFrame:
     """doc_id and digest of the rows (doc_id, text, digest) that a document with a smaller id represents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.where("doc_id is not null")
-    rows = cut(small_batches(plain).mapInArrow(narrow(_signatures), f"doc_id {kind}, digest long, set long, bands array<long>"), "signatures")
+    rows = cut(small_batches(plain).mapInArrow(narrow(_signatures(simhash.forest_shape(plain.count()))), f"doc_id {kind}, digest long, set long, leaves array<int>, sketch array<long>"), "signatures")
     nodes = cut(rows.groupBy("set").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("n")), "sets")
     firsts = nodes.select("set", F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"))
-    keys = rows.join(firsts, ["set", "doc_id", "digest"]).dropDuplicates(["set"]).select("set", F.explode("bands").alias("key"))
-    least = keys.groupBy("key").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most").select("key", "least")
-    clusters = connected_components(keys.join(least, "key").where("set <> least").select(F.col("set").alias("u"), F.col("least").alias("v")))
+    told = cut(rows.join(firsts, ["set", "doc_id", "digest"]).dropDuplicates(["set"]).select("set", "leaves", "sketch"), "leaves")
+    clusters = connected_components(simhash.similar_links(told))
     members = firsts.join(clusters, firsts["set"] == clusters["node"]).select("set", "doc_id", "digest", "root")
     members = cut(members, "members")
     sizes = cut(members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("set").alias("rep")), "clusters")

@@ -25,6 +25,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, hot_keys, int_partitions, look_up, narrow, without_rows
+from .common import by_group, cut, hot_keys, int_partitions, look_up, mix, narrow, without_rows
 from .graph import connected_components
 
 SHINGLE = 4
@@ -222,3 +223,123 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """docs without those that a document with a smaller id represents. Rows are told apart by id and text: rows
     equal in both stay or go together; rows with a null id stay."""
     return without_rows(docs, doc_id, text, lambda rows: _named(fingerprints(rows, shingle=shingle, keep=("digest",)), radius).where("component_id < doc_id"))
+
+
+# ---- wide fingerprints: links of sets by similarity --------------------------------------------
+#
+# Sets of similarity 0.8 differ in 15 % of the bits of their fingerprints (18.75 % where one has four members and the other five), too many for
+# masks of 64 bits. So a set has as many bits as the forest asks for: each tree has a mask of its own bits, at distance 0 as above, and the
+# leaves are searched by the whole distance over the first SKETCH words.
+
+SKETCH = 4
+#: Of 64 * SKETCH bits. At similarity 0.8, 39 differ (5.7 standard deviation), 48 (6.2) in the smallest sets; of unlike sets, 128 (8).
+WIDE_RADIUS = 80
+#: Members of a leaf of unlike sets, and of a leaf that one task searches.
+WIDE_LEAF, WIDE_BLOCK = 512, 8192
+#: The share of pairs of similarity 0.8 that meet in no leaf; agreement of a bit there, for sets of more than FEW members and for fewer.
+MISSED, FEW = 5e-8, 32
+AGREE, AGREE_FEW = 1 - math.acos(8 / 9) / math.pi, 0.8125
+
+
+def forest_shape(n: int) -> tuple[int, int, int]:
+    """Bits of a mask, trees, and trees for sets of FEW members at most, for n sets."""
+    k = min(20, max(4, (n // WIDE_LEAF).bit_length()))
+    trees, more = (math.ceil(math.log(MISSED) / math.log(1 - p**k)) for p in (AGREE, AGREE_FEW))
+    return k, trees, more
+
+
+def wide_bits(s: np.ndarray, words: int) -> np.ndarray:
+    """64 * words fingerprint bits of a set of 64-bit hashes: 1 if set in over half of them."""
+    salt = mix(np.arange(1, words + 1, dtype=np.uint64))
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(s), 255):
+        ones += np.unpackbits(mix(s[at : at + 255, None] ^ salt).view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return (2 * ones > len(s)).astype(np.uint8)
+
+
+def wide_leaves(sets: list[np.ndarray], shape: tuple[int, int, int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The leaves of each set, one a tree, and the first SKETCH words of its fingerprint."""
+    k, trees, more = shape
+    words, power = max(SKETCH, -(-k * more // 64)), 1 << np.arange(k)
+    leaf, sketch = [], np.empty((len(sets), SKETCH), np.uint64)
+    for i, s in enumerate(sets):
+        bits, t = wide_bits(s, words), more if len(s) <= FEW else trees
+        leaf.append(((np.arange(t) << k) | bits[: t * k].reshape(t, k) @ power).astype(np.int32))
+        sketch[i] = np.packbits(bits[: 64 * SKETCH]).view(np.uint64)
+    return leaf, sketch
+
+
+def _far(pts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The distances of each point of x (rows) to each of pts."""
+    out = np.bitwise_count(x[:, :1] ^ pts[:, 0]).astype(np.uint16)
+    for w in range(1, pts.shape[1]):
+        out += np.bitwise_count(x[:, w : w + 1] ^ pts[:, w])
+    return out
+
+
+def wide_links(pts: np.ndarray, radius: int, own: np.ndarray | None = None) -> np.ndarray:
+    """links_within() for fingerprints of several words, as places in pts. own: the block of each, if only links between two blocks are asked for."""
+    far = _far(pts, pts[:1])[0].astype(np.int64)
+    order = np.argsort(far, kind="stable")
+    pts, far, own = pts[order], far[order], None if own is None else own[order]
+    hi, out = np.searchsorted(far, far + radius, side="right"), []
+    for a in range(0, len(pts), 256):
+        b = hi[min(a + 256, len(pts)) - 1]
+        near = _far(pts[a:b], pts[a : a + 256]) <= radius
+        near &= np.arange(b - a)[None, :] > np.arange(len(near))[:, None]
+        if own is not None:
+            near &= own[a : a + 256][:, None] != own[None, a:b]
+        i, j = np.nonzero(near)
+        out.append(np.stack([order[a + i], order[a + j]], 1))
+        if sum(map(len, out)) > 4 * len(pts):
+            break
+    else:
+        return np.concatenate(out)
+    out, waiting = [], np.ones(len(pts), bool)  # many links: a walk asks only those that it has not reached
+    for seed in range(len(pts)):
+        todo = [seed] if waiting[seed] else []
+        waiting[seed] = False
+        while todo:
+            x, rest = todo.pop(), np.flatnonzero(waiting)
+            near = _far(pts[rest], pts[x : x + 1])[0] <= radius
+            found = rest[near if own is None else near & (own[rest] != own[x])]
+            waiting[found] = False
+            out.append(np.stack([np.full(len(found), order[x]), order[found]], 1))
+            todo += found.tolist()
+    return np.concatenate(out)
+
+
+def _wide_search(_: tuple, t: pa.Table) -> pa.Table:
+    """Over rows (task, leaf, one, two, own, set, w0 to w3): links within a leaf, or between two of its blocks."""
+    cols = [t[c].to_numpy() for c in ("leaf", "one", "two", "own")]
+    order = np.lexsort(cols[::-1])
+    leaf, one, two, own = (c[order] for c in cols)
+    ids, pts = t["set"].to_numpy()[order], np.stack([t[f"w{w}"].to_numpy() for w in range(SKETCH)], 1)[order].view(np.uint64)
+    new = np.flatnonzero(np.r_[True, np.any([np.diff(c) != 0 for c in (leaf, one, two)], 0)])
+    out = [np.empty((0, 2), np.int64)]
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(ids)], strict=True):
+        if b - a > 1:
+            out.append(ids[a:b][wide_links(pts[a:b], WIDE_RADIUS, own[a:b] if one[a] != two[a] else None)])
+    e = np.unique(np.concatenate(out), axis=0)
+    return pa.table([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["u", "v"])
+
+
+def similar_links(sets: DataFrame) -> DataFrame:
+    """Edges (u, v) among rows (set, leaves, sketch), see wide_leaves: those within WIDE_RADIUS that meet in a leaf of the forest, or a spanning forest of them.
+
+    A leaf of over WIDE_BLOCK sets is dealt to blocks, and each pair of blocks is searched."""
+    counts = sets.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    rows = sets.select("set", *[F.get("sketch", F.lit(w)).alias(f"w{w}") for w in range(SKETCH)], F.explode("leaves").alias("leaf"))
+    block = F.lit(0)
+    if most > WIDE_BLOCK:
+        large = counts.where(F.col("n") > WIDE_BLOCK).select("leaf", F.ceil(F.col("n") / WIDE_BLOCK).cast("int").alias("parts"))
+        rows = rows.join(large, "leaf", "left")
+        own = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1))).cast("int")
+        rows = rows.withColumn("own", own)
+        pairs = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("one"), F.greatest(k, F.col("own")).alias("two")))
+        rows = rows.withColumn("p", F.explode(pairs)).select("leaf", "set", "own", *[f"w{w}" for w in range(SKETCH)], "p.one", "p.two")
+    else:
+        rows = rows.withColumns({"own": block, "one": block, "two": block})
+    n = max(int_partitions(sets, 12), -(-total // (1 << 17)))
+    return rows.withColumn("task", F.pmod(F.xxhash64("leaf", "one", "two"), F.lit(n))).groupBy("task").applyInArrow(by_group(_wide_search), "u long, v long")

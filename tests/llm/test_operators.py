@@ -564,6 +564,29 @@ def test_large_clusters(spark, monkeypatch):
     assert {r.doc_id for r in jaccard.drop_similar(d).collect()} == want
 
 
+def test_similar_sets_meet_in_the_forest(spark, monkeypatch):
+    """Candidates of near-dedup come from SimHash trees: sets of similarity 0.8 of any size are linked, unlike ones are not, in whole leaves and in blocks."""
+    rng = np.random.default_rng(5)
+    sets, pairs = [], []
+    for n in [4, 8, 12, 16, 40, 100, 400] * 30:
+        base = rng.integers(0, 2**63, n + n // 4, dtype=np.uint64)
+        pairs.append((len(sets), len(sets) + 1))  # n of n + n / 4: the least similarity that counts
+        sets += [np.sort(base[:n]), np.sort(base)]
+    leaf, sketch = simhash.wide_leaves(sets, simhash.forest_shape(len(sets)))
+    d = spark.createDataFrame([(k, leaf[k].tolist(), sketch[k].view(np.int64).tolist()) for k in range(len(sets))], "set long, leaves array<int>, sketch array<long>")
+    for block in (8192, 16):
+        monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
+        got = {tuple(sorted((r.u, r.v))) for r in simhash.similar_links(d).collect()}
+        assert got >= set(pairs) and len(got) < 1.1 * len(pairs)
+    used = []
+    real = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda x: used.append(x.columns) or real(x))
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, text), (2, text + " more"), (3, "another text")]
+    assert {r.doc_id for r in jaccard.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3}
+    assert used == [["set", "leaves", "sketch"]]
+
+
 # ---- 8 ----
 
 
