@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_group, cut, hot_keys, int_partitions, look_up, mix, narrow, without_rows
@@ -236,6 +236,9 @@ SKETCH = 4
 WIDE_RADIUS = 80
 #: Members of a leaf of unlike sets, and of a leaf that one task searches.
 WIDE_LEAF, WIDE_BLOCK = 512, 8192
+WORDS = [f"w{k}" for k in range(SKETCH)]
+#: Trees whose vantage points name sets; bits of a cell, in the last word, which these trees do not ask.
+FIRST, CELL = 4, 12
 #: The share of pairs of similarity 0.8 that meet in no leaf; agreement of a bit there, for sets of more than FEW members and for fewer.
 MISSED, FEW = 5e-8, 32
 AGREE, AGREE_FEW = 1 - math.acos(8 / 9) / math.pi, 0.8125
@@ -309,37 +312,93 @@ def wide_links(pts: np.ndarray, radius: int, own: np.ndarray | None = None) -> n
     return np.concatenate(out)
 
 
+def spanned(n: int, links: np.ndarray) -> np.ndarray:
+    """The least place that each of n places is connected to by links, rows of two places."""
+    root, (i, j) = np.arange(n), links.T
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _wide_search(_: tuple, t: pa.Table) -> pa.Table:
-    """Over rows (task, leaf, one, two, own, set, w0 to w3): links within a leaf, or between two of its blocks."""
-    cols = [t[c].to_numpy() for c in ("leaf", "one", "two", "own")]
-    order = np.lexsort(cols[::-1])
-    leaf, one, two, own = (c[order] for c in cols)
-    ids, pts = t["set"].to_numpy()[order], np.stack([t[f"w{w}"].to_numpy() for w in range(SKETCH)], 1)[order].view(np.uint64)
-    new = np.flatnonzero(np.r_[True, np.any([np.diff(c) != 0 for c in (leaf, one, two)], 0)])
+    """Over rows (task, leaf, part, own, name, w0 to w3): what is linked within a leaf, or between the two sides of a part of it, as one
+    edge from each name to the least that it is connected to in the task, however many leaves and links connect them."""
+    leaf, part, own = (t[c].to_numpy() for c in ("leaf", "part", "own"))
+    order = np.lexsort((own, part, leaf))
+    leaf, part, own = leaf[order], part[order], own[order]
+    names, at = np.unique(t["name"].to_numpy()[order], return_inverse=True)
+    pts = np.stack([t[w].to_numpy() for w in WORDS], 1)[order].view(np.uint64)
+    new = np.flatnonzero(np.r_[True, (np.diff(leaf) != 0) | (np.diff(part) != 0)])
     out = [np.empty((0, 2), np.int64)]
-    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(ids)], strict=True):
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
         if b - a > 1:
-            out.append(ids[a:b][wide_links(pts[a:b], WIDE_RADIUS, own[a:b] if one[a] != two[a] else None)])
-    e = np.unique(np.concatenate(out), axis=0)
-    return pa.table([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["u", "v"])
+            out.append(at[a:b][wide_links(pts[a:b], WIDE_RADIUS, own[a:b] if part[a] else None)])
+    root = spanned(len(names), np.concatenate(out))
+    on = np.flatnonzero(root != np.arange(len(names)))
+    return pa.table([pa.array(names[on]), pa.array(names[root[on]])], names=["u", "v"])
+
+
+def _vantages(rows: DataFrame) -> DataFrame:
+    """leaf, its number of rows n, and v (name, w0 to w3), the vantage point of each leaf: the least name in the commonest cell of CELL further bits, where the near copies of a leaf are, if it has many."""
+    cells = rows.groupBy("leaf", F.shiftrightunsigned(WORDS[-1], 64 - CELL).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", *WORDS)).alias("v"))
+    return cells.groupBy("leaf").agg(F.sum("n").alias("n"), F.max(F.struct("n", "v"))["v"].alias("v"))
+
+
+def _near_vantage() -> Column:
+    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"v.{w}"))) for w in WORDS), F.lit(0)) <= WIDE_RADIUS
+
+
+def _hubs(told: DataFrame) -> DataFrame:
+    """set, hub and hubs: the vantage points of the leaves of the first trees that a set is within WIDE_RADIUS of, and the least of them."""
+    rows = told.select(F.col("set").alias("name"), *WORDS, F.explode(F.slice("leaves", 1, FIRST)).alias("leaf"))
+    seen = cut(_vantages(rows), "vantages")
+    hot = hot_keys(seen, "leaf", "n", seen.agg(F.sum("n")).first()[0] or 0)
+    near = look_up(rows, seen.select("leaf", "v"), "leaf", hot).where(_near_vantage()).select(F.col("name").alias("set"), F.col("v.name").alias("hub"))
+    return near.groupBy("set").agg(F.min("hub").alias("hub"), F.collect_set("hub").alias("hubs"))
+
+
+def _in_parts(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """rows with part and own, the edges of what is near the vantage point of a large leaf, and how many rows there are more.
+
+    Whoever is near the vantage point is linked to it where it is. The others are searched against all of the leaf, by pairs of blocks (parts)."""
+    seen = cut(_vantages(rows.join(F.broadcast(large), "leaf", "left_semi")), "vantages")
+    far = rows.join(F.broadcast(seen), "leaf").where(~_near_vantage()).groupBy("leaf").agg(F.count(F.lit(1)).alias("far"))
+    blocks = lambda n: F.ceil(F.col(n) / WIDE_BLOCK).cast("int")
+    plan = cut(seen.join(far, "leaf", "left").fillna(0, ["far"]).select("leaf", "v", "n", "far", blocks("n").alias("blocks"), blocks("far").alias("far_blocks")), "parts")
+    more = plan.agg(F.sum(F.col("n") * F.col("far_blocks") + F.col("far") * F.col("blocks"))).first()[0] or 0
+    rows = rows.join(F.broadcast(plan.select("leaf", "v", "blocks", "far_blocks")), "leaf", "left")
+    edges = rows.where(F.col("v").isNotNull() & _near_vantage()).select(F.col("name").alias("u"), F.col("v.name").alias("v")).distinct()
+    deal = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
+    at = lambda own, i, j: F.struct(F.lit(own).alias("own"), (i * F.col("blocks") + j + 1).alias("part"))
+    every = F.transform(F.sequence(F.lit(0), F.col("far_blocks") - 1), lambda i: at(0, i, deal("blocks")))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: at(1, deal("far_blocks"), j))
+    parts = F.when(F.col("v").isNull(), F.array(F.struct(F.lit(0).alias("own"), F.lit(0).alias("part")))).when(_near_vantage(), every).otherwise(F.concat(every, others))
+    dealt = rows.where("v is null or far_blocks > 0").withColumn("p", F.explode(parts)).select("leaf", "name", *WORDS, "p.own", "p.part")
+    return dealt, edges, more
 
 
 def similar_links(sets: DataFrame) -> DataFrame:
-    """Edges (u, v) among rows (set, leaves, sketch), see wide_leaves: those within WIDE_RADIUS that meet in a leaf of the forest, or a spanning forest of them.
+    """Edges (u, v) among rows (set, leaves, sketch), see wide_leaves, that connect exactly what the links within WIDE_RADIUS in a leaf of the forest connect.
 
-    A leaf of over WIDE_BLOCK sets is dealt to blocks, and each pair of blocks is searched."""
-    counts = sets.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    Near copies meet in most of the trees, each time with others. So the first trees name a set by a hub, the vantage point of its leaf, and all trees are searched for
+    links between names: a large group costs an edge for each of its sets, and those among its hubs, not one a tree."""
+    counts = cut(sets.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaf sizes")
     total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    rows = sets.select("set", *[F.get("sketch", F.lit(w)).alias(f"w{w}") for w in range(SKETCH)], F.explode("leaves").alias("leaf"))
-    block = F.lit(0)
+    told = sets.select("set", "leaves", *[F.get("sketch", F.lit(k)).alias(w) for k, w in enumerate(WORDS)])
+    hubs = cut(_hubs(told), "hubs")
+    edges = hubs.select(F.col("set").alias("u"), F.col("hub").alias("v")).unionByName(hubs.select(F.explode("hubs").alias("u"), F.col("hub").alias("v")).distinct())
+    rows = told.join(hubs.select("set", "hub"), "set", "left").select("set", F.coalesce("hub", "set").alias("name"), *WORDS, F.explode("leaves").alias("leaf"))
     if most > WIDE_BLOCK:
-        large = counts.where(F.col("n") > WIDE_BLOCK).select("leaf", F.ceil(F.col("n") / WIDE_BLOCK).cast("int").alias("parts"))
-        rows = rows.join(large, "leaf", "left")
-        own = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1))).cast("int")
-        rows = rows.withColumn("own", own)
-        pairs = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("one"), F.greatest(k, F.col("own")).alias("two")))
-        rows = rows.withColumn("p", F.explode(pairs)).select("leaf", "set", "own", *[f"w{w}" for w in range(SKETCH)], "p.one", "p.two")
+        rows, near, more = _in_parts(rows, counts.where(F.col("n") > WIDE_BLOCK).select("leaf"))
+        edges, total = edges.unionByName(near), total + more
     else:
-        rows = rows.withColumns({"own": block, "one": block, "two": block})
+        rows = rows.select("leaf", "name", *WORDS, F.lit(0).alias("own"), F.lit(0).alias("part"))
     n = max(int_partitions(sets, 12), -(-total // (1 << 17)))
-    return rows.withColumn("task", F.pmod(F.xxhash64("leaf", "one", "two"), F.lit(n))).groupBy("task").applyInArrow(by_group(_wide_search), "u long, v long")
+    found = rows.withColumn("task", F.pmod(F.xxhash64("leaf", "part"), F.lit(n))).groupBy("task").applyInArrow(by_group(_wide_search), "u long, v long")
+    return edges.where("u <> v").unionByName(found)

@@ -587,6 +587,39 @@ def test_similar_sets_meet_in_the_forest(spark, monkeypatch):
     assert used == [["set", "leaves", "sketch"]]
 
 
+def test_near_copies_cost_an_edge_each(spark, monkeypatch):
+    """Near copies meet in most trees of the forest; the edges of a group follow its size, not its size by the trees or by the blocks of a leaf, and connect what the links in the leaves connect."""
+    rng = np.random.default_rng(7)
+    for g, block in ((300, 8192), (1200, 8192), (1200, 128)):
+        sets = [rng.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(100)]
+        for n in (g, g // 4):  # a large group, and another that is far from it
+            base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+            for _ in range(n):
+                s = base.copy()
+                s[rng.choice(200, 8, replace=False)] = rng.integers(0, 2**63, 8, dtype=np.uint64)
+                sets.append(s)
+        ids = rng.permutation(len(sets))
+        leaf, sketch = simhash.wide_leaves([np.sort(s) for s in sets], simhash.forest_shape(len(sets)))
+        d = spark.createDataFrame([(int(k), x.tolist(), w.view(np.int64).tolist()) for k, x, w in zip(ids, leaf, sketch, strict=True)], "set long, leaves array<int>, sketch array<long>")
+        monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
+        got = {tuple(sorted((r.u, r.v))) for r in simhash.similar_links(d).collect() if r.u != r.v}
+        assert len(got) < 2 * len(sets)
+        near, link = simhash._far(sketch, sketch) <= simhash.WIDE_RADIUS, np.zeros((len(sets), len(sets)), bool)
+        for tree in np.array(leaf).T:
+            link |= near & (tree[:, None] == tree)
+        want, back = np.full(len(sets), -1), np.argsort(ids)
+        for seed in range(len(sets)):
+            todo = [seed] if want[seed] < 0 else []
+            while todo:
+                x = todo.pop()
+                want[x] = seed
+                new = np.flatnonzero(link[x] & (want < 0))
+                want[new] = seed
+                todo += new.tolist()
+        root = simhash.spanned(len(sets), back[np.array(sorted(got))])
+        assert root.tolist() == want.tolist() and len(set(want)) == 102
+
+
 # ---- 8 ----
 
 
